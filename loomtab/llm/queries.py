@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import linededup, packing, rans, substring
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,24 +20,33 @@ def vocabulary() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines_digest(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .packing import pack_documents
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
-    return pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup_units_spans(table(spark, sf_dir, "documents"))
 
-def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .rans import token_files
 
-    return token_files(table(spark, sf_dir, "documents"), vocabulary())
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.token_files(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_line_dedup": op3_line_dedup,
         "op4_packing": op4_packing,
+        "op7_substring_dedup": op7_substring_dedup,
         "op10_token_output": op10_token_output,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_line_dedup": linededup.ORACLE_SQL,
+        "op7_substring_dedup": substring.ORACLE_SQL,
+    }
