@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, linededup, packing, rans, substring
+from . import forest, jaccard, linededup, packing, rans, substring, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def vocabulary() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines_digest(table(spark, sf_dir, "documents"))
 
@@ -36,22 +40,29 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.token_files(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": op1_warc,
         "op3_line_dedup": op3_line_dedup,
         "op4_packing": op4_packing,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_jaccard_join": op8_jaccard_join,
+        "op9_nearest": op9_nearest,
         "op10_token_output": op10_token_output,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_warc": warc.ORACLE_SQL,
         "op3_line_dedup": linededup.ORACLE_SQL,
         "op7_substring_dedup": substring.ORACLE_SQL,
     }
