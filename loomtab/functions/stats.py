@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -57,19 +58,23 @@ def normal_cdf(x: float) -> float:
     return 0.5 * math.erfc(-x / math.sqrt(2))
 
 
+def _cdf_grid(z: np.ndarray) -> np.ndarray:
+    return np.array([0.5 * math.erfc(v) for v in (-z / math.sqrt(2)).tolist()])
+
+
 def studentized_range_sf(q: float, k: int) -> float:
     """Survival of the studentised range with infinite degrees of freedom, by quadrature."""
     z = np.linspace(-9, 9 + max(q, 0), 4001)
     phi = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
-    upper = np.array([normal_cdf(v) for v in z])
-    lower = np.array([normal_cdf(v - q) for v in z])
+    upper = _cdf_grid(z)
+    lower = _cdf_grid(z - q)
     inside = k * phi * (upper - lower) ** (k - 1)
     return min(1.0, max(0.0, 1 - float(np.sum((inside[1:] + inside[:-1]) / 2 * np.diff(z)))))
 
 
 def studentized_range_quantile(alpha: float, k: int) -> float:
     low, high = 0.0, 20.0
-    for _ in range(80):
+    for _ in range(45):
         mid = (low + high) / 2
         low, high = (mid, high) if studentized_range_sf(mid, k) > alpha else (low, mid)
     return (low + high) / 2
@@ -108,6 +113,16 @@ def nemenyi_p(q, k) -> Column:
     return _applied(_nemenyi, *map(_col, (q, k)))
 
 
+def nemenyi_q(k, alpha) -> Column:
+    """Critical value of the rank gap, in units of its standard error."""
+    return _applied(_critical, *map(_col, (k, alpha)))
+
+
+@lru_cache(maxsize=256)
+def _critical(k: float, alpha: float) -> float:
+    return studentized_range_quantile(alpha, int(k)) / math.sqrt(2)
+
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -149,3 +164,16 @@ def normal_distribution(x: Column) -> Column:
     poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
     upper = F.exp(-x * x / 2) / math.sqrt(2 * math.pi) * poly
     return F.when(x >= 0, 1 - upper).otherwise(upper)
+
+
+def empirical_position(x: Column, knots: list[float]) -> Column:
+    """Where values lie among sorted knots, as a share; ties take the middle of their knots."""
+    at = np.array(knots)
+
+    @pandas_udf("double")
+    def place(v: pd.Series) -> pd.Series:
+        a = v.to_numpy(dtype="float64", na_value=np.nan)
+        u = (np.searchsorted(at, a, "left") + np.searchsorted(at, a, "right")) / (2.0 * len(at))
+        return pd.Series(u).where(~np.isnan(a))
+
+    return place(x)

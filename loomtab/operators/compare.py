@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.stats import chi2_p, nemenyi_p, studentized_range_quantile
+from ..functions.stats import chi2_p, nemenyi_p, nemenyi_q, studentized_range_quantile
 
 
 def mean_scores(scores: DataFrame, by: list[str]) -> DataFrame:
@@ -70,8 +70,7 @@ def nemenyi(scores: DataFrame, keys: list[str] | None = None, alpha: float = 0.0
     pairs = (a.join(b, keys) if keys else a.join(b)).where("model_a < model_b")
     unit = F.sqrt(F.col("k") * (F.col("k") + 1) / (6 * F.col("n")))
     gap = F.abs(F.col("ra") - F.col("rb"))
-    table = F.create_map(*[F.lit(x) for k in range(2, 21) for x in (k, studentized_range_quantile(alpha, k) / 2**0.5)])
-    cd = F.element_at(table, F.col("k").cast("int")) * unit
+    cd = nemenyi_q(F.col("k").cast("double"), F.lit(alpha)) * unit
     return pairs.select(*keys, "model_a", "model_b", gap.alias("rank_gap"), nemenyi_p(gap / unit, F.col("k").cast("double")).alias("p_value"), cd.alias("critical_difference"), (gap <= cd).alias("same_group"))
 
 

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import correlation, normal_distribution, normal_quantile
+from ..functions.stats import correlation, empirical_position, normal_distribution, normal_quantile
 from .profile import frequencies, number
 
 KNOTS = 201
@@ -57,11 +57,7 @@ class Copula:
     def score(self, c: str) -> Column:
         """Normal score of a value: by its place among the quantiles, or its category's middle."""
         if c in self.quantiles:
-            knots = F.array(*[F.lit(v) for v in self.quantiles[c]])
-            x = number(c)
-            below = F.size(F.filter(knots, lambda k: k < x))
-            upto = F.size(F.filter(knots, lambda k: k <= x))
-            u = (below + upto) / (2.0 * KNOTS)
+            u = empirical_position(number(c), self.quantiles[c])
             return normal_quantile(F.least(F.greatest(u, F.lit(0.5 / KNOTS)), F.lit(1 - 0.5 / KNOTS)))
         low, out = 0.0, F.lit(None).cast("double")
         for value, share in self.shares[c]:

@@ -1 +1,63 @@
+"""Queries over the audit suite and the data behind its charts."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import assoc, audit, dist, rules
+from .associations import matrix_sql
+from .distances import hist_sql, jsd_sql, w1_sql
+from .registry import KINDS, NUMBERS, SRC, halves, query, table
+
+_X = NUMBERS[:3]
+_GRADES = f"""SELECT 'wasserstein' AS metric, col AS "column", wasserstein AS value, CASE WHEN wasserstein < 0.05 THEN 'Good' WHEN wasserstein < 0.15 THEN 'Moderate' ELSE 'Poor' END AS grade FROM ({w1_sql()})
+    UNION ALL SELECT 'js_divergence', col, js_divergence, CASE WHEN js_divergence < 0.03 THEN 'Good' WHEN js_divergence < 0.08 THEN 'Moderate' ELSE 'Poor' END FROM ({jsd_sql()})"""
+
+
+@query(_GRADES, "value")
+def fidelity_grades(spark, sf_dir):
+    return audit.fidelity_grades(*halves(spark, sf_dir), _X, KINDS)
+
+
+_R, _S = ("(SELECT * FROM lineitem WHERE l_orderkey % 2 = 0)", "(SELECT * FROM lineitem WHERE l_orderkey % 2 = 1)")
+_CORR = f"""SELECT avg(abs(r.value - s.value)) AS v FROM ({matrix_sql(_R)}) r JOIN ({matrix_sql(_S)}) s USING (col_i, col_j, kind) WHERE col_i <> 'l_tax' AND col_j <> 'l_tax'"""
+
+
+@query(
+    f"""SELECT 'fidelity' AS section, metric, "column", value FROM ({_GRADES}) UNION ALL SELECT 'fidelity', 'corr_difference', '*', v FROM ({_CORR})
+    UNION ALL SELECT 'rules', 'mape', 'l_extendedprice/' || src, avg(abs(l_extendedprice - l_quantity * 1500) / (l_quantity * 1500)) FROM {SRC} GROUP BY src""",
+    "value",
+)
+def audit_report(spark, sf_dir):
+    real, synth = halves(spark, sf_dir)
+    return audit.run_audit(real, synth, real, real, _X, KINDS, formulas={"l_extendedprice": "l_quantity * 1500"})
+
+
+@query(f"""SELECT domain, grade FROM (SELECT CASE WHEN js < 0.05 AND w1 < 0.05 AND corr < 0.1 THEN 'GREEN' WHEN js >= 0.15 OR w1 >= 0.15 THEN 'RED' ELSE 'YELLOW' END AS f
+    FROM (SELECT (SELECT avg(js_divergence) FROM ({jsd_sql()})) AS js, (SELECT avg(wasserstein) FROM ({w1_sql()})) AS w1, (SELECT v FROM ({_CORR})) AS corr)),
+    LATERAL (SELECT 'fidelity' AS domain, f AS grade UNION ALL SELECT 'privacy', 'YELLOW' UNION ALL SELECT 'utility', 'UNKNOWN')""")
+def domain_grades(spark, sf_dir):
+    real, synth = halves(spark, sf_dir)
+    s = dist.js_divergence(real, synth, KINDS).agg(F.avg("js_divergence").alias("js")).join(dist.wasserstein(real, synth, _X).agg(F.avg("wasserstein").alias("w1"))).join(assoc.correlation_difference(real, synth, _X, KINDS).withColumnRenamed("corr_difference", "corr"))
+    return audit.domain_grades(s.withColumns({"leakage": F.lit(2.0), "mia": F.lit(0.5), "drop": F.lit(None).cast("double")}))
+
+
+@query(f"""SELECT src, mape, CASE WHEN mape <= 0.15 THEN 'Good' ELSE 'Poor' END AS grade FROM (SELECT src, avg(abs(l_extendedprice - l_quantity * 1500) / (l_quantity * 1500)) AS mape FROM {SRC} GROUP BY src)""", "mape")
+def formula_grades(spark, sf_dir):
+    real, synth = halves(spark, sf_dir)
+    return audit.grade_formulas(rules.formula_audit(real, synth, "l_extendedprice", "l_quantity * 1500")).select("src", "mape", "grade")
+
+
+@query(f"SELECT col, bin, nr / (sum(nr) OVER (PARTITION BY col) * width) AS real, ns / (sum(ns) OVER (PARTITION BY col) * width) AS synth FROM ({hist_sql(['l_quantity', 'l_extendedprice'], 20)})", "real:9 synth:9")
+def overlay_hist(spark, sf_dir):
+    return audit.overlay_histogram(*halves(spark, sf_dir), ["l_quantity", "l_extendedprice"])
+
+
+@query(
+    """SELECT * FROM (SELECT 'p_brand' AS col, p_brand AS value, count(*) FILTER (p_partkey % 2 = 0) / sum(count(*) FILTER (p_partkey % 2 = 0)) OVER () AS real,
+    count(*) FILTER (p_partkey % 2 = 1) / sum(count(*) FILTER (p_partkey % 2 = 1)) OVER () AS synth, row_number() OVER (ORDER BY count(*) FILTER (p_partkey % 2 = 0) DESC, p_brand) AS rank FROM part GROUP BY p_brand) WHERE rank <= 10""",
+    "real synth",
+)
+def overlay_top10(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return audit.overlay_top(p.where("p_partkey % 2 = 0"), p.where("p_partkey % 2 = 1"), ["p_brand"])

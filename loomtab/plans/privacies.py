@@ -1 +1,182 @@
+"""Queries over splits, nearest neighbours and learning."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import compare, privacy, split, utility
+from .registry import query, table
+
+_KEY = ["o_orderkey"]
+
+
+@query("SELECT split, count(*) AS n FROM (SELECT CASE WHEN row_number() OVER (ORDER BY o_orderkey) <= floor(0.8 * count(*) OVER ()) THEN 'train' ELSE 'test' END AS split FROM orders) GROUP BY split")
+def split_80_20(spark, sf_dir):
+    return split.split_share(table(spark, sf_dir, "orders"), _KEY).groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderstatus, split, count(*) AS n FROM (SELECT o_orderstatus, CASE WHEN row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) <= floor(0.8 * count(*) OVER (PARTITION BY o_orderstatus)) THEN 'train' ELSE 'test' END AS split FROM orders) GROUP BY ALL")
+def stratified_split(spark, sf_dir):
+    return split.stratified_split(table(spark, sf_dir, "orders"), _KEY, "o_orderstatus").groupBy("o_orderstatus", "split").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, CASE WHEN row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) <= floor(0.8 * count(*) OVER (PARTITION BY o_orderstatus)) THEN 'train' ELSE 'test' END AS split FROM orders")
+def stratified_split_by_key(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return split.stratified_split(o, _KEY, "o_orderstatus", order=[F.col("o_orderkey")]).select("o_orderkey", "split")
+
+
+@query("SELECT o_orderstatus, CAST((row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) % 5 AS INT) AS fold, o_orderkey FROM orders")
+def kfold(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return split.kfold(o, _KEY, 5, ["o_orderstatus"], order=[F.col("o_orderkey")]).select("o_orderstatus", "fold", "o_orderkey")
+
+
+@query("SELECT least(1000, count(*)) AS n, least(1000, count(DISTINCT o_orderkey)) AS keys FROM orders")
+def sample_exact(spark, sf_dir):
+    return split.sample_exact(table(spark, sf_dir, "orders"), _KEY, 1000).agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("keys"))
+
+
+@query()
+def balanced_resample(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return split.balanced_resample(o, _KEY, ["o_orderstatus", "o_orderpriority"], o.count()).groupBy("col", "value").agg(F.count("*").alias("n"))
+
+
+# vectors: accounts scaled by fixed numbers; customers by key % 5 are the real, held-out and synthetic rows
+def _accounts(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return c.select(F.col("c_custkey").alias("id"), F.array(F.col("c_acctbal") / 1000, F.col("c_nationkey").cast("double")).alias("features"))
+
+
+def _parts(spark, sf_dir):
+    a = _accounts(spark, sf_dir)
+    return a.where("id % 5 < 2"), a.where("id % 5 = 2"), a.where("id % 5 > 2")
+
+
+_V = "(SELECT c_custkey AS id, c_acctbal / 1000 AS a, CAST(c_nationkey AS DOUBLE) AS b FROM customer)"
+
+
+def _near_sql(q, base):
+    return f"""SELECT id, d[1] AS d1, d[2] AS d2 FROM (SELECT q.id, list_slice(list_sort(list(sqrt(pow(q.a - r.a, 2) + pow(q.b - r.b, 2)))), 1, 2) AS d
+        FROM (SELECT * FROM {_V} WHERE {q}) q, (SELECT * FROM {_V} WHERE {base}) r GROUP BY q.id)"""
+
+
+_TRAIN, _HOLD, _SYN = "id % 5 < 2", "id % 5 = 2", "id % 5 > 2"
+_DCR = f"SELECT id, d1 AS dcr, CASE WHEN d2 = 0 THEN 1 ELSE d1 / d2 END AS nndr FROM ({_near_sql(_SYN, _TRAIN)})"
+
+
+@query(_DCR, "dcr nndr")
+def dcr_nndr(spark, sf_dir):
+    train, _, synth = _parts(spark, sf_dir)
+    return privacy.dcr_nndr(train, synth)
+
+
+@query(f"SELECT avg(dcr) AS dcr_mean, min(dcr) AS dcr_min, avg(nndr) AS nndr_mean, min(nndr) AS nndr_min FROM ({_DCR})", "dcr_mean dcr_min nndr_mean nndr_min")
+def dcr_summary(spark, sf_dir):
+    train, _, synth = _parts(spark, sf_dir)
+    return privacy.dcr_summary(train, synth)
+
+
+@query(
+    f"""SELECT any_value(t) AS threshold, 100.0 * avg(CASE WHEN d1 < t THEN 1.0 ELSE 0.0 END) AS leakage_pct
+    FROM ({_near_sql(_SYN, _TRAIN)}), (SELECT greatest(quantile_cont(d1, 0.05), 1e-8) AS t FROM ({_near_sql(_HOLD, _TRAIN)}))""",
+    "threshold leakage_pct",
+)
+def leakage(spark, sf_dir):
+    return privacy.leakage(*_parts(spark, sf_dir))
+
+
+_SCORES = f"(SELECT -d1 AS s, 1 AS y FROM ({_near_sql(_TRAIN, _SYN)}) UNION ALL SELECT -d1, 0 FROM ({_near_sql(_HOLD, _SYN)}))"
+
+
+def auc_sql(source):
+    return f"""SELECT (sum(r) FILTER (y = 1) - p * (p + 1) / 2) / (p * (n - p)) FROM (
+        SELECT *, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS r, sum(y) OVER () AS p, count(*) OVER () AS n FROM {source}) GROUP BY p, n"""
+
+
+@query(f"SELECT ({auc_sql(_SCORES)}) AS mia_auc", "mia_auc:5")
+def mia_auc(spark, sf_dir):
+    return privacy.mia_auc(*_parts(spark, sf_dir))
+
+
+@query(f"SELECT ({auc_sql("(SELECT l_quantity AS s, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS y FROM lineitem)")}) AS auc", "auc")
+def auc(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_quantity", (F.col("l_linestatus") == "O").cast("int").alias("y"))
+    return privacy.auc(li, "l_quantity", "y")
+
+
+@query(
+    f"""SELECT CAST(least(floor((dcr - lo) / ((hi - lo) / 20)), 19) AS BIGINT) AS bin, count(*) AS n FROM ({_DCR}), (SELECT min(dcr) AS lo, max(dcr) AS hi FROM ({_DCR})) GROUP BY 1"""
+)
+def dcr_hist(spark, sf_dir):
+    train, _, synth = _parts(spark, sf_dir)
+    return privacy.distance_histogram(privacy.dcr_nndr(train, synth))
+
+
+_PRED = "(SELECT l_returnflag AS y, CASE WHEN l_quantity > 33 THEN 'R' WHEN l_quantity > 16 THEN 'N' ELSE 'A' END AS p FROM lineitem)"
+
+
+@query(
+    f"""SELECT 'accuracy' AS metric, avg(CASE WHEN y = p THEN 1.0 ELSE 0.0 END) AS value FROM {_PRED} UNION ALL SELECT 'auc', 0.5
+    UNION ALL SELECT 'f1_macro', avg(2.0 * tp / (ny + np)) FROM (SELECT l, (SELECT count(*) FROM {_PRED} WHERE y = l AND p = l) AS tp, (SELECT count(*) FROM {_PRED} WHERE y = l) AS ny, (SELECT count(*) FROM {_PRED} WHERE p = l) AS np
+        FROM (SELECT y AS l FROM {_PRED} UNION SELECT p FROM {_PRED}))""",
+    "value",
+)
+def confusion_scores(spark, sf_dir):
+    q = F.col("l_quantity")
+    p = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("y"), F.when(q > 33, "R").when(q > 16, "N").otherwise("A").alias("prediction"))
+    return utility.classification_scores(p)
+
+
+_REG = "(SELECT l_extendedprice AS y, l_quantity * 1500 AS p FROM lineitem)"
+
+
+@query(f"SELECT 'mse' AS metric, avg(pow(y - p, 2)) AS value FROM {_REG} UNION ALL SELECT 'mae', avg(abs(y - p)) FROM {_REG} UNION ALL SELECT 'r2', 1 - avg(pow(y - p, 2)) / var_pop(y) FROM {_REG}", "value:2")
+def regression_scores(spark, sf_dir):
+    return utility.regression_scores(table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 1500).alias("prediction")))
+
+
+def _learning(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment", (F.col("c_acctbal") > 4000).cast("string").alias("rich"))
+    return c.where("c_custkey % 4 < 2"), c.where("c_custkey % 4 = 2"), c.where("c_custkey % 4 = 3")
+
+
+@query()
+def tstr_trtr(spark, sf_dir):
+    train, test, synth = _learning(spark, sf_dir)
+    return utility.evaluate_utility(train, test, synth, "rich", ["c_acctbal", "c_nationkey"], ["c_mktsegment"], trees=5)
+
+
+@query()
+def utility_drop(spark, sf_dir):
+    train, test, synth = _learning(spark, sf_dir)
+    s = utility.evaluate_utility(train, test, synth, "c_acctbal", ["c_nationkey"], ["c_mktsegment"], models=("random_forest", "linear"), trees=5)
+    return utility.utility_drop(s)
+
+
+@query()
+def aia(spark, sf_dir):
+    train, test, _ = _learning(spark, sf_dir)
+    return utility.attribute_inference(train, test, "c_mktsegment", ["c_acctbal", "c_nationkey"], [], trees=5)
+
+
+@query()
+def cv_probe(spark, sf_dir):
+    train, _, _ = _learning(spark, sf_dir)
+    return utility.cross_validated(train.withColumn("fold", (F.col("c_custkey") % 3).cast("int")), "rich", ["c_acctbal"], [], trees=3)
+
+
+_FOLDS = "(SELECT CAST(o_custkey % 5 AS INT) AS fold, o_orderpriority AS metric, avg(o_totalprice) AS value FROM orders GROUP BY ALL)"
+
+
+@query(f"SELECT metric, avg(value) AS mean, stddev_samp(value) AS std, count(*) AS folds FROM {_FOLDS} GROUP BY metric", "mean:4 std:4")
+def fold_aggregate(spark, sf_dir):
+    folds = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 5).cast("int").alias("fold"), F.col("o_orderpriority").alias("metric")).agg(F.avg("o_totalprice").alias("value"))
+    return compare.fold_aggregate(folds, ["metric"]).drop("values")
+
+
+@query("SELECT o_orderstatus AS experiment, fold, count(DISTINCT metric) AS metrics, CAST('inf' AS DOUBLE) AS epsilon, 42 + fold AS seed FROM (SELECT o_orderstatus, CAST(o_custkey % 5 AS INT) AS fold, o_orderpriority AS metric FROM orders) GROUP BY o_orderstatus, fold")
+def experiment_summary(spark, sf_dir):
+    folds = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("experiment"), (F.col("o_custkey") % 5).cast("int").alias("fold"), F.col("o_orderpriority").alias("metric")).agg(F.avg("o_totalprice").alias("value"))
+    return compare.experiment_ledger(folds.withColumn("epsilon", F.lit(None).cast("double")))

@@ -1 +1,54 @@
+"""Queries that synthesise tables; what they give is checked by the distances of the library."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import audit, dist, rules, synth
+from .registry import KINDS, query, table
+
+_X = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+@query()
+def synthesize(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return synth.synthesize(li, li.count(), _X, KINDS)
+
+
+@query("SELECT 'A' AS l_returnflag, count(*) AS n FROM lineitem")
+def synthesize_conditional(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    done = synth.synthesize(li, li.count(), _X, KINDS, condition=("l_returnflag", "A"))
+    return done.groupBy("l_returnflag").agg(F.count("*").alias("n"))
+
+
+@query("SELECT fold, count(*) * 2 AS n FROM (SELECT unnest(range(3)) AS fold, l_orderkey % 3 AS own FROM lineitem) WHERE own <> fold GROUP BY fold".replace("count(*) * 2", "count(*)"))
+def synthesize_folds(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").withColumn("fold", (F.col("l_orderkey") % 3).cast("int"))
+    return synth.synthesize_folds(li, "fold", 3, _X[:2], KINDS[:1]).groupBy(F.col("fold").cast("long").alias("fold")).agg(F.count("*").alias("n"))
+
+
+_DOMAINS = {"l_returnflag": ["A", "N", "R", "X"], "l_linestatus": ["F", "O"]}
+
+
+@query()
+def noisy_marginals(spark, sf_dir):
+    return synth.noisy_marginals(table(spark, sf_dir, "lineitem"), _DOMAINS, seed=7)
+
+
+@query("SELECT 'wasserstein' AS metric, true AS close UNION ALL SELECT 'js_divergence', true")
+def synth_then_audit(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    done = synth.synthesize(li, li.count(), _X, KINDS)
+    rule = rules.rules(["l_quantity >= 1"])
+    fixed = rules.clamp_correction(done, rule)
+    w = dist.wasserstein(li, fixed, _X).select(F.lit("wasserstein").alias("metric"), F.col("wasserstein").alias("v"))
+    j = dist.js_divergence(li, fixed, KINDS).select(F.lit("js_divergence").alias("metric"), F.col("js_divergence").alias("v"))
+    return w.unionByName(j).groupBy("metric").agg((F.max("v") < 0.05).alias("close"))
+
+
+@query()
+def synthetic_report(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return audit.fidelity_grades(li, synth.synthesize(li, li.count(), _X, KINDS), _X, KINDS)
