@@ -82,19 +82,22 @@ class Copula:
     def sample(self, spark, n: int, seed: int = 42) -> DataFrame:
         """n rows, each from its own id: the same rows however they are partitioned."""
         cols = [*self.continuous, *self.categorical]
-        base = spark.range(n).withColumnRenamed("id", "row_id")
-        base = base.select("row_id", *[normal_quantile(_uniform(i, seed)).alias(f"e{i}") for i in range(len(cols))])
+        k = len(cols)
+        # each step its own projection, so that no step's expressions are repeated in the next
+        base = spark.range(n).select(F.col("id").alias("row_id"), *[_uniform(i, seed, "id").alias(f"v{i}") for i in range(k)])
+        base = base.select("row_id", *[normal_quantile(F.col(f"v{i}")).alias(f"e{i}") for i in range(k)])
+        base = base.select("row_id", *[sum((F.col(f"e{j}") * float(self.factor[i, j]) for j in range(i + 1)), F.lit(0.0)).alias(f"z{i}") for i in range(k)])
+        base = base.select("row_id", *[normal_distribution(F.col(f"z{i}")).alias(f"u{i}") for i in range(k)])
         out = {}
         for i, c in enumerate(cols):
-            z = sum((F.col(f"e{j}") * float(self.factor[i, j]) for j in range(i + 1)), F.lit(0.0))
-            u = normal_distribution(z)
+            u = F.col(f"u{i}")
             if c in self.quantiles:
                 knots = F.array(*[F.lit(v) for v in self.quantiles[c]])
                 last = len(self.quantiles[c]) - 1
                 at = u * last
-                k = F.least(F.floor(at), F.lit(max(last - 1, 0))).cast("int")
-                lo, hi = F.get(knots, k), F.coalesce(F.get(knots, k + 1), F.get(knots, k))
-                x = lo + (hi - lo) * (at - k)
+                below = F.least(F.floor(at), F.lit(max(last - 1, 0))).cast("int")
+                lo, hi = F.get(knots, below), F.coalesce(F.get(knots, below + 1), F.get(knots, below))
+                x = lo + (hi - lo) * (at - below)
                 x = F.bround(x, 0).cast("long") if c in self.integers else x
                 out[c] = F.when(_uniform(1000 + i, seed) >= self.missing[c], x) if self.missing[c] > 0 else x
             else:
