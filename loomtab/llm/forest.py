@@ -116,7 +116,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
     """query_id, rank, vec_id, score for the rows whose id is divisible by ``every``."""
     rows = usable(vectors, id_col, vector)
     sampled = [r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toLocalIterator()]
-    forest = Forest(np.array(sampled, np.float64).reshape(len(sampled), -1))
+    forest = Forest(np.array(sampled, np.float64) if sampled else np.zeros((0, 0)))
     trees = len(forest.ways)
     opened = max(trees, int(np.ceil(probes * trees * (1 << forest.depth))))
 
