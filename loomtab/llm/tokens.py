@@ -3,8 +3,8 @@
 A byte-level BPE vocabulary never merges across the boundaries of its word pattern, and that
 pattern never lets a word cross white space except for one leading space.  So a text whose only
 white space is single spaces and line ends is cut there, each distinct piece is encoded once by the
-library's own pre-tokenizer and model, and the ids of the text are those of its pieces in order.
-Every other text is cut where a character is followed by a single space, and its pieces likewise.
+library's own pre-tokenizer and model, and the ids of the text are those of its pieces in order;
+pieces are told apart by 64-bit hashes within a bounded cache.  Every other text is cut where a character is followed by a single space, and its pieces likewise.
 
 The strings of special tokens inside a text count as ordinary text.
 """
@@ -17,22 +17,25 @@ from itertools import chain
 
 import numpy as np
 
+from .common import span_hashes
+
 #: Always a word boundary: between a solid character and a single space before another one.
 _GAP = re.compile(r"(?<=\S) (?=\S)")
+#: Below it, ``str.isalpha`` and the pattern's letters agree in every Unicode version.
+_LATIN_END = "\u0250"
+#: White space that isn't one space or line end between solid characters.
+_UNEVEN = re.compile("[ \n][ \n]|[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Distinct pieces kept by one Python worker before it starts afresh.
 CACHE_PIECES = 800_000
 
 
-class _Pieces(dict):
-    """Piece -> number; unknown pieces get the next number and are noted."""
-
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        self[piece] = number = len(self)
-        self.new.append(piece)
-        return number
+def _is_even(text: str) -> bool:
+    """Whether all white space of a text is single spaces and line ends between solid characters."""
+    if not text or text[0] in " \n" or text[-1] in " \n":
+        return False
+    if text.replace("\n", "").isprintable():  # then its only white space is the space
+        return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text)
+    return not _UNEVEN.search(text)
 
 
 class Encoder:
@@ -45,13 +48,17 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model, self.cutter = self.tokenizer.model, self.tokenizer.pre_tokenizer
-        self.space = self.cutter.pre_tokenize_str(" a")[0][0][0]
-        self.line = self._ids("\n")
+        # how the vocabulary writes each byte, as the library's pre-tokenizer shows it
+        self.bytes: dict[int, str] = {}
+        for c in map(chr, range(0x250)):
+            self.bytes |= zip(c.encode(), "".join(w for w, _ in self.cutter.pre_tokenize_str(c)))
+        self.line, self.marks = self._ids("\n"), {m: self._ids(m) for m in ".,"}
         self.end = np.array([end_id], np.uint32)
         self._clear()
 
     def _clear(self) -> None:
-        self.known, self.loose = _Pieces(), {}
+        self.known: dict[int, int] = {}
+        self.loose: dict[str, list[int]] = {}
         self.pool = np.zeros(1 << 20, np.uint32)
         self.used = 0
         self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -59,27 +66,63 @@ class Encoder:
     def _ids(self, text: str) -> list[int]:
         return [t.id for word, _ in self.cutter.pre_tokenize_str(text) for t in self.model.tokenize(word)]
 
+    def _word(self, word: str) -> list[int]:
+        """Ids of a run of Latin letters, after a space if it starts with one."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.bytes)
+        elif word[0] == " ":
+            word = self.bytes[32] + word[1:]
+        return [t.id for t in self.model.tokenize(word)]
+
     def _of(self, piece: str) -> list[int]:
         """Ids of a piece: after a line end it starts with that, else it follows a space."""
-        if piece.isascii():
+        if piece.isascii() or max(piece) < _LATIN_END:
             if piece.isalpha():
-                return [t.id for t in self.model.tokenize(self.space + piece)]
-            if piece[-1] in ".," and piece[:-1].isalpha():
-                return [t.id for w in (self.space + piece[:-1], piece[-1]) for t in self.model.tokenize(w)]
+                return self._word(" " + piece)
+            if piece[-1] in self.marks and piece[:-1].isalpha():
+                return self._word(" " + piece[:-1]) + self.marks[piece[-1]]
+            if piece[0] == "\n" and piece[1:].isalpha():
+                return self.line + self._word(piece[1:])
         return self._ids(piece if piece[0] == "\n" else " " + piece)
 
-    def _learn(self) -> None:
-        ids = [self._of(p) for p in self.known.new]
-        self.known.new.clear()
+    def _learn(self, keys: list[int], new: list[str]) -> None:
+        ids = [self._of(p) for p in new]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(sizes.sum())
         while self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self.known.update(zip(keys, range(len(self.begin), len(self.begin) + len(keys))))
         self.begin = np.concatenate([self.begin, self.used + np.cumsum(sizes) - sizes])
         self.count = np.concatenate([self.count, sizes])
         self.used += total
 
+    def _pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the pieces of all texts, each first piece taken as after a line end; and pieces per text."""
+        data = np.frombuffer("\n".join([*texts, ""]).encode(), np.uint8)
+        solid = np.zeros(len(data) + 2, np.int8)
+        solid[1:-1] = (data != 32) & (data != 10)
+        edge = np.diff(solid)
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        spaced = np.zeros(len(starts), bool)
+        spaced[1:] = data[starts[1:] - 1] == 32
+        keys = span_hashes(data, starts, ends) ^ np.where(spaced, np.uint64(0x6A09E667F3BCC909), np.uint64(0))
+        distinct, where, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        listed = distinct.tolist()
+        numbers = list(map(self.known.get, listed))
+        new = [i for i, n in enumerate(numbers) if n is None]
+        if new:
+            raw = data.tobytes()
+            at, to, after = starts[where[new]].tolist(), ends[where[new]].tolist(), spaced[where[new]].tolist()
+            words = [raw[x:y].decode() if z else "\n" + raw[x:y].decode() for x, y, z in zip(at, to, after)]
+            for k, i in enumerate(new):
+                numbers[i] = len(self.begin) + k
+            self._learn([listed[i] for i in new], words)
+        bounds = np.concatenate([[0], np.flatnonzero(data == 10) + 1]) if len(texts) else np.zeros(1, np.int64)
+        lines = np.fromiter((t.count("\n") + 1 for t in texts), np.int64, len(texts))
+        bounds = bounds[np.concatenate([[0], np.cumsum(lines)])]
+        return np.array(numbers, np.int64)[inverse], np.diff(np.searchsorted(starts, bounds))
+
     def _loose(self, text: str) -> np.ndarray:
         """Ids of a text with any white space."""
         out: list[int] = []
@@ -94,18 +137,20 @@ class Encoder:
         """All ids of all texts in order, each text followed by the end id; and the bounds of the texts in them."""
         if len(self.known) > CACHE_PIECES or len(self.loose) > CACHE_PIECES // 4:
             self._clear()
-        cut = [("\n" + t).replace("\n", " \n").split(" ")[1:] if t.split() == t.replace("\n", " ").split(" ") else [] for t in texts]
-        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-        index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
-        if self.known.new:
-            self._learn()
+        even = list(map(_is_even, texts))
+        index, sizes = self._pieces([t for t, e in zip(texts, even) if e])
         counts = self.count[index]
         ends = np.concatenate([[0], np.cumsum(counts)])
         flat = self.pool[np.repeat(self.begin[index] - ends[:-1], counts) + np.arange(ends[-1])]
-        edges = ends[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+        edges = iter(ends[np.concatenate([[0], np.cumsum(sizes)])].tolist())
+        at = next(edges)
         parts: list[np.ndarray] = []
-        for i, one in enumerate(cut):
-            parts.append(flat[edges[i] + len(self.line) : edges[i + 1]] if one else self._loose(texts[i]))
+        for t, e in zip(texts, even):
+            if e:
+                at, before = next(edges), at
+                parts.append(flat[before + len(self.line) : at])
+            else:
+                parts.append(self._loose(t))
             parts.append(self.end)
         bounds = np.cumsum([0, *(len(a) + 1 for a in parts[::2])], dtype=np.int64)
         return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), bounds
