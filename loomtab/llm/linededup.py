@@ -3,8 +3,9 @@
 Line keys are hashed; (hash, document) pairs are range-partitioned and sorted by document and
 position, so a line that a third of all documents share spreads over many partitions.  The sorted
 stream gives each document's positions of a key, small partial aggregates give the number of
-documents and the surviving document of a key, and per document the decisions come back as the runs
-of lines to keep, a run-length compressed bitmap.  Text is shuffled once, to meet its bitmap.
+documents and the surviving document of a key, and per document the decisions come back as a keep
+bitmap compressed to the positions of its zeros, which expands into the runs of lines to keep.  Text
+is shuffled once, to meet its bitmap.
 
 Keys are compared by two independent 64-bit hashes.
 
@@ -55,7 +56,7 @@ def keep_runs(gone: Column, n_lines: Column) -> Column:
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """Per row that loses lines: doc_id, th, n_dropped and the positions as gaps: the compressed bitmap."""
+    """Per row that loses lines: doc_id, th and gone, its keep bitmap compressed to the sorted positions of its zeros."""
     return dropped_positions(docs, min_chars, min_docs)
 
 
