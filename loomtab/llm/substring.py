@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import column_list, fresh, pieces, written
 
 MIN_WORDS = 8
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
