@@ -3,12 +3,14 @@
 A document's set is its distinct ``width``-word shingles.  Documents with equal sets are one node.
 The join has two levels.
 
-First, of each node only the shingles that come first by hash are counted, its frame: up to FRAME of
-them.  Any two nodes over the threshold share at least ``floor_matches`` shingles of their frames, so
-nodes whose frames hold too many shingles that no other frame has can't match and are done.  For
-frames of the length n - ceil(t n) + l that is certain.  Longer ones end at FRAME: each of the FRAME
-first shingles of two sets' union is shared with probability >= t, whatever the texts, so that
-fewer than LEAST are has a probability under 1e-15 for t = 0.75, like that of a hash collision.
+First, of each node only the shingles that come first by hash are counted, its frame: whole sets of up
+to FRAME, else n - ceil(t n) + 1 + n / 24 of them, FRAME at most.  Any two nodes over the threshold
+share at least ``floor_matches`` shingles of their frames, so nodes whose frames hold too many shingles
+that no other frame has can't match and are done.  A pair of n and m with o shingles in common shares,
+in frames of f and g, min(f - n, g - m) + o for certain.  Where FRAME makes that small, another bound
+holds: each of the min(f, g) first shingles of two sets' union is shared with probability >= t, whatever
+the texts, so that a number of them is but for a probability under 1e-15, like that of a hash collision
+(LEAST or more of FRAME for t = 0.75).
 
 Second, the whole sets of the remaining nodes are ordered rare first by their document frequencies
 among those nodes.  Two nodes over the threshold share at least ceil(t n) shingles.  A node picks the
@@ -30,6 +32,8 @@ are left out; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -53,19 +57,33 @@ def _ceil(n, pct: int):
     return -((-n * pct) // 100)
 
 
-def _extra(n, pct: int):
-    """Matches that the frame of a set of n is long enough for, beyond the first; all of a short set."""
-    return np.where(n <= FRAME, _ceil(n, pct), 1 + n // 24)
+def frame_size(n, pct: int):
+    n = np.asarray(n)
+    return np.minimum(np.where(n <= FRAME, n, n - _ceil(n, pct) + 1 + n // 24), FRAME)
 
 
-def frame_size(n, pct: int):
-    return np.minimum(np.where(n <= FRAME, n, n - _ceil(n, pct) + _extra(n, pct)), np.maximum(FRAME, 0))
+@cache
+def likely_matches(size: int, pct: int) -> int:
+    """Of the first ``size`` shingles of a linked pair's union so many are shared, but for a probability under 1e-15."""
+    t, below, least = pct / 100, 0.0, 0
+    while least < size and (below := below + comb(size, least) * t**least * (1 - t) ** (size - least)) < 1e-15:
+        least += 1
+    return least
+
+
+@cache
+def _floor(n: int, pct: int) -> int:
+    m = np.arange(_ceil(n, pct), n * 100 // pct + 1)
+    both = -(-(n + m) * pct // (100 + pct))
+    mine, theirs = frame_size(n, pct), frame_size(m, pct)
+    certain = np.minimum(mine - n, theirs - m) + both
+    likely = np.array([likely_matches(f, pct) for f in range(FRAME + 1)])[np.minimum(mine, theirs)]
+    return max(1, int(np.minimum(LEAST, np.maximum(certain, likely)).min(initial=LEAST)))
 
 
 def floor_matches(n, pct: int):
-    """Shingles that two frames share at least, for a partner of any size that the threshold allows."""
-    least = _ceil(n, pct)
-    return np.maximum(1, np.minimum(LEAST, _extra(least, pct)))
+    """Shingles that two frames share at least: the least over partners of all sizes that the threshold allows."""
+    return np.array([_floor(x, pct) for x in np.asarray(n).tolist()], np.int64)
 
 
 def node_of(shingles: np.ndarray) -> int:

@@ -254,6 +254,36 @@ def test_jaccard_join_in_hot_groups(spark):
     assert got == brute_components(rows)
 
 
+def linked_pairs():
+    """Pairs of texts of 5 to 300 shingles, just over the threshold: one longer than the other, or both of one size."""
+    rng, rows = np.random.default_rng(6), []
+    for n in range(5, 301):
+        w = [f"p{x}" for x in rng.integers(10**9, size=n + 4)]
+        cut, edit = n - -(-n * 75 // 100), n // 7
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w[: len(w) - cut]))]
+        w = [f"q{x}" for x in rng.integers(10**9, size=n + 4)]
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w[: len(w) - edit] + [f"r{i}" for i in range(edit)]))]
+    return rows
+
+
+def test_jaccard_join_links_isolated_pairs_of_all_sizes(spark):
+    rows = linked_pairs()
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    assert [d for d, _ in rows if got[d] != d - d % 2] == []
+
+
+def test_frames_share_what_is_asked():
+    rng = np.random.default_rng(8)
+    for n in range(5, 301):
+        for m in {-(-n * 75 // 100), n, int(rng.integers(-(-n * 75 // 100), n + 1))}:
+            both = -(-75 * (n + m) // 175)
+            need = max(jaccard.floor_matches(np.array([n, m]), 75))
+            for _ in range(20):
+                order = rng.permutation(n + m - both)  # the first n are one set, the last m the other
+                f, g = (set(np.sort(x)[: int(jaccard.frame_size(len(x), 75))].tolist()) for x in (order[:n], order[n - both :]))
+                assert len(f & g) >= need, (n, m)
+
+
 def test_components(spark):
     rng = np.random.default_rng(0)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(1000 + i, 1001 + i) for i in range(40)]
