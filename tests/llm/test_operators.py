@@ -427,6 +427,25 @@ def test_nearest(spark):
     assert forest.nearest(few.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [1000, 1100, 2000, 4000, 10_000])
+def test_nearest_recall_in_the_real_dimension(n):
+    rng = np.random.default_rng(n)
+    v = rng.normal(size=(n, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    trees = forest.Forest(v)
+    leaves, hits = trees.leaves(v), 0
+    opened = max(len(trees.ways), math.ceil(forest.PROBES * len(trees.ways) * (1 << trees.depth)))
+    for q in range(100):
+        met = np.zeros(n, bool)
+        for t, leaf in trees.probe(v[q], opened):
+            met |= leaves[:, t] == leaf
+        s = v @ v[q]
+        s[q] = -9
+        hits += met[np.argsort(-s)[:5]].sum()
+    print(n, hits / 500)
+    assert hits / 500 > 0.92
+
+
 def test_archives(spark):
     big, small = "é" * 600, "tiny"
     rows = [(1, "http://a/ b\r\nX: y", big), (2, None, big), (3, "u", big), (4, "u", small), (5, "u", small), (6, "u", None), (None, "u", big), (3, "u", big), (7, "u", ""), (8, "u", "z" * 200_000)]
