@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, pieces, shingle_hashes, written
+from .common import fresh, mix, pieces, shingle_hashes, written
 from .components import components
 
 FRAME, LEAST = 64, 16
@@ -94,7 +94,7 @@ def node_of(shingles: np.ndarray) -> int:
 
 
 def shingle_frames(docs: DataFrame, width: int, pct: int) -> DataFrame:
-    """Per row: doc_id, n (set size), node, frame; a node's frame is given once by a task."""
+    """Per row: doc_id, th (hash of its text), n (set size), node, frame; a node's frame is given once by a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[int] = set()
@@ -108,10 +108,12 @@ def shingle_frames(docs: DataFrame, width: int, pct: int) -> DataFrame:
                 fresh_one = node is not None and node not in given
                 frames.append(s[:size].view(np.int64) if fresh_one else None)
                 given.add(node)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(nodes, pa.int64()), pa.array(frames, pa.list_(pa.int64()))], ["doc_id", "n", "node", "frame"])
+            columns = [batch.column(0), batch.column(1), pa.array(n), pa.array(nodes, pa.int64()), pa.array(frames, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "n", "node", "frame"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, node long, frame array<long>")
+    own = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    return own.mapInArrow(run, f"doc_id {kind}, th long, n long, node long, frame array<long>")
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -255,8 +257,8 @@ def links_of(lists: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
         left = open_lists(led.where("node <> y").select("h", "node", "n", "k", "own", "root"), rough_roots(links))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, pct: int = 75) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id."""
+def classed(docs: DataFrame, width: int, pct: int) -> tuple[DataFrame, DataFrame]:
+    """Per row doc_id, n, node; and per node of, root, component."""
     members = written(shingle_frames(docs, width, pct), "frames")
     framed = members.where(F.col("frame").isNotNull()).select("node", "n", F.col("frame").alias("items"))
     maybe = prefix_lists(framed, lambda n: floor_matches(n, pct)).select("node").distinct()
@@ -269,18 +271,42 @@ def near_duplicates(docs: DataFrame, width: int = 5, pct: int = 75) -> DataFrame
     # the class of a row: by its node, or by itself if its set is empty
     classes = low.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = classes.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("component"))
-    named = written(classes.join(least, F.col("root") == F.col("r")).select(F.col("node").alias("of"), "component"), "classes")
+    named = written(classes.join(least, F.col("root") == F.col("r")).select(F.col("node").alias("of"), "root", "component"), "classes")
+    return members, named
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, pct: int = 75) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id."""
+    members, named = classed(docs, width, pct)
     met = members.select("doc_id", F.col("n").alias("n_shingles"), "node").join(named, F.col("node") == F.col("of"), "left")
     return met.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, pct: int = 75) -> DataFrame:
-    """``docs`` without the rows of a component that aren't its smallest doc_id; columns unchanged.
+    """``docs`` without the rows of a component but one; columns unchanged.
 
-    Of rows that repeat a doc_id all stay if it is its component's smallest; rows with a null doc_id
-    stay unless they are near copies of a row that has one.
+    The row with the smallest doc_id stays, a null one only where all are null; of several rows with
+    that doc_id the one whose text has the smallest hash, and of copies of that row any.  Rows are
+    told apart by doc_id and text, so others with the same doc_id, or none, stay.
     """
-    classes = near_duplicates(docs, width, pct)
-    gone = classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id")).distinct()
-    few = checked_broadcast(written(gone, "gone"))
-    return docs.join(few, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    members, named = classed(docs, width, pct)
+    th, gone_th, gone_id = fresh(docs, "th"), fresh(docs, "gone_th"), fresh(docs, "gone_id")
+    rows = written(members.where("n > 0").join(named, F.col("node") == F.col("of")).groupBy("root", "doc_id", "th").agg(F.count("*").alias("n")), "rows")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    # written, so that both sides of the join are dealt anew and a large component's partition can be split
+    first = written(rows.groupBy(F.col("root").alias("r")).agg(F.min(rank).alias("first"), F.sum("n").alias("all")).where("all > 1").select("r", "first"), "first-rows")
+    met = rows.join(first, F.col("root") == F.col("r"))
+    gone, repeated = (
+        written(met.where(which).select(F.col("doc_id").alias(gone_id), F.col("th").alias(gone_th)), name)
+        for which, name in ((rank > F.col("first"), "gone"), ((rank == F.col("first")) & (F.col("n") > 1), "repeated"))
+    )
+
+    def same(few: DataFrame) -> Column:
+        return F.col("doc_id").eqNullSafe(few[gone_id]) & (F.col(th) == few[gone_th])
+
+    few = checked_broadcast(gone)
+    kept = docs.withColumn(th, F.xxhash64("text")).join(few, same(few), "left_anti")
+    if not repeated.isEmpty():
+        many = checked_broadcast(repeated)
+        kept = kept.join(many, same(many), "left_anti").unionByName(kept.join(many, same(many), "left_semi").dropDuplicates(["doc_id", th]))
+    return kept.select(*docs.columns)

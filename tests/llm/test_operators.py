@@ -235,6 +235,17 @@ def test_jaccard_join(docs, empty):
     assert 1 in ids and 2 not in ids and 3 not in ids and 9 in ids and 10 in ids
 
 
+def test_keep_one_removes_rows_not_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    near = lambda t: t.replace("30", "other")
+    gone = [(None, near(a), "a"), (2, near(a), "a"), (None, near(d), "d"), (None, d, "d"), (None, d, "d")]
+    rows = [(1, a, "a"), (None, b, "b"), (2, c, "c"), (None, None, "null"), (None, "", "empty"), *gone]
+    df = spark.createDataFrame(rows, f"{SCHEMA}, th string").repartition(3)
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(r.th for r in kept.collect()) == ["a", "b", "c", "d", "empty", "null"]
+
+
 def test_jaccard_join_in_hot_groups(spark):
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(400)]
