@@ -145,26 +145,26 @@ def _learning(spark, sf_dir):
 @query()
 def tstr_trtr(spark, sf_dir):
     train, test, synth = _learning(spark, sf_dir)
-    return utility.evaluate_utility(train, test, synth, "rich", ["c_acctbal", "c_nationkey"], ["c_mktsegment"], trees=5)
+    return utility.evaluate_utility(train, test, synth, "rich", ["c_acctbal", "c_nationkey"], ["c_mktsegment"])
 
 
 @query()
 def utility_drop(spark, sf_dir):
     train, test, synth = _learning(spark, sf_dir)
-    s = utility.evaluate_utility(train, test, synth, "c_acctbal", ["c_nationkey"], ["c_mktsegment"], models=("random_forest", "linear"), trees=5)
+    s = utility.evaluate_utility(train, test, synth, "c_acctbal", ["c_nationkey"], ["c_mktsegment"])
     return utility.utility_drop(s)
 
 
 @query()
 def aia(spark, sf_dir):
     train, test, _ = _learning(spark, sf_dir)
-    return utility.attribute_inference(train, test, "c_mktsegment", ["c_acctbal", "c_nationkey"], [], trees=5)
+    return utility.attribute_inference(train, test, "c_mktsegment", ["c_acctbal", "c_nationkey"], [])
 
 
 @query()
 def cv_probe(spark, sf_dir):
     train, _, _ = _learning(spark, sf_dir)
-    return utility.cross_validated(train.withColumn("fold", (F.col("c_custkey") % 3).cast("int")), "rich", ["c_acctbal"], [], trees=3)
+    return utility.cross_validated(train.withColumn("fold", (F.col("c_custkey") % 3).cast("int")), "rich", ["c_acctbal"], [])
 
 
 _FOLDS = "(SELECT CAST(o_custkey % 5 AS INT) AS fold, o_orderpriority AS metric, avg(o_totalprice) AS value FROM orders GROUP BY ALL)"

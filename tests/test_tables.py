@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtab.functions import stats
 from loomtab.operators import assoc, audit, compare, dist, prep, privacy, profile, rules, split, synth, utility
+from loomtab.plans import registry
 from loomtab.sources import io
 from loomtab.sources.spec import DatasetSpec
 
@@ -202,6 +203,20 @@ def test_utility_tasks(spark):
     assert {r.metric for r in s.collect()} == {"mse", "mae", "r2"}
 
 
+@pytest.mark.parametrize("name, trees, models", [("tstr_trtr", 100, 3), ("utility_drop", 100, 3), ("aia", 50, 1), ("cv_probe", 50, 1)])
+def test_registered_models_are_whole(spark, sf, monkeypatch, name, trees, models):
+    class Asked(Exception):
+        pass
+
+    def asked(*args, models=utility.MODELS, trees=100, **others):
+        raise Asked(trees, len(models))
+
+    monkeypatch.setattr(utility, "evaluate_utility", asked)
+    with pytest.raises(Asked) as found:
+        registry.queries()[name](spark, sf)
+    assert found.value.args == (trees, models)
+
+
 def test_csv_scan(spark, tmp_path):
     (tmp_path / "t.csv").write_text("1, a, ?\n2, unknown, 3.5\n")
     spec = DatasetSpec(continuous=["n", "m"], categorical=["c"], header=False, names=["n", "c", "m"], na_values=["?", "unknown"])
