@@ -125,7 +125,8 @@ def correction_summary(df: DataFrame, given: list[Rule], passes: int = 3) -> Dat
 def correct_by_resampling(df: DataFrame, pool: DataFrame, given: list[Rule], key: str, seed: int = 42) -> DataFrame:
     """Violating rows get the columns of rule-abiding pool rows; both sides are dealt by ranks within hash buckets.
 
-    Rows for which the pool has no counterpart stay as they are.
+    A bucket's clean rows are dealt again where it has more violating ones, and a bucket without any
+    takes the next one's; what an empty pool leaves is clamped.
     """
     good = pool.where(~any_violated(pool, given))
     marked = df.withColumn("_bad", any_violated(df, given))
@@ -136,9 +137,19 @@ def correct_by_resampling(df: DataFrame, pool: DataFrame, given: list[Rule], key
     bad = deal(marked.where("_bad"), key).withColumn("_rank", F.row_number().over(order))
     spare = deal(good, key).withColumn("_rank", F.row_number().over(order))
     cols = [c for c in df.columns if c != key]
-    taken = spare.select("_bucket", "_rank", F.lit(True).alias("_found"), *[F.col(c).alias(f"_{c}") for c in cols])
-    met = bad.join(taken, ["_bucket", "_rank"], "left")
-    fixed = met.select(*[F.col(c) if c == key else F.when(F.col("_found"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in df.columns])
+    # one row a bucket: where its rows come from, and how many clean rows are there
+    clean = {r["_bucket"]: r["count"] for r in spare.groupBy("_bucket").count().collect()}
+    if not clean:
+        return marked.where("NOT _bad").select(df.columns).unionByName(clamp_correction(bad.select(df.columns), given))
+    source, lent = min(clean), []
+    for bucket in reversed(range(buckets)):
+        source = bucket if bucket in clean else source
+        lent.append((bucket, source, clean[source]))
+    lent = df.sparkSession.createDataFrame(lent, "_bucket long, _source long, _clean long")
+    bad = bad.join(F.broadcast(lent), "_bucket").withColumn("_rank", (F.pmod(F.col("_rank") - 1, F.col("_clean")) + 1).cast("int"))
+    taken = spare.select(F.col("_bucket").alias("_source"), "_rank", *[F.col(c).alias(f"_{c}") for c in cols])
+    met = bad.join(taken, ["_source", "_rank"])
+    fixed = met.select(*[F.col(c) if c == key else F.col(f"_{c}").alias(c) for c in df.columns])
     return marked.where("NOT _bad").select(df.columns).unionByName(fixed)
 
 

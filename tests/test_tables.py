@@ -137,6 +137,17 @@ def test_validation_and_correction(spark):
         DatasetSpec.from_dict({"nothing": 1})
 
 
+def test_resampling_corrects_every_row(spark):
+    given = rules.rules(["x >= 10"])
+    t = spark.range(9000).select(F.col("id").alias("k"), F.when(F.col("id") % 1000 == 0, 10.0 + F.col("id")).otherwise(1.0).alias("x"))
+    done = rules.correct_by_resampling(t, t, given, "k")
+    assert [r.k for r in done.orderBy("k").collect()] == list(range(9000))
+    assert done.where(rules.any_violated(done, given)).count() == 0
+    assert rules.correct_by_resampling(t, t.where("k = 5000"), given, "k").where("x < 10").count() == 0
+    left = rules.correct_by_resampling(t, t.where("x < 10"), given, "k")
+    assert left.count() == 9000 and left.where("x < 10").count() == 0
+
+
 def test_neighbours(spark):
     t = frame(spark, "id long, features array<double>", (1, [1.0, 0.0]), (2, [0.0, 1.0]))
     assert [(r.dcr, r.nndr) for r in privacy.dcr_nndr(t, t).collect()] == [(0, 0), (0, 0)]
