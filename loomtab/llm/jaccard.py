@@ -18,10 +18,14 @@ number of matches k that costs least by those frequencies: its prefix is the sho
 every partner must share at least k shingles, so a longer prefix demands more matches.  A pair that
 shares the smaller of the two k in its prefixes is verified on its whole sets.
 
-Groups: a hot shingle's list is never paired with itself as a whole.  In rounds, each list's leader,
-the node with the smallest part of shingles of its own, as the source of a group of copies has, is
-compared with the list's others and then leaves the list; lists whose nodes are all linked close.
-When what is left would make few pairs for its size, it is paired if it has enough matches.
+Groups: only lists of a few nodes are paired.  In a longer one, the leader, the node with the smallest
+part of shingles of its own, as the source of a group of copies has, is compared with the others.  All
+that it is linked to is connected.  A node x that it isn't linked to shares with it a number c of
+shingles that is too small for any partner z with t (|x| + |z|) / (1 + t) > c, so z must share some of
+what x has outside the leader; x looks for such z under the rarest of those shingles, as many as the
+missing number demands, and stays in its list for smaller partners only.  So it goes on with the new
+lists, of which long ones get leaders in turn, until all lists are short: what counts of x shrinks each
+time, and no list is paired with itself however many copies it holds.
 
 Defined cases: null texts and texts without words are empty sets, linked with nothing (component =
 own doc_id); fewer words than ``width`` make the whole sequence the one shingle; a component's id is
@@ -32,7 +36,7 @@ are left out; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, reduce
 from math import comb
 
 import numpy as np
@@ -49,8 +53,8 @@ CHUNK_CHARS = 1_000_000
 BROADCAST_ROWS = 2_000_000
 #: A verified candidate costs as much as so many list entries.
 VERIFY_COST = 16
-#: Rounds of leaders at most, and the pairs per entry below which what is left is paired.
-ROUNDS, REST = 3, 1.0
+#: A list with so many goals or fewer is paired; longer ones are compared with a leader.
+FEW_GOALS = 8
 
 
 def _ceil(n, pct: int):
@@ -133,25 +137,34 @@ def checked_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def prefix_lists(nodes: DataFrame, floor: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Entries (h, node, n, k, own) of the prefixes that each node chose; nodes that can't match have none.
+def known_shingles(nodes: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """Entries (h, node) of shingles that several nodes have; and per node with some: node, n, size, known (df, h; rare first).
 
-    ``nodes``: node, n, items; a node may come repeatedly.  ``floor``: for set sizes, how many of the
-    items any partner shares at least.  own: thousandths of the items that no other node has.
+    ``nodes``: node, n, items; a node may come repeatedly.
     """
     tokens = nodes.select("node", F.explode("items").alias("h"))
-    shared = written(tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "shared-shingles")
-    met = tokens.join(shared, "h").groupBy("node").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("known"))
+    shared = written(tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), f"{label}-shared")
+    entries = written(tokens.join(shared, "h").select("h", "node", "df"), f"{label}-entries")
+    met = entries.groupBy("node").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("known"))
     about = nodes.groupBy(F.col("node").alias("of")).agg(F.first("n").alias("n"), F.first(F.size("items")).alias("size"))
+    return entries, met.join(about, F.col("node") == F.col("of")).select("node", "known", "n", "size")
+
+
+def prefix_lists(known: DataFrame, floor: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Entries (h, node, n, k, s) of the prefixes that each node chose; nodes that can't match have none.
+
+    ``known``: node, known, n, size.  ``floor``: for set sizes, how many of the items any partner
+    shares at least.  s: how many of the items other nodes have.
+    """
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known = batch.column(1)
-            flat, ends = known.flatten(), np.asarray(known.offsets)
+            given = batch.column(1)
+            flat, ends = given.flatten(), np.asarray(given.offsets)
             df, h = np.asarray(flat.field(0)), np.asarray(flat.field(1))
             node, n, size = (np.asarray(batch.column(i)) for i in (0, 2, 3))
             least = floor(n)
-            out_h, out_row, out_k, out_own = [], [], [], []
+            out_h, out_row, out_k, out_s = [], [], [], []
             for i in range(len(node)):
                 a, b = ends[i] - ends[0], ends[i + 1] - ends[0]
                 alone = size[i] - (b - a)
@@ -167,107 +180,193 @@ def prefix_lists(nodes: DataFrame, floor: Callable[[np.ndarray], np.ndarray]) ->
                 out_h.append(h[a : a + take])
                 out_row.append(np.full(take, i))
                 out_k.append(np.full(take, k[best]))
-                out_own.append(np.full(take, 1000 * alone // size[i]))
+                out_s.append(np.full(take, b - a))
             row = np.concatenate(out_row) if out_row else np.zeros(0, np.int64)
-            columns = [np.concatenate(out_h), node[row], n[row], np.concatenate(out_k), np.concatenate(out_own)] if out_h else [row] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["h", "node", "n", "k", "own"])
+            columns = [np.concatenate(out_h), node[row], n[row], np.concatenate(out_k), np.concatenate(out_s)] if out_h else [row] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["h", "node", "n", "k", "s"])
 
-    both = met.join(about, F.col("node") == F.col("of")).select("node", "known", "n", "size")
-    chosen = written(both.mapInArrow(choose, "h long, node long, n long, k long, own long"), "prefixes")
+    chosen = written(known.mapInArrow(choose, "h long, node long, n long, k long, s long"), "prefixes")
     several = chosen.groupBy(F.col("h").alias("g")).agg(F.count("*").alias("many")).where("many > 1").select("g")
     return written(chosen.join(several, F.col("h") == F.col("g"), "left_semi"), "lists")
 
 
-def _close(n1: Column, n2: Column, pct: int) -> Column:
-    return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * pct
+# --- lists to links: entries are (h, node, n, s, k, goal, lo, hi, root) ------------------------------
+#
+# A goal looks in its list for partners of lo to hi shingles; an entry that isn't one only gets found.
 
 
-def with_leaders(lists: DataFrame) -> DataFrame:
-    """``lists`` with each list's leader y (and its size ny, own part oy and component ry)."""
-    lead = lists.groupBy("h").agg(F.min(F.struct("own", "node", "n", "root")).alias("lead"))
-    # written, so that both sides of the join are dealt anew and a hot shingle's partition can be split
-    lead = written(lead.select("h", F.col("lead.node").alias("y"), F.col("lead.own").alias("oy"), F.col("lead.n").alias("ny"), F.col("lead.root").alias("ry")), "leaders")
-    return lists.join(lead, "h")
+def _least(n: Column, pct: int) -> Column:
+    """Shingles of a partner of n at least."""
+    return F.ceil(n * pct / 100)
 
 
-def star_pairs(led: DataFrame, pct: int) -> DataFrame:
-    """Candidates (x, y) of every list's leader y with the list's others."""
-    met = led.where((F.col("node") != F.col("y")) & (F.col("root") != F.col("ry")) & _close(F.col("n"), F.col("ny"), pct))
-    return met.groupBy(F.col("node").alias("x"), "y").agg(F.first("oy").alias("oy"))
+def _most(n: Column, s: Column, pct: int) -> Column:
+    """Shingles of a partner of n at most, s of which other nodes have."""
+    return F.least(F.floor(n * 100 / pct), F.floor(s * (100 + pct) / pct) - n)
 
 
-def rough_roots(links: DataFrame) -> DataFrame:
-    """node, root for nodes linked to a leader: its foremost leader's foremost leader.
+def with_limits(lists: DataFrame, pct: int) -> DataFrame:
+    """The first round's entries: all are goals, for partners of every size that the threshold allows."""
+    return lists.select("h", "node", "n", "s", "k", F.lit(True).alias("goal"), _least(F.col("n"), pct).alias("lo"), _most(F.col("n"), F.col("s"), pct).alias("hi"), F.col("node").alias("root"))
 
-    Leaders come before what they are linked to in the order of (own, node), so this never goes in
-    circles; nodes with the same root are connected, and the rest is left to later.
+
+def _own(n: Column, s: Column) -> Column:
+    """Thousandths of n shingles that no other node has."""
+    return F.floor((n - s) * 1000 / n)
+
+
+def parted(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries of lists with few goals, and of all others with their list's leader y (oy, ry).
+
+    The leader is of the component that most of the list is in, and there the node with the smallest part of its own.
     """
-    first = links.groupBy(F.col("x").alias("node")).agg(F.min(F.struct("oy", "y")).alias("top")).select("node", F.col("top.y").alias("up"))
-    over = first.select(F.col("node").alias("mid"), F.col("up").alias("top"))
-    return first.join(over, F.col("up") == F.col("mid"), "left").select("node", F.coalesce("top", "up").alias("root"))
+    lead = F.min(F.struct(_own(F.col("n"), F.col("s")).alias("own"), "node"))
+    rooted = entries.groupBy("h", "root").agg(F.count_if("goal").alias("goals"), F.count("*").alias("all"), lead.alias("lead"))
+    rank = F.struct("all", -F.col("lead.own"), "lead.node")
+    per = rooted.groupBy("h").agg(F.sum("goals").alias("goals"), F.max_by(F.struct("lead.own", "lead.node", "root"), rank).alias("lead"), F.count("*").alias("roots"))
+    # written, so that both sides of the join are dealt anew and a hot shingle's partition can be split
+    per = written(per.where("goals > 0 and roots > 1").select("h", "goals", F.col("lead.node").alias("y"), F.col("lead.own").alias("oy"), F.col("lead.root").alias("ry")), "leaders")
+    few = entries.join(per.where(F.col("goals") <= FEW_GOALS).select(F.col("h").alias("g")), F.col("h") == F.col("g"), "left_semi")
+    many = entries.join(per.where(F.col("goals") > FEW_GOALS).drop("goals"), "h")
+    return few, written(many, "led")
+
+
+def paired(few: DataFrame, pct: int) -> DataFrame:
+    """Candidates (x, y) of lists with few goals: each goal with its list's others, if they share as many lists as they must."""
+    a, b = (few.select("h", *[F.col(c).alias(c + z) for c in ("node", "n", "s", "k", "goal", "lo", "hi", "root")]) for z in "xy")
+    first = F.col("ny").between(F.col("lox"), F.col("hix")) & (~F.col("goaly") | (F.col("nodex") < F.col("nodey")))
+    second = F.col("goaly") & F.col("nx").between(F.col("loy"), F.col("hiy")) & (F.col("nodex") < F.col("nodey"))
+    both = F.col("ny").between(_least(F.col("nx"), pct), _most(F.col("nx"), F.col("sx"), pct)) & (F.col("nx") <= _most(F.col("ny"), F.col("sy"), pct))
+    met = a.where("goalx").join(b, "h").where((F.col("rootx") != F.col("rooty")) & (first | second) & both)
+    counted = met.groupBy(F.col("nodex").alias("x"), F.col("nodey").alias("y")).agg(F.count("*").alias("c"), F.min(F.least("kx", "ky")).alias("need"))
+    return counted.where("c >= need").select("x", "y")
 
 
-def rest_pairs(lists: DataFrame, pct: int) -> DataFrame:
-    """Candidates among what is left in different components, with enough shared entries."""
-    a, b = (lists.select("h", *[F.col(c).alias(c + s) for c in ("node", "n", "k", "root")]) for s in "xy")
-    met = a.join(b, "h").where((F.col("nodex") < F.col("nodey")) & (F.col("rootx") != F.col("rooty")) & _close(F.col("nx"), F.col("ny"), pct))
-    return met.select(F.col("nodex").alias("x"), F.col("nodey").alias("y"), F.least("kx", "ky").alias("need"))
+def stars(led: DataFrame) -> DataFrame:
+    """Candidates (x, y, ox, oy) of every long list's leader y with the list's others."""
+    others = led.where((F.col("node") != F.col("y")) & (F.col("root") != F.col("ry"))).withColumn("ox", _own(F.col("n"), F.col("s")))
+    return others.groupBy(F.col("node").alias("x"), "y").agg(F.first("ox").alias("ox"), F.first("oy").alias("oy"))
 
 
-def open_lists(lists: DataFrame, found: DataFrame) -> DataFrame:
-    """The entries of lists whose nodes are in several components, with their present component."""
-    rooted = lists.drop("root").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    return written(rooted.join(mixed.select(F.col("h").alias("g")), F.col("h") == F.col("g"), "left_semi"), "open-lists")
+def rough_roots(links: DataFrame) -> DataFrame:
+    """node, root for nodes linked to one before them in the order of (own, node): the foremost's foremost.
+
+    Nodes with the same root are connected; the rest is left to later.
+    """
+    a, b = F.struct(F.col("ox").alias("own"), F.col("x").alias("node")), F.struct(F.col("oy").alias("own"), F.col("y").alias("node"))
+    down = links.select(F.greatest(a, b).alias("from"), F.least(a, b).alias("to"))
+    first = down.groupBy(F.col("from.node").alias("node")).agg(F.min("to").alias("top")).select("node", F.col("top.node").alias("up"))
+    over = first.select(F.col("node").alias("mid"), F.col("up").alias("top"))
+    return first.join(over, F.col("up") == F.col("mid"), "left").select("node", F.coalesce("top", "up").alias("root"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """The pairs (a written table) whose whole sets reach the threshold."""
+def compared(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """The pairs (a written table) with linked, nx, xs (x's shared shingles), ys."""
     few = checked_broadcast(pairs)
     ends = checked_broadcast(written(pairs.select("y").distinct(), "ends"))
-    left = sets.join(few, sets["node"] == few["x"]).select("x", "y", "oy", F.col("items").alias("xs"))
-    right = sets.join(ends, sets["node"] == ends["y"]).select(F.col("y").alias("z"), F.col("items").alias("ys"))
+    left = sets.join(few, sets["node"] == few["x"]).select(*pairs.columns, F.col("n").alias("nx"), F.col("items").alias("xs"))
+    right = sets.join(ends, sets["node"] == ends["y"]).select(F.col("y").alias("z"), F.col("n").alias("nz"), F.col("items").alias("ys"))
     met = left.join(right, F.col("y") == F.col("z"))
     inter = F.size(F.array_intersect("xs", "ys"))
-    return met.where(inter * 100 >= (F.size("xs") + F.size("ys") - inter) * pct).select("x", "y", "oy")
-
-
-def links_of(lists: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """Links (x, y) that connect what belongs together."""
-    entries = lists.count()
-    left, tried, links = lists.withColumn("root", F.col("node")), None, None
-    for turn in range(ROUNDS + 1):
-        size = left.groupBy("h").count().agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0] or 0
-        last = turn == ROUNDS or size <= max(REST * entries, 1000)
-        if last:
-            # leaders that have left a list met all of its entries, so each round counts as one match more
-            counted = rest_pairs(left, pct).groupBy("x", "y").agg(F.count("*").alias("c"), F.first("need").alias("need"))
-            pairs = counted.where(f"c + {turn} >= need").select("x", "y", F.lit(0).cast("long").alias("oy"))
-        else:
-            led = written(with_leaders(left), "led")
-            pairs = star_pairs(led, pct)
-        if tried is not None:
-            pairs = pairs.join(tried.select(F.least("x", "y").alias("tx"), F.greatest("x", "y").alias("ty")), (F.least("x", "y") == F.col("tx")) & (F.greatest("x", "y") == F.col("ty")), "left_anti")
-        pairs = written(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = written(verified(pairs, sets, pct), "links")
-        links = new if links is None else links.unionByName(new)
-        if last:
-            return links
-        left = open_lists(led.where("node <> y").select("h", "node", "n", "k", "own", "root"), rough_roots(links))
+    return met.withColumn("linked", inter * (100 + pct) >= (F.col("nx") + F.col("nz")) * pct)
+
+
+def remainders(met: DataFrame, before: DataFrame | None, pct: int) -> DataFrame:
+    """Per node x that isn't linked to a leader: node, rest, cut, and the shingles of rest to look under (probes), for partners of lo to hi.
+
+    rest: what the shingles of x that still count have outside the leader.  The others, ``covered`` in
+    number, are too few for partners of more than ``cut`` shingles, so that these share some of rest.
+    Of several leaders that one counts which covers most and leaves sizes to look for; one that
+    covers nothing new counts last, as all under rest has been looked for before.
+    """
+    if before is None:
+        cases = met.withColumn("had", F.col("xs"))
+    else:
+        cases = met.join(before.select(F.col("node").alias("of"), F.col("rest").alias("old")), F.col("x") == F.col("of"), "left").withColumn("had", F.coalesce("old", "xs"))
+    cases = cases.select("x", "nx", F.size("had").alias("size"), F.array_except("had", "ys").alias("rest"), F.size("xs").alias("s"))
+    cases = cases.withColumn("covered", F.col("s") - F.size("rest")).withColumn("cut", F.floor(F.col("covered") * (100 + pct) / pct) - F.col("nx"))
+    hi = _most(F.col("nx"), F.col("s"), pct)
+    fewer = F.size("rest") < F.col("size")
+    rank = F.when(fewer & (F.col("cut") < hi), F.col("covered").cast("long")).when(fewer, -F.col("covered").cast("long")).otherwise(F.lit(-(1 << 40)))
+    best = cases.groupBy("x").agg(F.max_by(F.struct("nx", "s", "size", "rest", "covered", "cut"), rank).alias("b")).select("x", "b.*")
+    lo = F.greatest(_least(F.col("nx"), pct), F.col("cut") + 1)
+    need = F.ceil((F.col("nx") + lo) * pct / (100 + pct)) - F.col("covered")
+    count = F.when((lo <= hi) & (F.size("rest") < F.col("size")), F.greatest(F.size("rest") - need + 1, F.lit(0))).otherwise(0)
+    return best.select(F.col("x").alias("node"), F.col("nx").alias("n"), "rest", F.least("cut", hi).alias("cut"), F.slice("rest", F.lit(1), count.cast("int")).alias("probes"), lo.alias("lo"), hi.alias("hi"))
+
+
+def staying(led: DataFrame, left: DataFrame, pct: int) -> DataFrame:
+    """Of long lists, the nodes of ``left`` that look for partners up to their cut, and all that small."""
+    own = led.where("node <> y").select("h", "node", "n", "s", "root").join(left.select("node", "cut"), "node", "left")
+    own = written(own.withColumn("goal", F.coalesce(F.col("cut") >= _least(F.col("n"), pct), F.lit(False))), "staying")
+    most = written(own.where("goal").groupBy(F.col("h").alias("g")).agg(F.max("cut").alias("most")), "caps")
+    kept = own.join(most, F.col("h") == F.col("g")).where("goal or n <= most")
+    return kept.select("h", "node", "n", "s", F.lit(1).alias("k"), "goal", _least(F.col("n"), pct).alias("lo"), F.col("cut").alias("hi"), "root")
+
+
+def next_entries(left: DataFrame, index: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Lists of the probes of ``left``: under each, its goals and all nodes of the sizes that they look for."""
+    probes = written(left.select(F.explode("probes").alias("h"), "node", "lo", "hi"), "probes")
+    asked = checked_broadcast(written(probes.groupBy(F.col("h").alias("g")).agg(F.min("lo").alias("least"), F.max("hi").alias("most")), "asked"))
+    about = sets.select("node", "n", F.size("items").cast("long").alias("s"))
+    there = index.join(asked, F.col("h") == F.col("g")).select("h", "node", "least", "most").join(about, "node")
+    there = there.join(probes.withColumnRenamed("node", "of").withColumnRenamed("h", "g"), (F.col("h") == F.col("g")) & (F.col("node") == F.col("of")), "left")
+    there = there.where("of is not null or n between least and most").join(roots, "node", "left")
+    return written(there.select("h", "node", "n", "s", F.lit(1).alias("k"), F.col("of").isNotNull().alias("goal"), "lo", "hi", F.coalesce("root", "node").alias("root")), "entries")
+
+
+def renamed(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """``entries`` with their nodes' present roots."""
+    return entries.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def linked_among(entries: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    pairs = written(paired(entries, pct), "pairs")
+    return written(compared(pairs, sets, pct).where("linked").select("x", "y"), "links")
+
+
+def apart(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """The compared pairs (x, y) that are neither linked nor connected by the links so far."""
+    to_x, to_y = (roots.select(F.col("node").alias(f"of{z}"), F.col("root").alias(f"root{z}")) for z in "xy")
+    both = met.where("not linked").join(to_x, F.col("x") == F.col("ofx"), "left").join(to_y, F.col("y") == F.col("ofy"), "left")
+    return both.where(F.coalesce("rootx", "x") != F.coalesce("rooty", "y")).select(*met.columns)
+
+
+def links_of(lists: DataFrame, index: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """Links (x, y) that connect what belongs together.  ``index``: entries (h, node) of whole sets."""
+    entries, left, found, star_links = with_limits(lists, pct), None, [], None
+    while True:
+        few, led = parted(entries)
+        found.append(linked_among(few, sets, pct))
+        if led.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        met = compared(written(stars(led), "star-pairs"), sets, pct)
+        met = written(met.select("x", "y", "ox", "oy", "nx", "linked", F.when(~F.col("linked"), F.col("xs")).alias("xs"), F.when(~F.col("linked"), F.col("ys")).alias("ys")), "met")
+        new = met.where("linked").select("x", "y", "ox", "oy")
+        star_links = new if star_links is None else star_links.unionByName(new)
+        found.append(new.select("x", "y"))
+        roots = written(rough_roots(star_links), "roots")
+        now = written(remainders(apart(met, roots), left, pct), "remainders")
+        found.append(linked_among(staying(renamed(led, roots), now, pct), sets, pct))
+        entries = next_entries(now, index, sets, roots)
+        kept = now.select("node", "rest")
+        left = kept if left is None else written(left.join(kept.select("node"), "node", "left_anti").unionByName(kept), "rests")
 
 
 def classed(docs: DataFrame, width: int, pct: int) -> tuple[DataFrame, DataFrame]:
     """Per row doc_id, n, node; and per node of, root, component."""
     members = written(shingle_frames(docs, width, pct), "frames")
     framed = members.where(F.col("frame").isNotNull()).select("node", "n", F.col("frame").alias("items"))
-    maybe = prefix_lists(framed, lambda n: floor_matches(n, pct)).select("node").distinct()
+    maybe = prefix_lists(known_shingles(framed, "frame")[1], lambda n: floor_matches(n, pct)).select("node").distinct()
     low = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
     wanted = written(maybe.join(low, "node"), "wanted")
     few = checked_broadcast(wanted.select(F.col("node").alias("want"), F.col("low").alias("want_doc")))
     sets = written(shingle_sets(docs.select("doc_id", "text").join(few, F.col("doc_id").eqNullSafe(F.col("want_doc"))), width), "sets")
-    lists = prefix_lists(sets.select("node", F.size("items").cast("long").alias("n"), "items"), lambda n: np.maximum(1, _ceil(n, pct)))
-    found = written(components(links_of(lists, sets, pct), "x", "y"), "components")
+    index, known = known_shingles(sets.select("node", F.size("items").cast("long").alias("n"), "items"), "set")
+    known = written(known, "known")
+    lists = prefix_lists(known, lambda n: np.maximum(1, _ceil(n, pct)))
+    shared = known.select("node", "n", F.col("known.h").alias("items"))
+    found = written(components(links_of(lists, index, shared, pct), "x", "y"), "components")
     # the class of a row: by its node, or by itself if its set is empty
     classes = low.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = classes.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("component"))

@@ -265,6 +265,27 @@ def test_jaccard_join_in_hot_groups(spark):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_jaccard_join_around_the_threshold(spark, seed):
+    """Groups whose members are mostly just under the threshold to each other: cut short, or with edits that a few share."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for g in range(3):
+        base = [f"b{g}x{i}" for i in range(70)]
+        edits = [(int(rng.integers(70)), f"e{g}x{i}") for i in range(12)]
+        for _ in range(110):
+            t = base.copy()
+            for k in rng.choice(12, rng.integers(0, 4), replace=False):
+                t[edits[k][0]] = edits[k][1]
+            if rng.random() < 0.3:
+                t[rng.integers(70)] = f"o{rng.integers(10**6)}"
+            a = int(rng.integers(0, 14)) * int(rng.random() < 0.6)
+            t = t[a:] if rng.random() < 0.5 else t[: len(t) - a]
+            rows.append((len(rows), " ".join(t)))
+    got = collections.Counter(rows_of(jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(5))))
+    assert got == brute_components(rows)
+
+
 def linked_pairs():
     """Pairs of texts of 5 to 300 shingles, just over the threshold: one longer than the other, or both of one size."""
     rng, rows = np.random.default_rng(6), []
