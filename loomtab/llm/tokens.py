@@ -6,7 +6,7 @@ white space is single spaces and line ends is cut there, each distinct piece is
 library's own pre-tokenizer and model, and the ids of the text are those of its pieces in order;
 pieces are told apart by 64-bit hashes within a bounded cache.  Every other text is cut where a character is followed by a single space, and its pieces likewise.
 
-The strings of special tokens inside a text count as ordinary text.
+A text that holds the string of an added token (such as an end mark) is left to the library whole.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ _LATIN_END = "\u0250"
 #: White space that isn't one space or line end between solid characters.
 _UNEVEN = re.compile("[ \n][ \n]|[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Distinct pieces kept by one Python worker before it starts afresh.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_000_000
 
 
 def _is_even(text: str) -> bool:
@@ -46,7 +46,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.cutter = self.tokenizer.model, self.tokenizer.pre_tokenizer
         # how the vocabulary writes each byte, as the library's pre-tokenizer shows it
         self.bytes: dict[int, str] = {}
@@ -57,11 +57,12 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes of known pieces, in order, and where they are kept
         self.loose: dict[str, list[int]] = {}
         self.pool = np.zeros(1 << 20, np.uint32)
         self.used = 0
         self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._keep([self.marks[","], self.marks["."]])
 
     def _ids(self, text: str) -> list[int]:
         return [t.id for word, _ in self.cutter.pre_tokenize_str(text) for t in self.model.tokenize(word)]
@@ -79,20 +80,16 @@ class Encoder:
         if piece.isascii() or max(piece) < _LATIN_END:
             if piece.isalpha():
                 return self._word(" " + piece)
-            if piece[-1] in self.marks and piece[:-1].isalpha():
-                return self._word(" " + piece[:-1]) + self.marks[piece[-1]]
             if piece[0] == "\n" and piece[1:].isalpha():
                 return self.line + self._word(piece[1:])
         return self._ids(piece if piece[0] == "\n" else " " + piece)
 
-    def _learn(self, keys: list[int], new: list[str]) -> None:
-        ids = [self._of(p) for p in new]
+    def _keep(self, ids: list[list[int]]) -> None:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(sizes.sum())
         while self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
-        self.known.update(zip(keys, range(len(self.begin), len(self.begin) + len(keys))))
         self.begin = np.concatenate([self.begin, self.used + np.cumsum(sizes) - sizes])
         self.count = np.concatenate([self.count, sizes])
         self.used += total
@@ -106,22 +103,33 @@ class Encoder:
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         spaced = np.zeros(len(starts), bool)
         spaced[1:] = data[starts[1:] - 1] == 32
+        # a full stop or comma that ends a piece after an ASCII letter has an id of its own
+        last = data[ends - 1]
+        before = data[np.maximum(ends - 2, 0)] | 32
+        marked = ((last == 46) | (last == 44)) & (ends - starts > 1) & (before >= 97) & (before <= 122)
+        ends = ends - marked
         keys = span_hashes(data, starts, ends) ^ np.where(spaced, np.uint64(0x6A09E667F3BCC909), np.uint64(0))
         distinct, where, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        listed = distinct.tolist()
-        numbers = list(map(self.known.get, listed))
-        new = [i for i, n in enumerate(numbers) if n is None]
-        if new:
+        at = np.searchsorted(self.keys, distinct)
+        known = np.zeros(len(distinct), bool)
+        known[at < len(self.keys)] = self.keys[at[at < len(self.keys)]] == distinct[at < len(self.keys)]
+        numbers = np.full(len(distinct), -1)
+        numbers[known] = self.numbers[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
             raw = data.tobytes()
-            at, to, after = starts[where[new]].tolist(), ends[where[new]].tolist(), spaced[where[new]].tolist()
-            words = [raw[x:y].decode() if z else "\n" + raw[x:y].decode() for x, y, z in zip(at, to, after)]
-            for k, i in enumerate(new):
-                numbers[i] = len(self.begin) + k
-            self._learn([listed[i] for i in new], words)
+            edges = starts[where[new]].tolist(), ends[where[new]].tolist(), spaced[where[new]].tolist()
+            numbers[new] = len(self.begin) + np.arange(len(new))
+            self._keep([self._of(raw[x:y].decode() if z else "\n" + raw[x:y].decode()) for x, y, z in zip(*edges)])
+            self.keys, self.numbers = np.insert(self.keys, at[new], distinct[new]), np.insert(self.numbers, at[new], numbers[new])
         bounds = np.concatenate([[0], np.flatnonzero(data == 10) + 1]) if len(texts) else np.zeros(1, np.int64)
         lines = np.fromiter((t.count("\n") + 1 for t in texts), np.int64, len(texts))
         bounds = bounds[np.concatenate([[0], np.cumsum(lines)])]
-        return np.array(numbers, np.int64)[inverse], np.diff(np.searchsorted(starts, bounds))
+        upto = np.concatenate([[0], np.cumsum(1 + marked)])
+        index = np.empty(upto[-1], np.int64)
+        index[upto[:-1]] = numbers[inverse]
+        index[upto[1:][marked] - 1] = last[marked] == 46  # the two marks are the first pieces learnt: 0 and 1
+        return index, np.diff(upto[np.searchsorted(starts, bounds)])
 
     def _loose(self, text: str) -> np.ndarray:
         """Ids of a text with any white space."""
@@ -135,9 +143,10 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts in order, each text followed by the end id; and the bounds of the texts in them."""
-        if len(self.known) > CACHE_PIECES or len(self.loose) > CACHE_PIECES // 4:
+        if len(self.keys) > CACHE_PIECES or len(self.loose) > CACHE_PIECES // 10:
             self._clear()
-        even = list(map(_is_even, texts))
+        whole = [any(a in t for a in self.added) for t in texts]
+        even = [not w and _is_even(t) for t, w in zip(texts, whole)]
         index, sizes = self._pieces([t for t, e in zip(texts, even) if e])
         counts = self.count[index]
         ends = np.concatenate([[0], np.cumsum(counts)])
@@ -145,8 +154,10 @@ class Encoder:
         edges = iter(ends[np.concatenate([[0], np.cumsum(sizes)])].tolist())
         at = next(edges)
         parts: list[np.ndarray] = []
-        for t, e in zip(texts, even):
-            if e:
+        for t, e, w in zip(texts, even, whole):
+            if w:
+                parts.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32))
+            elif e:
                 at, before = next(edges), at
                 parts.append(flat[before + len(self.line) : at])
             else:
