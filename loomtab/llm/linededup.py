@@ -4,7 +4,7 @@ Line keys are hashed; (hash, document) pairs are range-partitioned and sorted by
 position, so a line that a third of all documents share spreads over many partitions.  The sorted
 stream gives each document's positions of a key, small partial aggregates give the number of
 documents and the surviving document of a key, and per document the decisions come back as a keep
-bitmap compressed to the positions of its zeros, which expands into the runs of lines to keep.  Text
+bitmap, compressed to the runs of lines that stay.  Text
 is shuffled once, to meet its bitmap.
 
 Keys are compared by two independent 64-bit hashes.
@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, ascii_lower, fresh, written
 
+#: Length of a bitmap's last run: beyond any text's lines.
+OPEN = 2**30
+
 
 def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
@@ -47,33 +50,32 @@ def dropped_positions(docs: DataFrame, min_chars: int, min_docs: int) -> DataFra
     return each.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
 
 
-def keep_runs(gone: Column, n_lines: Column) -> Column:
-    """Runs (start, len) of the lines that stay, from the sorted positions that go."""
+def keep_runs(gone: Column) -> Column:
+    """Keep bitmap, compressed to the runs (start, len) of its ones, from the sorted positions of its zeros; the last run is open."""
     before = F.concat(F.array(F.lit(-1)), gone)
-    after = F.concat(gone, F.array(n_lines))
+    after = F.concat(gone, F.array(F.lit(OPEN)))
     runs = F.zip_with(before, after, lambda x, y: F.struct((x + 1).alias("start"), (y - x - 1).alias("len")))
     return F.filter(runs, lambda r: r["len"] > 0)
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """Per row that loses lines: doc_id, th and gone, its keep bitmap compressed to the sorted positions of its zeros."""
-    return dropped_positions(docs, min_chars, min_docs)
+    """Per row that loses lines: doc_id, th, keep, its keep bitmap as runs of the lines that stay, and zeros, the lines that go."""
+    return dropped_positions(docs, min_chars, min_docs).select("doc_id", "th", keep_runs(F.col("gone")).alias("keep"), F.size("gone").alias("zeros"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """``docs`` with the lost lines gone from ``text``, plus n_lines (before) and n_dropped."""
-    th, gone, total, lost = (fresh(docs, c) for c in ("th", "gone", "n_lines", "n_dropped"))
-    key = fresh(docs, "key_id")
-    maps = keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias(key), F.col("th").alias(th), F.col("gone").alias(gone))
+    th, keep, total, lost = (fresh(docs, c) for c in ("th", "keep", "n_lines", "n_dropped"))
+    key, zeros = fresh(docs, "key_id"), fresh(docs, "zeros")
+    maps = keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias(key), F.col("th").alias(th), F.col("keep").alias(keep), F.col("zeros").alias(zeros))
     own = docs.withColumn(th + "_own", F.xxhash64("text"))
     met = own.join(maps.hint("shuffle_hash"), own["doc_id"].eqNullSafe(maps[key]) & (own[th + "_own"] == maps[th]), "left")
     lines = lines_of(F.col("text"))
-    runs = keep_runs(F.col(gone), F.size(lines))
-    kept = F.array_join(F.flatten(F.transform(runs, lambda r: F.slice(lines, r["start"] + 1, r["len"]))), "\n")
+    kept = F.array_join(F.flatten(F.transform(keep, lambda r: F.slice(lines, r["start"] + 1, F.least(r["len"], F.size(lines) - r["start"])))), "\n")
     return met.select(
-        *[F.when(F.col(gone).isNull(), F.col(c)).otherwise(kept).alias(c) if c == "text" else F.col(c) for c in docs.columns],
+        *[F.when(F.col(keep).isNull(), F.col(c)).otherwise(kept).alias(c) if c == "text" else F.col(c) for c in docs.columns],
         F.size(lines).cast("long").alias(total),
-        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(lost),
+        F.coalesce(F.col(zeros), F.lit(0)).cast("long").alias(lost),
     )
 
 
