@@ -27,6 +27,7 @@ from .common import _power_table, mix, pieces
 Q, EDIT_SHARE, MIN_ITEM = 10, 0.08, 30
 BLOCK_BYTES = 4_000_000
 CHUNK_CHARS = 2_000_000
+PAIRS = 2_000_000  # pairs of a text's and an item's q-grams that are counted at a time
 _FILTER = 1 << 24  # slots of the first, approximate test
 _BASE = 0x9E3779B97F4A7C15
 _ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -92,19 +93,31 @@ class Index:
         left = np.searchsorted(self.hashes, g[at], "left")
         many = np.searchsorted(self.hashes, g[at], "right") - left
         at, left, many = at[many > 0], left[many > 0], many[many > 0]
-        if not len(at):
-            return []
-        entry = np.repeat(left - np.cumsum(many) + many, many) + np.arange(many.sum())
-        item, diagonal = self.item[entry], np.repeat(at, many) - self.pos[entry]
+        # repetitive texts share every gram with every place of repetitive items: so many pairs at a time
+        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(many) // PAIRS)) + 1).tolist(), len(at)]
+        slices = [(at[a:b], left[a:b], many[a:b]) for a, b in zip(cuts, cuts[1:]) if a < b]
+
+        def pairs(at: np.ndarray, left: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            entry = np.repeat(left - np.cumsum(many) + many, many) + np.arange(many.sum())
+            return self.item[entry], np.repeat(at, many) - self.pos[entry]
+
         # enough shared q-grams in the whole text at all
-        enough = np.bincount(item, minlength=len(self.ids)) >= self.bound
-        item, diagonal = item[enough[item]], diagonal[enough[item]]
-        if not len(item):
+        shared = np.zeros(len(self.ids), np.int64)
+        for part in slices:
+            shared += np.bincount(pairs(*part)[0], minlength=len(self.ids))
+        enough = shared >= self.bound
+        if not enough.any():
             return []
-        step = self.budget[item] + 1
-        band = np.floor_divide(diagonal, step)
-        key = np.concatenate([(item << np.int64(40)) + band, (item << np.int64(40)) + band - 1])
-        found, count = np.unique(key, return_counts=True)
+        found, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for part in slices:
+            item, diagonal = pairs(*part)
+            item, diagonal = item[enough[item]], diagonal[enough[item]]
+            band = np.floor_divide(diagonal, self.budget[item] + 1)
+            key, n = np.unique(np.concatenate([(item << np.int64(40)) + band, (item << np.int64(40)) + band - 1]), return_counts=True)
+            if len(found):
+                key, back = np.unique(np.concatenate([found, key]), return_inverse=True)
+                n = np.bincount(back, np.concatenate([count, n]), len(key)).astype(np.int64)
+            found, count = key, n
         item = (found + (1 << 39)) >> np.int64(40)
         band = found - (item << np.int64(40))
         good = count >= self.bound[item]
