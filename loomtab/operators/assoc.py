@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import correlation
 from .profile import number
+from .running import sums_below
 
 Pairs = list[tuple[str, str]]
 
@@ -34,8 +35,7 @@ def average_ranks(df: DataFrame, by: list[str], value: str, name: str = "rank")
     Values are counted first, so the running sum goes over distinct values only.
     """
     counts = df.groupBy(*by, value).agg(F.count("*").alias("n"))
-    below = F.sum("n").over(W.partitionBy(*by).orderBy(value)) - F.col("n")
-    return counts.withColumn(name, below + (F.col("n") + 1) / 2)
+    return sums_below(counts, by, value, {"n": "_below"}).withColumn(name, F.col("_below") + (F.col("n") + 1) / 2).drop("_below")
 
 
 def spearman(df: DataFrame, pairs: Pairs) -> DataFrame:
@@ -45,8 +45,8 @@ def spearman(df: DataFrame, pairs: Pairs) -> DataFrame:
     ranks = {}
     for v in ("x", "y"):
         counts = rows.groupBy("pair", v).agg(F.sum("m").alias("n"))
-        below = F.sum("n").over(W.partitionBy("pair").orderBy(v)) - F.col("n")
-        ranks[v] = counts.select(F.col("pair").alias(f"p{v}"), F.col(v).alias(f"v{v}"), (below + (F.col("n") + 1) / 2).alias(f"r{v}"))
+        ranked = sums_below(counts, ["pair"], v, {"n": "below"})
+        ranks[v] = ranked.select(F.col("pair").alias(f"p{v}"), F.col(v).alias(f"v{v}"), (F.col("below") + (F.col("n") + 1) / 2).alias(f"r{v}"))
     met = rows.join(ranks["x"], (F.col("pair") == F.col("px")) & (F.col("x") == F.col("vx"))).join(ranks["y"], (F.col("pair") == F.col("py")) & (F.col("y") == F.col("vy")))
     m, a, b = F.col("m"), F.col("rx"), F.col("ry")
     s = met.groupBy("pair").agg(F.sum("m").alias("n"), *[F.sum(m * e).alias(k) for k, e in (("a", a), ("b", b), ("aa", a * a), ("bb", b * b), ("ab", a * b))])
@@ -151,8 +151,10 @@ def mi_ranking(df: DataFrame, features: list[str], target: str, continuous: list
 def conditional_mutual_information(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
     """I(X;Y|Z) in bits by plug-in entropies, all four from one pass; under 10 complete rows it is 0."""
     cells = df.select(*[F.col(c).cast("string").alias(k) for c, k in ((x, "x"), (y, "y"), (z, "z"))]).dropna().groupBy("x", "y", "z").agg(F.count("*").alias("n"))
-    w = lambda *k: F.sum("n").over(W.partitionBy(*k))
-    t = cells.withColumns({"xz": w("x", "z"), "yz": w("y", "z"), "nz": w("z"), "total": F.sum("n").over(W.partitionBy(F.lit(1)))})
+    t = cells
+    for keys, name in ((["x", "z"], "xz"), (["y", "z"], "yz"), (["z"], "nz")):
+        t = t.join(cells.groupBy(*keys).agg(F.sum("n").alias(name)), keys)
+    t = t.join(F.broadcast(cells.agg(F.sum("n").alias("total"))))
     v = F.sum(F.col("n") / F.col("total") * F.log2(F.col("n") * F.col("nz") / (F.col("xz") * F.col("yz"))))
     return t.agg(F.when(F.max("total") >= 10, F.greatest(v, F.lit(0.0))).otherwise(0.0).alias("cmi"))
 

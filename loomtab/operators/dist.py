@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import chi2_p, ks_p
 from .profile import frequencies, long_numbers, number, skew_unbiased  # noqa: F401
+from .running import in_ranges
 
 
 def united(real: DataFrame, synth: DataFrame) -> DataFrame:
@@ -21,23 +22,24 @@ def united(real: DataFrame, synth: DataFrame) -> DataFrame:
 def ecdf_gaps(real: DataFrame, synth: DataFrame, cols: list[str]) -> DataFrame:
     """(col, x, nr, ns, gap, next): both distribution functions' difference at each distinct value.
 
-    A first sum per range of values keeps the running sum from gathering a whole column in one task:
-    ranges come from approximate quantiles, and each adds the totals of those before it.
+    A first sum per range of values keeps the running sum from gathering a whole column in one task.
     """
     rows = long_numbers(united(real, synth), cols, ["src"])
-    counts = rows.groupBy("col", "x").agg(F.count_if(F.col("src") == "real").alias("nr"), F.count_if(F.col("src") == "synth").alias("ns"))
-    edges = rows.groupBy("col").agg(F.percentile_approx("x", F.array(*[F.lit(i / 64) for i in range(1, 64)]), 1000).alias("edges"))
-    # one row of 63 numbers per column
-    placed = counts.join(F.broadcast(edges), "col").withColumn("part", F.size(F.filter("edges", lambda e: e < F.col("x")))).drop("edges")
-    parts = placed.groupBy("col", "part").agg(F.sum("nr").alias("pr"), F.sum("ns").alias("ps"), F.min("x").alias("first"))
-    w = W.partitionBy("col").orderBy("part")
-    all_of = W.partitionBy("col")
-    before = parts.select("col", "part", (F.sum("pr").over(w) - F.col("pr")).alias("br"), (F.sum("ps").over(w) - F.col("ps")).alias("bs"), F.sum("pr").over(all_of).alias("tr"), F.sum("ps").over(all_of).alias("ts"), F.lead("first").over(w).alias("next_first"))
-    inner = W.partitionBy("col", "part").orderBy("x")
-    met = placed.join(F.broadcast(before), ["col", "part"])
+    return gaps(rows.groupBy("col", "x").agg(F.count_if(F.col("src") == "real").alias("nr"), F.count_if(F.col("src") == "synth").alias("ns")), ["col"])
+
+
+def gaps(counts: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., x, nr, ns, tr, ts, gap, next) from the counts (by..., x, nr, ns) of distinct values."""
+    placed = in_ranges(counts, by, "x")
+    parts = placed.groupBy(*by, "part").agg(F.sum("nr").alias("pr"), F.sum("ns").alias("ps"), F.min("x").alias("first"))
+    w = W.partitionBy(*by).orderBy("part")
+    all_of = W.partitionBy(*by)
+    before = parts.select(*by, "part", (F.sum("pr").over(w) - F.col("pr")).alias("br"), (F.sum("ps").over(w) - F.col("ps")).alias("bs"), F.sum("pr").over(all_of).alias("tr"), F.sum("ps").over(all_of).alias("ts"), F.lead("first").over(w).alias("next_first"))
+    inner = W.partitionBy(*by, "part").orderBy("x")
+    met = placed.join(F.broadcast(before), [*by, "part"])
     fr = (F.col("br") + F.sum("nr").over(inner)) / F.nullif("tr", F.lit(0))
     fs = (F.col("bs") + F.sum("ns").over(inner)) / F.nullif("ts", F.lit(0))
-    return met.select("col", "x", "nr", "ns", "tr", "ts", (fr - fs).alias("gap"), F.coalesce(F.lead("x").over(inner), "next_first").alias("next"))
+    return met.select(*by, "x", "nr", "ns", "tr", "ts", (fr - fs).alias("gap"), F.coalesce(F.lead("x").over(inner), "next_first").alias("next"))
 
 
 def wasserstein(real: DataFrame, synth: DataFrame, cols: list[str], on_empty: float | None = None) -> DataFrame:
@@ -205,9 +207,7 @@ def rank_candidates(real: DataFrame, candidates: DataFrame, key: str, continuous
     keys = rate.select(F.col(key).alias("_key"))
     grid = keys.join(base).select("_key", "col", "x", "nr", F.lit(0).cast("long").alias("ns")).unionByName(rows.select("_key", "col", "x", F.lit(0).cast("long").alias("nr"), "ns"))
     both = grid.groupBy("_key", "col", "x").agg(F.sum("nr").alias("nr"), F.sum("ns").alias("ns"))
-    by = W.partitionBy("_key", "col")
-    gap = F.sum("nr").over(by.orderBy("x")) / F.sum("nr").over(by) - F.sum("ns").over(by.orderBy("x")) / F.sum("ns").over(by)
-    steps = both.select("_key", "col", "x", "nr", gap.alias("gap"), F.lead("x").over(by.orderBy("x")).alias("next"))
+    steps = gaps(both, ["_key", "col"])
     scaled = steps.groupBy("_key", "col").agg((F.sum(F.abs("gap") * (F.col("next") - F.col("x"))) / F.nullif(F.max(F.when(F.col("nr") > 0, F.col("x"))) - F.min(F.when(F.col("nr") > 0, F.col("x"))), F.lit(0.0))).alias("d")).select("_key", "d")
     f = frequencies(candidates.withColumn("_key", F.col(key)), categorical, ["_key"]).select("_key", "col", "value", F.lit(0.0).alias("p"), F.col("share").alias("q"))
     g = keys.join(frequencies(real, categorical)).select("_key", "col", "value", F.col("share").alias("p"), F.lit(0.0).alias("q"))

@@ -232,9 +232,9 @@ class Preprocessor:
             x = F.col(c)
             lo, hi = (bounds or {}).get(c, (None, None))
             if lo is not None:
-                x = F.greatest(x, F.lit(float(lo)))
+                x = F.when(x.isNotNull(), F.greatest(x, F.lit(float(lo))))
             if hi is not None:
-                x = F.least(x, F.lit(float(hi)))
+                x = F.when(x.isNotNull(), F.least(x, F.lit(float(hi))))
             fixed[c] = F.bround(x, 0).cast("long") if self._integer(kinds.get(c)) else x
         out = self.unimpute(out.withColumns(fixed))
         return out.select(*order) if order else out

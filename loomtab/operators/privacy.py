@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .assoc import average_ranks
+from .running import exact_quantiles
 
 BLOCK = 4096
 
@@ -62,7 +63,7 @@ def dcr_summary(real: DataFrame, synth: DataFrame, **how) -> DataFrame:
 
 def leakage(train: DataFrame, holdout: DataFrame, synth: DataFrame, **how) -> DataFrame:
     """Share of synthetic rows nearer to training rows than 95 % of the holdout, with that threshold."""
-    base = nearest_two(holdout, train, **how).agg(F.greatest(F.percentile("d1", 0.05), F.lit(1e-8)).alias("threshold"))
+    base = exact_quantiles(nearest_two(holdout, train, **how), [], (0.05,), "d1").select(F.greatest(F.col("q")[0], F.lit(1e-8)).alias("threshold"))
     return nearest_two(synth, train, **how).join(F.broadcast(base)).agg(F.first("threshold").alias("threshold"), (100.0 * F.avg((F.col("d1") < F.col("threshold")).cast("double"))).alias("leakage_pct"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import correlation
+from .running import exact_quantiles
 
 
 def number(col: str | Column) -> Column:
@@ -17,6 +18,12 @@ def number(col: str | Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def finite(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The rows whose values in ``cols`` are all numbers, neither NaN nor infinite."""
+    good = lambda x: F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False))
+    return df.where(reduce(lambda a, b: a & b, [good(number(c)) for c in cols]))
+
+
 def long_numbers(df: DataFrame, cols: list[str], keep: list[str] | None = None) -> DataFrame:
     """(keep..., col, x) with the non-null numbers of all columns."""
     keep = keep or []
@@ -41,24 +48,27 @@ def kurtosis_unbiased(x: str = "x") -> Column:
     return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(x) + 6))
 
 
-def quantiles(exact: bool, *q: float) -> Column:
-    wanted = F.array(*[F.lit(v) for v in q])
-    return F.percentile("x", wanted) if exact else F.percentile_approx("x", wanted, 100_000)
+def quantiles(rows: DataFrame, by: list[str], exact: bool, *q: float) -> DataFrame:
+    """(by..., q): quantiles of x, exact by counted values, or approximate in one pass."""
+    if exact:
+        return exact_quantiles(rows, by, q)
+    return rows.groupBy(*by).agg(F.percentile_approx("x", F.array(*[F.lit(v) for v in q]), 100_000).alias("q"))
 
 
 def describe_continuous(df: DataFrame, cols: list[str], exact: bool = True) -> DataFrame:
     """count, mean, std, min, quartiles, max, skew, kurtosis, iqr, range, zero_count, zero_ratio per column."""
-    out = long_numbers(df, cols).groupBy("col").agg(
+    rows = long_numbers(df, cols)
+    out = rows.groupBy("col").agg(
         F.count("x").alias("count"),
         F.avg("x").alias("mean"),
         F.stddev_samp("x").alias("std"),
         F.min("x").alias("min"),
-        quantiles(exact, 0.25, 0.5, 0.75).alias("q"),
         F.max("x").alias("max"),
         skew_unbiased().alias("skew"),
         kurtosis_unbiased().alias("kurtosis"),
         F.count_if(F.col("x") == 0).alias("zero_count"),
     )
+    out = out.join(F.broadcast(quantiles(rows, ["col"], exact, 0.25, 0.5, 0.75)), "col")
     q = F.col("q")
     return out.select(
         "col", "count", "mean", "std", "min", q[0].alias("q25"), q[1].alias("median"), q[2].alias("q75"), "max", "skew", "kurtosis",
@@ -70,7 +80,13 @@ def frequencies(df: DataFrame, cols: list[str], keep: list[str] | None = None) -
     """(keep..., col, value, n, share): the one table that all categorical profiles read."""
     by = [*(keep or []), "col"]
     counts = long_values(df, cols, keep).groupBy(*by, "value").agg(F.count("*").alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy(*by)))
+    return counts.join(counts.groupBy(*by).agg(F.sum("n").alias("_all")), by).select(*by, "value", "n", (F.col("n") / F.col("_all")).alias("share"))
+
+
+def listed(ranked: DataFrame, top: int, text: Column, name: str) -> DataFrame:
+    """(col, name): the first ``top`` texts per column by ``rank``, joined; the rest is cut before anything is gathered."""
+    first = ranked.where(F.col("rank") <= top)
+    return first.groupBy("col").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", text.alias("t")))), lambda s: s["t"]), ";").alias(name))
 
 
 def entropy(share: str = "share") -> Column:
@@ -80,23 +96,19 @@ def entropy(share: str = "share") -> Column:
 
 def describe_categorical(df: DataFrame, cols: list[str], top: int = 20) -> DataFrame:
     """count, cardinality, mode (ties: smallest), its frequency and share, entropy, top values per column."""
-    ranked = frequencies(df, cols).withColumn("rank", F.row_number().over(W.partitionBy("col").orderBy(F.desc("n"), "value")))
-    return ranked.groupBy("col").agg(
-        F.sum("n").alias("count"),
-        F.count("*").alias("cardinality"),
-        F.max(F.when(F.col("rank") == 1, F.col("value"))).alias("mode"),
-        F.max("n").alias("mode_freq"),
-        F.max("share").alias("mode_pct"),
-        entropy().alias("entropy"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= top, F.struct("rank", "value", "n")))), lambda s: F.concat_ws("=", s["value"], s["n"])), ";").alias("top_values"),
-    )
+    counted = frequencies(df, cols)
+    ranked = counted.withColumn("rank", F.row_number().over(W.partitionBy("col").orderBy(F.desc("n"), "value")))
+    stats = counted.groupBy("col").agg(F.sum("n").alias("count"), F.count("*").alias("cardinality"), F.max("n").alias("mode_freq"), F.max("share").alias("mode_pct"), entropy().alias("entropy"))
+    mode = ranked.where("rank = 1").select("col", F.col("value").alias("mode"))
+    tops = listed(ranked, top, F.concat_ws("=", "value", "n"), "top_values")
+    return stats.join(F.broadcast(mode), "col").join(F.broadcast(tops), "col").select("col", "count", "cardinality", "mode", "mode_freq", "mode_pct", "entropy", "top_values")
 
 
 def class_balance(df: DataFrame, target: str) -> DataFrame:
     """Per class its count and share; with the majority/minority ratio and the entropy of the target."""
     f = frequencies(df, [target])
-    w = W.partitionBy("col")
-    return f.select("value", "n", "share", (F.max("n").over(w) / F.min("n").over(w)).alias("imbalance_ratio"), F.abs(F.sum(-F.col("share") * F.log2("share")).over(w)).alias("entropy"))
+    whole = f.agg((F.max("n") / F.min("n")).alias("imbalance_ratio"), entropy().alias("entropy"))
+    return f.join(F.broadcast(whole)).select("value", "n", "share", "imbalance_ratio", "entropy")
 
 
 def missing_profile(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -126,15 +138,13 @@ def duplicates(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
     return groups.agg(F.sum("n").alias("rows"), F.sum(F.col("n") - 1).alias("duplicates"), (100.0 * F.sum(F.col("n") - 1) / F.sum("n")).alias("duplicate_pct"))
 
 
-def cardinality(df: DataFrame, cols: list[str], rare: float = 0.01, listed: int = 20) -> DataFrame:
-    """Distinct values and rare ones (share below ``rare``, at most ``listed`` of them named) per column."""
+def cardinality(df: DataFrame, cols: list[str], rare: float = 0.01, most: int = 20) -> DataFrame:
+    """Distinct values and rare ones (share below ``rare``, at most ``most`` of them named) per column."""
     f = frequencies(df, cols)
     is_rare = F.col("share") < rare
-    return f.groupBy("col").agg(
-        F.count("*").alias("cardinality"),
-        F.count_if(is_rare).alias("rare_count"),
-        F.array_join(F.slice(F.array_sort(F.collect_list(F.when(is_rare, F.col("value")))), 1, listed), ";").alias("rare_values"),
-    )
+    counts = f.groupBy("col").agg(F.count("*").alias("cardinality"), F.count_if(is_rare).alias("rare_count"))
+    ranked = f.where(is_rare).withColumn("rank", F.row_number().over(W.partitionBy("col").orderBy("value")))
+    return counts.join(F.broadcast(listed(ranked, most, F.col("value"), "rare_values")), "col", "left").na.fill("", ["rare_values"])
 
 
 def _flagged(df: DataFrame, cols: list[str], bounds: DataFrame) -> DataFrame:
@@ -148,7 +158,7 @@ def _flagged(df: DataFrame, cols: list[str], bounds: DataFrame) -> DataFrame:
 
 
 def iqr_bounds(df: DataFrame, cols: list[str], multiplier: float = 1.5, exact: bool = True) -> DataFrame:
-    q = long_numbers(df, cols).groupBy("col").agg(quantiles(exact, 0.25, 0.75).alias("q"))
+    q = quantiles(long_numbers(df, cols), ["col"], exact, 0.25, 0.75)
     step = multiplier * (F.col("q")[1] - F.col("q")[0])
     return q.select("col", (F.col("q")[0] - step).alias("lower"), (F.col("q")[1] + step).alias("upper"))
 
@@ -161,9 +171,9 @@ def zscore_bounds(df: DataFrame, cols: list[str], threshold: float = 3.0) -> Dat
 
 def mad_bounds(df: DataFrame, cols: list[str], threshold: float = 3.5, exact: bool = True) -> DataFrame:
     x = long_numbers(df, cols)
-    med = x.groupBy("col").agg(quantiles(exact, 0.5)[0].alias("med"))
+    med = quantiles(x, ["col"], exact, 0.5).select("col", F.col("q")[0].alias("med"))
     away = x.join(F.broadcast(med), "col").select("col", "med", F.abs(F.col("x") - F.col("med")).alias("x"))
-    mad = away.groupBy("col", "med").agg(quantiles(exact, 0.5)[0].alias("mad"))
+    mad = quantiles(away, ["col", "med"], exact, 0.5).select("col", "med", F.col("q")[0].alias("mad"))
     half = F.when(F.col("mad") != 0, threshold * F.col("mad") / 0.6745)
     return mad.select("col", (F.col("med") - half).alias("lower"), (F.col("med") + half).alias("upper"))
 

@@ -11,9 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.spec import DatasetSpec
-from .profile import number
+from .profile import listed, number
 
-_RULE = re.compile(r"^\s*(\S+)\s+(>=|<=|==|!=|>|<)\s+(\S+)\s*$")
+_RULE = re.compile(r"^\s*(\S(?:.*?\S)?)\s+(>=|<=|==|!=|>|<)\s+(\S(?:.*\S)?)\s*$")
 #: Values that a domain always allows.
 ALWAYS = ("Unknown", "missing")
 
@@ -213,11 +213,9 @@ def domain_audit(df: DataFrame, domains: dict[str, list[str]], samples: int = 5)
     for c in cols:
         allowed = allowed | ((F.col("col") == c) & F.col("value").isin([*domains[c], *ALWAYS]))
     bad = ~allowed & F.col("value").isNotNull()
-    return counts.groupBy("col").agg(
-        F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("invalid"),
-        (100.0 * F.sum(F.when(bad, F.col("n")).otherwise(0)) / F.sum("n")).alias("invalid_pct"),
-        F.array_join(F.slice(F.array_sort(F.collect_list(F.when(bad, F.col("value")))), 1, samples), ";").alias("samples"),
-    )
+    found = counts.groupBy("col").agg(F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("invalid"), (100.0 * F.sum(F.when(bad, F.col("n")).otherwise(0)) / F.sum("n")).alias("invalid_pct"))
+    ranked = counts.where(bad).withColumn("rank", F.row_number().over(W.partitionBy("col").orderBy("value")))
+    return found.join(F.broadcast(listed(ranked, samples, F.col("value"), "samples")), "col", "left").na.fill("", ["samples"])
 
 
 def audit_and_correct(df: DataFrame, spec: DatasetSpec) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+from .running import in_ranges
 
 
 def hashed(*keys: str, seed: int = 42) -> Column:
@@ -17,7 +20,13 @@ def _ranks(df: DataFrame, keys: list[str], by: list[str], seed: int, order: list
     Ranks are built from counts per hash range, so that a class of any size spreads over partitions.
     """
     own = order or [hashed(*keys, seed=seed), *[F.col(k) for k in keys]]
-    marked = df.withColumn("_h", own[0]).withColumn("_part", F.lit(0) if order else F.shiftrightunsigned(F.col("_h"), 48).cast("int").bitwiseXOR(F.lit(1 << 15)))
+    marked = df.withColumn("_h", own[0])
+    if not order:
+        marked = marked.withColumn("_part", F.shiftrightunsigned(F.col("_h"), 48).cast("int").bitwiseXOR(F.lit(1 << 15)))
+    elif isinstance(marked.schema["_h"].dataType, NumericType):
+        marked = in_ranges(marked, [], "_h", "_part")
+    else:  # other orders have no ranges to sum first
+        marked = marked.withColumn("_part", F.lit(0))
     groups = [*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")).alias(f"_g{i}") for i, c in enumerate(by)]]
     marked = marked.select("*", *groups)
     names = [f"_g{i}" for i in range(len(by))]
