@@ -9,6 +9,7 @@ original text.  Within one text an occurrence that overlaps the earliest one isn
 Not all units have to be shuffled.  Of the stretches of ``ANCHOR`` words in a unit the one with the
 least hash is its anchor; equal units have equal anchors, neighbouring units mostly share one, so
 about a tenth of the words begin an anchor.  Only units with an anchor that comes twice are looked at.
+Rows that repeat an earlier row's whole text lose all of it at once and aren't cut into units.
 
 Digests of units have 128 bits.  A unit that a third of all documents hold is pre-aggregated before
 it is shuffled and meets its earliest occurrence in a join whose hot partitions can be split.
@@ -76,6 +77,16 @@ def _own_key(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
 
 
+def marked_copies(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a boolean: whether an earlier row has the same text."""
+    again, low, a, b = (fresh(docs, c) for c in ("again", "low", "text_a", "text_b"))
+    keyed = docs.withColumns({a: F.xxhash64("text"), b: F.xxhash64(F.lit(7), "text")})
+    texts = keyed.groupBy(F.col(a).alias("ga"), F.col(b).alias("gb")).agg(F.min(F.struct("doc_id")).alias(low), F.count("*").alias(again)).where(F.col(again) > 1)
+    few = _few(written(texts, "repeated-texts"), F.lit(1))
+    met = keyed.join(few, (F.col(a) == F.col("ga")) & (F.col(b) == F.col("gb")), "left")
+    return met.select(*docs.columns, (F.col(again).isNotNull() & ~F.col("doc_id").eqNullSafe(F.col(f"{low}.doc_id"))).alias(name))
+
+
 def anchors(docs: DataFrame, width: int) -> DataFrame:
     """Every anchor: h, doc_id, th (hash of the row's text), pos (its first word)."""
 
@@ -133,7 +144,7 @@ def unit_occurrences(docs: DataFrame, width: int) -> DataFrame:
 
 
 def removed_words(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Per row that loses words: doc_id, th, and the runs of lost words (first, end) in order."""
+    """Per row that loses words: doc_id, th, and the runs of lost words (first, end) in order; no text comes twice."""
     seen = written(unit_occurrences(docs, width), "units")
     rank = F.struct("doc_id", "th", "pos")
     grouped = seen.groupBy("a", "b").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
@@ -163,25 +174,31 @@ def dedup_units(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     of a removed run; the white space around it stays.
     """
     th, key, gone, own_th = (fresh(docs, c) for c in ("th", "key_id", "removed", "own_th"))
-    lost = removed_words(docs, width)
+    copy = fresh(docs, "copy")
+    marked = marked_copies(docs, copy)
+    lost = removed_words(marked.where(~F.col(copy)).select("doc_id", "text"), width)
     maps = _few(lost, F.size("runs") * 2).select(F.col("doc_id").alias(key), F.col("th").alias(th), F.col("runs").alias(gone))
-    own = docs.withColumn(own_th, F.xxhash64("text"))
-    met = own.join(maps, own["doc_id"].eqNullSafe(maps[key]) & (own[own_th] == maps[th]), "left").select(*docs.columns, gone)
+    own = marked.withColumn(own_th, F.xxhash64("text"))
+    met = own.join(maps, own["doc_id"].eqNullSafe(maps[key]) & (own[own_th] == maps[th]), "left").select(*docs.columns, copy, gone)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, found = column_list(batch, "text"), column_list(batch, gone)
             spans: list[list[dict] | None] = [None] * len(text)
-            for i, lost in enumerate(found):
-                if lost:
-                    at = [m.span() for m in _WORD.finditer(text[i])]
+            for i, (lost, whole) in enumerate(zip(found, column_list(batch, copy))):
+                if lost or whole:
+                    at = [m.span() for m in _WORD.finditer(text[i] or "")]
+                    if whole:
+                        lost = [{"first": 0, "end": len(at)}]
+                        if len(at) < width:
+                            continue
                     spans[i] = [{"start": at[r["first"]][0], "end": at[r["end"] - 1][1]} for r in lost]
                     edges = [0, *(x for s in spans[i] for x in (s["start"], s["end"])), len(text[i])]
                     text[i] = "".join(text[i][a:b] for a, b in zip(edges[::2], edges[1::2]))
             names = batch.schema.names
-            columns = [pa.array(text, batch.schema.field(c).type) if c == "text" else batch.column(k) for k, c in enumerate(names[:-1])]
+            columns = [pa.array(text, batch.schema.field(c).type) if c == "text" else batch.column(k) for k, c in enumerate(names[:-2])]
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, kind)], names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, kind)], [*names[:-2], gone])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", `{gone}` array<struct<start: int, end: int>>"
     return met.mapInArrow(run, schema)
