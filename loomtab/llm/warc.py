@@ -34,6 +34,10 @@ BROADCAST_ROWS = 250_000
 READ_CHARS = 8_000_000
 #: Members that one read fetches.
 RUN = 128
+#: Bytes of a sidecar's line.
+ENTRY = 32
+#: Tasks that read, per file on average, at most.
+READS = 64
 _BUFFER = 1 << 20
 _END = b"\r\n\r\n"
 
@@ -144,44 +148,50 @@ def write_archives(pages: DataFrame, folder: str, payload: str = "html") -> Data
 
 
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
-    """Rewrite every archive with one member per record; returns the written index (file, at, size, place).
+    """Rewrite every archive with one member per record; returns the written list of files (file, sidecar, records).
 
-    Beside each archive goes its sidecar index, a line "offset size" per record.
+    A sidecar index has a line of ENTRY bytes, offset and size, for each record in order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri in batch.column(0).to_pylist():
                 name, out = create(folder, "members")
-                at, rows = 0, []
+                sidecar, side = create(folder, name.rpartition("/")[2] + ".index")
+                at = records = 0
                 for raw in records_of(inflated(uri)):
                     z = zlib.compressobj(1, zlib.DEFLATED, 31)
                     member = z.compress(raw) + z.flush()
                     out.write(member)
-                    rows.append((at, len(member)))
+                    side.write(b"%016d %014d\n" % (at, len(member)))
                     at += len(member)
+                    records += 1
                 out.close()
-                _, side = create(folder, name.rpartition("/")[2] + ".index")
-                side.write("".join(f"{a} {n}\n" for a, n in rows).encode())
                 side.close()
-                columns = [pa.array([name] * len(rows)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(range(len(rows)), pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["file", "at", "size", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([sidecar]), pa.array([records], pa.int64())], ["file", "sidecar", "records"])
 
     files = max(1, archives.count())  # names of files, not records
-    return written(archives.select("file").repartition(files, "file").mapInArrow(run, "file string, at long, size long, place long"), "index")
+    return written(archives.select("file").repartitionByRange(files, "file").mapInArrow(run, "file string, sidecar string, records long"), "members")
 
 
-def read_archives(index: DataFrame) -> DataFrame:
+def read_archives(members: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest (hex), record_type, refers_to, url of every record.
 
-    Each read fetches a run of neighbouring members; the digests of responses are computed anew.
+    Each read looks up a run of neighbouring members in the sidecar index and fetches them at once,
+    whatever the file they lie in; the digests of responses are computed anew.
     """
-    runs = index.groupBy("file", F.floor(F.col("place") / RUN).alias("run")).agg(F.min("at").alias("at"), F.max(F.col("at") + F.col("size")).alias("end"))
+    counted = members.agg(F.count("*").alias("files"), F.sum(F.ceil(F.col("records") / RUN)).alias("runs")).first()
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("records") - 1, F.lit(RUN).cast("long")))
+    runs = members.where("records > 0").select("file", "sidecar", "records", starts.alias("start"))
+    tasks = max(1, min(counted["runs"] or 0, READS * counted["files"]))
+    runs = runs.repartitionByRange(tasks, "file", "start").select("file", "sidecar", "start", F.least(F.col("records") - F.col("start"), F.lit(RUN)).alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                raw = open_at(row["file"], row["at"], row["end"] - row["at"])
+                lines = open_at(row["sidecar"], row["start"] * ENTRY, row["n"] * ENTRY).splitlines()
+                at, last = int(lines[0].split()[0]), [int(x) for x in lines[-1].split()]
+                raw = open_at(row["file"], at, sum(last) - at)
                 out: list[tuple] = []
                 while raw:
                     z = zlib.decompressobj(31)
@@ -199,7 +209,7 @@ def read_archives(index: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names)
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string"
-    return runs.select("file", "at", "end").mapInArrow(run, schema)
+    return runs.mapInArrow(run, schema)
 
 
 def archive_round_trip(pages: DataFrame, payload: str = "html") -> DataFrame:
