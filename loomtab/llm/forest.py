@@ -31,6 +31,8 @@ SAMPLE, TREES, LEAF, BLOCK = 32_768, 12, 128, 4096
 #: much for a recall over 0.9 in tables of every size; clustered ones have that with a tenth of it.
 PROBES = 1 / 10
 SEED = 11
+#: Queries that meet a block in one product.
+TOGETHER = 1024
 
 
 class Forest:
@@ -157,7 +159,9 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
             v, ids = v[order], ids[order]
             spare = len(ids) - len(np.unique(ids))
             asks = np.stack(queries["q"].to_numpy())
-            near = unit_of(asks) @ unit_of(v).T  # to choose by; what is chosen is scored exactly
+            unit = unit_of(v).T
+            # rough scores to choose by, of TOGETHER queries at a time; what is chosen is scored exactly
+            near = (r for a in range(0, len(asks), TOGETHER) for r in unit_of(asks[a : a + TOGETHER]) @ unit)
             for query, q, rough in zip(queries["query_id"].tolist(), asks, near):
                 own = ids == query
                 want = min(len(ids), k + spare + int(own.sum()))
