@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 import string
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 from .common import pieces
 
 TRAIN_DOCS, SEEDS, WINDOW, STEPS = 1000, 800, 10, 80
+REACH = 3
 CHUNK_CHARS = 2_000_000
+ROWS = 16_384  # distinct sets of features that are scored at a time
 
 # The base patterns.
 ASSIGN = re.compile("(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A | re.I)
@@ -66,17 +69,22 @@ _ROLE = ["keyword", "sign", "quote", "vendor"]
 _N_SHAPE, _N_ROLE = len(_SHAPE), len(_ROLE)
 _BEFORE = ["prev_keyword", "prev2_keyword", "prev3_keyword", "prev_sign", "prev_quote", "next_quote", "next_sign"]
 _FILE = ["file_keyword", "file_signs"]
-N = _N_SHAPE + _N_ROLE + len(_BEFORE) + len(_FILE) + 1
+#: Neighbouring words, whatever they are, count by the bucket that their hash falls into.
+BUCKETS = 12
+_N_NEAR = _N_SHAPE + _N_ROLE + len(_BEFORE) + len(_FILE)
+N = _N_NEAR + 2 * BUCKETS + 1
+_WORD_AT = 58  # where a token's own bucket (from 1; 0: no word) is kept until its neighbours have it
 B, I, O = 0, 1, 2
 
 
 def token_bits(token: str) -> int:
     """Bit set of the token's own features."""
     n = len(token)
+    bucket = (zlib.crc32(token.lower().encode("utf-8", "surrogatepass")) % BUCKETS + 1) << _WORD_AT if token.isalpha() and n > 1 else 0
     size = 0 if n < 4 else 1 if n < 8 else 2 if n < 16 else 3 if n < 24 else 4 if n < 40 else 5
     if token.isalpha() and (token.islower() or token.istitle()):  # most words: no changes worth a feature
         word = 1 << size | 1 << 8 | 1 << 16 | (not token.islower()) << 7
-        return word | (token.lower() in _WORDS) << _N_SHAPE
+        return word | (token.lower() in _WORDS) << _N_SHAPE | bucket
     on = {size}
     digit, upper, lower = any(c.isdigit() for c in token), any(c.isupper() for c in token), any(c.islower() for c in token)
     on |= {k for k, x in ((6, digit), (7, upper), (8, lower), (9, digit and (upper or lower)), (11, token.isdigit())) if x}
@@ -105,7 +113,7 @@ def token_bits(token: str) -> int:
         on.add(base + 2)
     if n >= 8 and _VENDOR.match(token):
         on.add(base + 3)
-    return sum(1 << k for k in on)
+    return sum(1 << k for k in on) | bucket
 
 
 class Tokens:
@@ -139,6 +147,8 @@ def full_bits(own: np.ndarray, doc: np.ndarray, counts: np.ndarray) -> np.ndarra
 
     def moved(flag: np.ndarray, by: int) -> np.ndarray:
         out = np.zeros_like(flag)
+        if abs(by) >= len(flag):
+            return out
         if by > 0:
             out[by:] = flag[:-by] * (doc[by:] == doc[:-by])
         else:
@@ -148,9 +158,16 @@ def full_bits(own: np.ndarray, doc: np.ndarray, counts: np.ndarray) -> np.ndarra
     around = [moved(key, 1), moved(key, 2), moved(key, 3), moved(sign, 1), moved(quote, 1), moved(quote, -1), moved(sign, -1)]
     keys, signs = np.bincount(doc, key, len(counts)), np.bincount(doc, sign, len(counts))
     whole = [(keys > 0).astype(np.int64)[doc], (signs * 20 > counts).astype(np.int64)[doc]] if len(doc) else [own, own]
-    out = own.copy()
+    out = own & ((1 << _WORD_AT) - 1)
     for k, flag in enumerate([*around, *whole], _N_SHAPE + _N_ROLE):
         out |= flag << k
+    # the nearest word before and after, at most REACH tokens away
+    bucket = own >> _WORD_AT
+    for side, step in ((0, 1), (1, -1)):
+        near = np.zeros_like(bucket)
+        for by in range(1, REACH + 1):
+            near = np.where(near == 0, moved(bucket, by * step), near)
+        out |= np.where(near > 0, np.int64(1) << (_N_NEAR + side * BUCKETS + np.maximum(near, 1) - 1), 0)
     return out | (1 << (N - 1))
 
 
@@ -217,7 +234,7 @@ class Field:
     def tag(self, bits: np.ndarray, doc: np.ndarray) -> list[tuple[int, int]]:
         """Token ranges (first, end) that Viterbi tags as secrets; texts don't touch each other."""
         distinct, inverse = np.unique(bits, return_inverse=True)
-        e = as_matrix(distinct) @ self.weights
+        e = np.concatenate([as_matrix(distinct[a : a + ROWS]) @ self.weights for a in range(0, len(distinct), ROWS)] or [np.zeros((0, 3))])
         sure = ((e[:, :2] + self.gain) <= e[:, 2:]).all(1)
         open_at = np.flatnonzero(~sure[inverse])
         if not len(open_at):
@@ -262,8 +279,11 @@ def tags_of(text: str, secrets: list[tuple[int, int]]) -> np.ndarray:
     return tags
 
 
-def seeds(count: int = SEEDS, seed: int = 5) -> list[tuple[str, list[tuple[int, int]]]]:
-    """Generated windows: secrets of common shapes behind their words, and what looks like them but isn't."""
+def seeds(count: int = SEEDS, seed: int = 5, shapes: tuple[int, ...] = (0, 1, 2, 3, 4, 5)) -> list[tuple[str, list[tuple[int, int]]]]:
+    """Generated windows: secrets of common shapes behind their words, and what looks like them but isn't.
+
+    ``shapes``: which of the kinds of secrets to generate; leaving some out tells whether they are found all the same.
+    """
     rng = np.random.default_rng(seed)
     pick = lambda chars, n: "".join(rng.choice(list(chars), n))
     letters, alnum = string.ascii_lowercase, string.ascii_letters + string.digits
@@ -295,7 +315,7 @@ def seeds(count: int = SEEDS, seed: int = 5) -> list[tuple[str, list[tuple[int,
         if rng.random() < 0.5:
             out.append((before + decoy[rng.integers(len(decoy))]() + after, []))
             continue
-        value = secret[rng.integers(len(secret))]()
+        value = secret[shapes[rng.integers(len(shapes))]]()
         mark = rng.choice(['"', "'", ""])
         lead = "" if rng.random() < 0.2 and len(value) >= 24 else rng.choice(words) + rng.choice([" = ", ": ", "=", " "]) + mark
         start = len(before + lead)
@@ -303,9 +323,14 @@ def seeds(count: int = SEEDS, seed: int = 5) -> list[tuple[str, list[tuple[int,
     return out
 
 
-def fit_field(docs: DataFrame) -> Field:
+def fit_field(docs: DataFrame, shapes: tuple[int, ...] = (0, 1, 2, 3, 4, 5)) -> Field:
     """The field of a corpus, from at most TRAIN_DOCS of its documents and the generated windows."""
-    sample = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS).select("text")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    # the rows are chosen by their keys, so that only the chosen texts go anywhere
+    chosen = keyed.select("doc_id", "th").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "th").limit(TRAIN_DOCS)
+    chosen = F.broadcast(chosen.select(F.col("doc_id").alias("id"), F.col("th").alias("of")))  # TRAIN_DOCS pairs of numbers
+    met = keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("of")))
+    sample = met.groupBy("doc_id", "th").agg(F.first("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "th").select("text")
     number, windows = Tokens(), []
 
     def add(text: str, secrets: list[tuple[int, int]], all_of_it: bool) -> None:
@@ -323,7 +348,7 @@ def fit_field(docs: DataFrame) -> Field:
             a, b = max(0, at - WINDOW), at + WINDOW
             windows.append((bits[a:b], tags[a:b]))
 
-    for text, secrets in seeds():
+    for text, secrets in seeds(shapes=shapes):
         add(text, secrets, True)
     for row in sample.toLocalIterator():
         if row["text"]:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import string
 import zlib
 
 import numpy as np
@@ -430,6 +431,47 @@ def test_secrets(docs, empty):
     assert secrets.scan(empty).count() == 0
 
 
+def brute_base(text):
+    """The base patterns of the contract, read naively: leftmost, not overlapping per kind."""
+    found = []
+    for m in re.finditer("(?ai:(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+))", text):
+        if len(m[2]) >= 6:
+            found.append((m.start(), 0, m.end(), "assign"))
+    for rank, kind, chars, lead, least in ((1, "access", string.ascii_uppercase + string.digits, "AKIA", 20), (2, "hex", "0123456789abcdef", "", 24)):
+        i = 0
+        while i < len(text):
+            j = i + len(lead)
+            if text.startswith(lead, i):
+                while j < len(text) and text[j] in chars:
+                    j += 1
+                if j - i >= least:
+                    found.append((i, rank, j, kind))
+            i = max(j, i + 1) if text.startswith(lead, i) and j > i + len(lead) else i + 1
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(found))
+
+
+def test_secrets_of_whole_texts(spark, sf):
+    docs = queries.table(spark, sf, "documents")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in secrets.scan(docs).collect():
+        base = brute_base(texts[r.doc_id] or "")
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert set(filter(None, base.split(","))) <= set(r.spans.split(","))
+
+
+def test_field_finds_shapes_that_it_was_not_taught(spark, sf):
+    """Shapes left out of the generated windows (and of the base patterns) are found; the corpus' plain text is left alone."""
+    docs = queries.table(spark, sf, "documents")
+    field = secrets.fit_field(docs, shapes=(0, 1, 4))
+    told = [(t, s) for t, s in secrets.seeds(400, 9, (2, 3)) if s and not secrets.base_spans(t)]
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(told)], SCHEMA)
+    got = {r.doc_id: [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("crf:")] for r in secrets.scan(frame, field).collect()}
+    hit = sum(any(a < s[0][1] and b > s[0][0] for a, b in got[i]) for i, (_, s) in enumerate(told))
+    assert len(told) > 80 and hit / len(told) > 0.9
+    added = secrets.scan(docs, field).agg(F.sum("n_crf").alias("n")).first().n
+    assert added <= docs.count() // 50
+
+
 def test_viterbi_cuts_are_exact():
     rng = np.random.default_rng(2)
     field = secrets.Field(rng.normal(0, 1, (secrets.N, 3)) + [0, 0, 0.3], rng.normal(0, 1, (3, 3)))
