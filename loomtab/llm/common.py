@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +17,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    Reads ``spark.checkpoint.dir`` of the session.  Only where that is unset (local tests) a
-    temporary folder is made and set as the checkpoint folder of the context.
+    Reads ``spark.checkpoint.dir`` of the session.  Only in local mode, where that may be unset
+    (tests), a temporary folder is made and set as the checkpoint folder of the context.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_loomtab_shared", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("on a cluster spark.checkpoint.dir has to name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loomtab-")
         spark._loomtab_shared = found
         spark.sparkContext.setCheckpointDir(found)
@@ -65,17 +69,21 @@ def column_list(batch: pa.RecordBatch, name: str) -> list:
 
 
 def pieces(batches: Iterable[pa.RecordBatch], text: str, limit: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of Arrow batches whose texts sum to about ``limit`` characters (or one row), with the texts; null is empty."""
+    """Slices of Arrow batches whose texts sum to about ``limit`` bytes (or one row), with the texts; null is empty.
+
+    Only a slice's texts are Python strings at a time; what Arrow keeps for later goes back at the end.
+    """
     for batch in batches:
-        texts = [t or "" for t in column_list(batch, text)]
-        start = size = 0
-        for i, t in enumerate(texts):
-            if size and size + len(t) > limit:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, size = i, 0
-            size += len(t)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        at = batch.schema.get_field_index(text)
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(at)), 0)), dtype=np.int64)
+        start = 0
+        while start < len(ends):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+            part = batch.slice(start, stop - start)
+            yield part, [t or "" for t in part.column(at).to_pylist()]
+            start = stop
+    pa.default_memory_pool().release_unused()
 
 
 # --- hashing words on bytes -------------------------------------------------------------------

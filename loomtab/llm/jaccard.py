@@ -48,7 +48,7 @@ from .common import fresh, mix, pieces, shingle_hashes, written
 from .components import components
 
 FRAME, LEAST = 64, 16
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 500_000
 #: Up to this many rows of (node, node) a table is broadcast; beyond, it is shuffled.
 BROADCAST_ROWS = 2_000_000
 #: A verified candidate costs as much as so many list entries.

@@ -26,7 +26,7 @@ from .common import pieces, written
 from .tokens import encoder
 
 #: Characters that are encoded at a time.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 500_000
 #: Pieces per rank bucket, on average.
 BUCKET = 2048
 

@@ -29,7 +29,7 @@ POOLED, DIAGONAL = 0.35, 0.1
 #: Standardised statistics are cut here, so that no single one decides alone.
 CUT = 5.0
 THRESHOLD = 0.3
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 500_000
 
 _LOWER, _UPPER, _DIGIT, _BLANK, _LINE, _MARK, _SYMBOL, _OTHER = range(8)
 _CLASS = np.full(256, _OTHER, np.uint8)

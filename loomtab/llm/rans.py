@@ -32,7 +32,7 @@ LANES = 32
 BLOCK = 1 << 16  # ids in a block
 SEGMENT = 4_000_000  # ids after which a segment ends, at a document's end
 TOGETHER = 128  # blocks coded side by side
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 500_000
 _LOW = np.uint64(1 << 31)
 _HEAD = struct.Struct("<4sIIQQQ")
 _BLOCK = struct.Struct("<III")

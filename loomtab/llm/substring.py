@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import column_list, fresh, mix, pieces, word_hashes, written
 
 WIDTH, ANCHOR = 50, 32
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 500_000
 #: A table of rows with repeated anchors, or with removed words, is broadcast up to so many numbers; beyond, it is shuffled.
 BROADCAST_NUMBERS = 2_000_000
 _WORD = re.compile("[^\x20\x09-\x0d]+")

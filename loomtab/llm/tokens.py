@@ -26,7 +26,7 @@ _LATIN_END = "\u0250"
 #: White space that isn't one space or line end between solid characters.
 _UNEVEN = re.compile("[ \n][ \n]|[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Distinct pieces kept by one Python worker before it starts afresh.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 500_000
 
 
 def _is_even(text: str) -> bool:
