@@ -77,12 +77,54 @@ def run_audit(real: DataFrame, synth: DataFrame, train: DataFrame, test: DataFra
     if target:
         s = utility.evaluate_utility(train, test, synth, target, continuous, categorical, trees=trees)
         out = out.unionByName(s.select(F.lit("utility").alias("section"), F.concat_ws("/", "regime", "metric").alias("metric"), F.col("model").alias("column"), "value"))
+        drops = utility.utility_drop(s).where("model <> '*'")
+        out = out.unionByName(drops.select(F.lit("utility").alias("section"), F.concat(F.lit("drop/"), F.col("metric")).alias("metric"), F.col("model").alias("column"), F.col("drop").alias("value")))
     if sensitive:
         a = utility.attribute_inference(synth, test, sensitive, continuous, categorical, trees)
         out = out.unionByName(a.select(F.lit("privacy").alias("section"), F.concat(F.lit("aia_"), F.col("metric")).alias("metric"), F.lit(sensitive).alias("column"), "value"))
     return out
 
 
+def with_status(audit: DataFrame, tolerance: float = 0.15) -> DataFrame:
+    """An audit's lines with the status of each: Good, Moderate or Poor, UNKNOWN without a value, null where nothing is graded.
+
+    Distances per column as in ``grade_column``, formulas by their tolerance, leakage at 1 and 5 %,
+    membership at .65 and .8, utility by the drop from real to synthetic training at .05 and .15.
+    """
+    v, m = F.col("value"), F.col("metric")
+    step = lambda good, bad: F.when(v < good, "Good").when(v < bad, "Moderate").otherwise("Poor")
+    told = (
+        F.when(m == "mape", F.when(v <= tolerance, "Good").otherwise("Poor"))
+        .when(m == "leakage_pct", step(1, 5))
+        .when(m == "mia_auc", F.when(v <= 0.65, "Good").when(v < 0.8, "Moderate").otherwise("Poor"))
+        .when(m.startswith("drop/"), step(0.05, 0.15))
+        .otherwise(grade_column())
+    )
+    return audit.withColumn("status", F.when(told.isNotNull() & (v.isNull() | F.isnan(v)), "UNKNOWN").otherwise(told))
+
+
+def fold_metrics(audit: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """One row (per ``by``, such as a fold) of an audit's twelve scalars; what it doesn't hold is null.
+
+    Means of the columns' distances, the correlation difference, mean distance to the closest record,
+    leakage, membership AUC, and per model f1_macro (r2 in regressions) of both regimes.
+    """
+    of = lambda metric, column=None: F.avg(F.when((F.col("metric") == metric) & (F.lit(True) if column is None else F.col("column") == column), F.col("value")))
+    models = {"rf": "random_forest", "gb": "gradient_boosting", "lr": "linear"}
+    scores = {f"{regime.lower()}_{short}_f1": F.coalesce(of(f"{regime}/f1_macro", model), of(f"{regime}/r2", model)) for regime in ("TSTR", "TRTR") for short, model in models.items()}
+    wanted = {"avg_js": of("js_divergence"), "avg_wasserstein": of("wasserstein"), "corr_diff": of("corr_difference"), "dcr_mean": of("dcr_mean"), "dcr_leakage_pct": of("leakage_pct"), "mia_auc": of("mia_auc")}
+    return audit.groupBy(*(by or [])).agg(*[c.alias(name) for name, c in (wanted | scores).items()])
+
+
+def domains_of(audit: DataFrame) -> DataFrame:
+    """The grades of the three domains from an audit's lines."""
+    s = fold_metrics(audit)
+    lost = [F.col(f"trtr_{k}_f1") - F.col(f"tstr_{k}_f1") for k in ("rf", "gb", "lr")]
+    known = F.filter(F.array(*lost), lambda x: x.isNotNull())
+    drop = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known))
+    return domain_grades(s.select(F.col("avg_js").alias("js"), F.col("avg_wasserstein").alias("w1"), F.col("corr_diff").alias("corr"), F.col("dcr_leakage_pct").alias("leakage"), F.col("mia_auc").alias("mia"), drop.alias("drop")))
+
+
 def overlay_histogram(real: DataFrame, synth: DataFrame, cols: list[str], bins: int = 20) -> DataFrame:
     """(col, bin, real, synth): densities over shared bins."""
     h = dist.histogram_counts(real, synth, cols, bins)

@@ -61,9 +61,14 @@ def dcr_summary(real: DataFrame, synth: DataFrame, **how) -> DataFrame:
     return d.agg(*[f(c).alias(f"{c}_{n}") for c in ("dcr", "nndr") for n, f in (("mean", F.avg), ("min", F.min))])
 
 
+def leakage_threshold(train: DataFrame, holdout: DataFrame, **how) -> DataFrame:
+    """One row: the distance to training rows that 5 % of the holdout are within."""
+    return exact_quantiles(nearest_two(holdout, train, **how), [], (0.05,), "d1").select(F.greatest(F.col("q")[0], F.lit(1e-8)).alias("threshold"))
+
+
 def leakage(train: DataFrame, holdout: DataFrame, synth: DataFrame, **how) -> DataFrame:
     """Share of synthetic rows nearer to training rows than 95 % of the holdout, with that threshold."""
-    base = exact_quantiles(nearest_two(holdout, train, **how), [], (0.05,), "d1").select(F.greatest(F.col("q")[0], F.lit(1e-8)).alias("threshold"))
+    base = leakage_threshold(train, holdout, **how)
     return nearest_two(synth, train, **how).join(F.broadcast(base)).agg(F.first("threshold").alias("threshold"), (100.0 * F.avg((F.col("d1") < F.col("threshold")).cast("double"))).alias("leakage_pct"))
 
 
@@ -85,8 +90,10 @@ def mia_auc(train: DataFrame, test: DataFrame, synth: DataFrame, least: int = 10
     return auc(both, "score", "label").join(F.broadcast(enough)).select(F.when((F.col("few") >= least) & (F.col("kinds") == 2), F.col("auc")).otherwise(0.5).alias("mia_auc"))
 
 
-def distance_histogram(distances: DataFrame, bins: int = 20, col: str = "dcr") -> DataFrame:
+def distance_histogram(distances: DataFrame, bins: int = 20, col: str = "dcr", threshold: DataFrame | None = None) -> DataFrame:
+    """(bin, n) over bins of equal width, and the threshold of leakage if its row is given."""
     span = distances.agg(F.min(col).alias("lo"), F.max(col).alias("hi"))
     width = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / bins).otherwise(1.0)
     at = distances.join(F.broadcast(span)).select(F.least(F.floor((F.col(col) - F.col("lo")) / width), F.lit(bins - 1)).alias("bin"))
-    return at.groupBy("bin").agg(F.count("*").alias("n"))
+    out = at.groupBy("bin").agg(F.count("*").alias("n"))
+    return out if threshold is None else out.join(F.broadcast(threshold))

@@ -6,7 +6,7 @@ within a range a window adds the rest, so that no task gathers a whole column.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -38,18 +38,20 @@ def sums_below(counts: DataFrame, by: list[str], value: str, sums: dict[str, str
 def exact_quantiles(rows: DataFrame, by: list[str], q: tuple[float, ...], x: str = "x") -> DataFrame:
     """(by..., q): the interpolated quantiles of each group's values, in the order of ``q``."""
     counts = rows.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("_n"))
-    total = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
-    placed = sums_below(counts, by, x, {"_n": "_low"})
-    met = placed.join(F.broadcast(total), by) if by else placed.join(F.broadcast(total))
-
-    def wanted(k: int, p: float) -> Column:
-        at = (F.col("_all") - 1) * F.lit(float(p))
-        has = lambda i: (i >= F.col("_low")) & (i < F.col("_low") + F.col("_n"))
-        return F.struct(F.lit(k).alias("k"), at.alias("at"), has(F.floor(at)).alias("lower"), has(F.ceil(at)).alias("upper"))
-
-    hits = F.filter(F.array(*[wanted(k, p) for k, p in enumerate(q)]), lambda h: h["lower"] | h["upper"])
-    each = met.select(*by, x, F.explode(hits).alias("h"))
-    ends = each.groupBy(*by, "h.k").agg(F.max(F.when(F.col("h.lower"), F.col(x))).alias("a"), F.max(F.when(F.col("h.upper"), F.col(x))).alias("b"), F.max("h.at").alias("at"))
+    placed = in_ranges(counts, by, x, "_part")
+    parts = placed.groupBy(*by, "_part").agg(F.sum("_n").alias("_size"))
+    group = W.partitionBy(*by, F.lit(0))  # RANGES + 2 rows each
+    before = parts.select(*by, "_part", "_size", (F.sum("_size").over(group.orderBy("_part")) - F.col("_size")).alias("_before"), F.sum("_size").over(group).alias("_all"))
+    # a quantile concerns the rows at its place, rounded down and up: first which ranges, then which values hold them
+    held = lambda p, low, size: ((F.col("_all") - 1) * p > low - 1) & ((F.col("_all") - 1) * p < low + size)
+    grid = F.array(*[F.lit(float(p)) for p in sorted(set(q))])
+    before = before.withColumn("_grid", F.filter(grid, lambda p: held(p, F.col("_before"), F.col("_size")))).where(F.size("_grid") > 0).drop("_size")
+    inner = W.partitionBy(*by, "_part").orderBy(x)
+    met = placed.join(F.broadcast(before), [*by, "_part"]).withColumn("_low", F.col("_before") + F.sum("_n").over(inner) - F.col("_n"))
+    low, end, at = F.col("_low"), F.col("_low") + F.col("_n"), (F.col("_all") - 1) * F.col("p")
+    each = met.select(*by, x, "_low", "_n", "_all", F.explode(F.filter("_grid", lambda p: held(p, low, F.col("_n")))).alias("p"))
+    has = lambda i: (i >= low) & (i < end)
+    ends = each.groupBy(*by, "p").agg(F.max(F.when(has(F.floor(at)), F.col(x))).alias("a"), F.max(F.when(has(F.ceil(at)), F.col(x))).alias("b"), F.max(at).alias("at"))
     value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((F.ceil("at") - F.col("at")) * F.col("a") + (F.col("at") - F.floor("at")) * F.col("b"))
-    listed = F.array_sort(F.collect_list(F.struct("k", value.cast("double").alias("v"))))  # as many as ``q`` has
-    return ends.groupBy(*by).agg(F.transform(listed, lambda s: s["v"]).alias("q"))
+    known = F.map_from_entries(F.collect_list(F.struct("p", value.cast("double").alias("v"))))  # as many as ``q`` has
+    return ends.groupBy(*by).agg(known.alias("_known")).select(*by, F.array(*[F.element_at("_known", F.lit(float(p))) for p in q]).alias("q"))

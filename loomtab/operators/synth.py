@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import correlation, empirical_position, normal_distribution, normal_quantile
-from .profile import frequencies, number
+from ..sources.spec import DatasetSpec
+from .profile import frequencies, long_numbers, number
+from .rules import Rule, audit_and_correct, clamp_correction
+from .running import exact_quantiles
 
 KNOTS = 201
 
@@ -40,11 +43,15 @@ class Copula:
 
     def fit(self, df: DataFrame) -> Copula:
         probs = F.array(*[F.lit(i / (KNOTS - 1)) for i in range(KNOTS)])
-        q = F.percentile if self.exact else F.percentile_approx
-        aggs = [q(number(c), probs) for c in self.continuous] + [F.avg(number(c).isNull().cast("double")) for c in self.continuous]
-        got = df.agg(F.count("*"), *aggs).first()[1:]
-        self.quantiles = {c: [float(v) for v in got[i]] if got[i] else [0.0] for i, c in enumerate(self.continuous)}
-        self.missing = {c: got[len(self.continuous) + i] or 0.0 for i, c in enumerate(self.continuous)}
+        cols = [*self.continuous, *self.categorical]
+        got = df.agg(F.count("*"), *[F.avg(self.absent(c).cast("double")) for c in cols]).first()[1:]
+        self.missing = {c: v or 0.0 for c, v in zip(cols, got)}
+        if self.exact:
+            q = exact_quantiles(long_numbers(df, self.continuous), ["col"], tuple(i / (KNOTS - 1) for i in range(KNOTS))) if self.continuous else None
+            found = {r["col"]: r["q"] for r in q.collect()} if q else {}  # KNOTS numbers for each column
+        else:
+            found = dict(zip(self.continuous, df.agg(F.count("*"), *[F.percentile_approx(number(c), probs, 100_000) for c in self.continuous]).first()[1:]))
+        self.quantiles = {c: [float(v) for v in found[c]] if found.get(c) else [0.0] for c in self.continuous}
         self.integers = {c for c, t in df.dtypes if c in self.continuous and t in ("tinyint", "smallint", "int", "bigint")}
         if self.categorical:
             found: dict[str, list[tuple[str, float]]] = {c: [] for c in self.categorical}
@@ -66,9 +73,18 @@ class Copula:
             low += share
         return out
 
+    def absent(self, c: str) -> Column:
+        return number(c).isNull() if c in self.continuous else F.col(c).isNull()
+
+    def holed(self) -> list[str]:
+        """Columns with nulls: whether a value is missing is a variable of its own, dependent on the others."""
+        return [c for c in [*self.continuous, *self.categorical] if self.missing[c] > 0]
+
     def _correlation(self, df: DataFrame) -> np.ndarray:
-        cols = [*self.continuous, *self.categorical]
-        scores = df.select(*[self.score(c).alias(f"z{i}") for i, c in enumerate(cols)])
+        cols = [*self.continuous, *self.categorical, *self.holed()]
+        k = len(self.continuous) + len(self.categorical)
+        gone = lambda c: F.when(self.absent(c), normal_quantile(F.lit(min(max(self.missing[c] / 2, 1e-6), 1 - 1e-6)))).otherwise(normal_quantile(F.lit(min(max((1 + self.missing[c]) / 2, 1e-6), 1 - 1e-6))))
+        scores = df.select(*[(self.score(c) if i < k else gone(c)).alias(f"z{i}") for i, c in enumerate(cols)])
         pairs = [(i, j) for i in range(len(cols)) for j in range(i)]
         m = np.eye(len(cols))
         if pairs:
@@ -81,8 +97,8 @@ class Copula:
 
     def sample(self, spark, n: int, seed: int = 42) -> DataFrame:
         """n rows, each from its own id: the same rows however they are partitioned."""
-        cols = [*self.continuous, *self.categorical]
-        k = len(cols)
+        cols, holed = [*self.continuous, *self.categorical], self.holed()
+        k = len(cols) + len(holed)
         # each step its own projection, so that no step's expressions are repeated in the next
         base = spark.range(n).select(F.col("id").alias("row_id"), *[_uniform(i, seed, "id").alias(f"v{i}") for i in range(k)])
         base = base.select("row_id", *[normal_quantile(F.col(f"v{i}")).alias(f"e{i}") for i in range(k)])
@@ -98,8 +114,7 @@ class Copula:
                 below = F.least(F.floor(at), F.lit(max(last - 1, 0))).cast("int")
                 lo, hi = F.get(knots, below), F.coalesce(F.get(knots, below + 1), F.get(knots, below))
                 x = lo + (hi - lo) * (at - below)
-                x = F.bround(x, 0).cast("long") if c in self.integers else x
-                out[c] = F.when(_uniform(1000 + i, seed) >= self.missing[c], x) if self.missing[c] > 0 else x
+                out[c] = F.bround(x, 0).cast("long") if c in self.integers else x
             else:
                 low, x = 0.0, F.lit(self.shares[c][-1][0] if self.shares[c] else None)
                 ends = []
@@ -109,6 +124,8 @@ class Copula:
                 for end, value in reversed(ends):
                     x = F.when(u < end, value).otherwise(x)
                 out[c] = x
+        for i, c in enumerate(holed, len(cols)):
+            out[c] = F.when(F.col(f"u{i}") >= self.missing[c], out[c])
         return base.select("row_id", *[v.alias(c) for c, v in out.items()])
 
 
@@ -128,6 +145,12 @@ def synthesize(df: DataFrame, n: int, continuous: list[str], categorical: list[s
     return Copula(continuous, categorical, exact).fit(source).sample(df.sparkSession, n, seed)
 
 
+def synthesize_corrected(df: DataFrame, n: int, spec: DatasetSpec, rule_list: list[Rule], seed: int = 42) -> DataFrame:
+    """n synthetic rows that keep the rules and the declared bounds and domains: drawn, clamped to the rules, then to the bounds."""
+    drawn = synthesize(df, n, spec.continuous, spec.categorical, seed)
+    return audit_and_correct(clamp_correction(drawn, rule_list), spec)
+
+
 def synthesize_folds(df: DataFrame, fold: str, folds: int, continuous: list[str], categorical: list[str], seed: int = 42) -> DataFrame:
     """Per fold, as many synthetic rows as the fold's training part has, fitted on that part."""
     sizes = {r[fold]: r["n"] for r in df.groupBy(fold).agg(F.count("*").alias("n")).collect()}

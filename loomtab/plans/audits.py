@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import assoc, audit, dist, rules
-from .associations import matrix_sql
+from ..operators import audit, rules
+from .associations import eta_sql, matrix_sql
 from .distances import hist_sql, jsd_sql, w1_sql
+from .privacies import DCR, HOLD, SCORES, SYN, TRAIN, auc_sql, near_sql
 from .registry import KINDS, NUMBERS, SRC, halves, query, table
 
 _X = NUMBERS[:3]
@@ -33,13 +34,64 @@ def audit_report(spark, sf_dir):
     return audit.run_audit(real, synth, real, real, _X, KINDS, formulas={"l_extendedprice": "l_quantity * 1500"})
 
 
-@query(f"""SELECT domain, grade FROM (SELECT CASE WHEN js < 0.05 AND w1 < 0.05 AND corr < 0.1 THEN 'GREEN' WHEN js >= 0.15 OR w1 >= 0.15 THEN 'RED' ELSE 'YELLOW' END AS f
-    FROM (SELECT (SELECT avg(js_divergence) FROM ({jsd_sql()})) AS js, (SELECT avg(wasserstein) FROM ({w1_sql()})) AS w1, (SELECT v FROM ({_CORR})) AS corr)),
-    LATERAL (SELECT 'fidelity' AS domain, f AS grade UNION ALL SELECT 'privacy', 'YELLOW' UNION ALL SELECT 'utility', 'UNKNOWN')""")
+# the audit of customers: training, held-out and synthetic rows by key, as in the privacy queries
+_AX, _AK = ["c_acctbal", "c_nationkey"], ["c_mktsegment"]
+_CUST = "(SELECT *, CASE WHEN c_custkey % 5 < 2 THEN 'real' ELSE 'synth' END AS src FROM customer WHERE c_custkey % 5 <> 2)"
+
+
+def _pairs_by(t):
+    return f"""SELECT 'n' AS k, corr(c_acctbal, c_nationkey) AS value FROM {t}
+        UNION ALL SELECT 'a', eta FROM ({eta_sql([('c_mktsegment', 'c_acctbal')], t)}) UNION ALL SELECT 'b', eta FROM ({eta_sql([('c_mktsegment', 'c_nationkey')], t)})"""
+
+
+_CUST_DIFF = f"SELECT avg(abs(r.value - s.value)) AS v FROM ({_pairs_by('(SELECT * FROM customer WHERE c_custkey % 5 < 2)')}) r JOIN ({_pairs_by('(SELECT * FROM customer WHERE c_custkey % 5 > 2)')}) s USING (k)"
+_LEAK = f"(SELECT 100.0 * avg(CASE WHEN d1 < t THEN 1.0 ELSE 0.0 END) FROM ({near_sql(SYN, TRAIN)}), (SELECT greatest(quantile_cont(d1, 0.05), 1e-8) AS t FROM ({near_sql(HOLD, TRAIN)})))"
+_LINES = f"""SELECT 'fidelity' AS section, 'wasserstein' AS metric, col AS "column", wasserstein AS value FROM ({w1_sql(_AX, _CUST)})
+    UNION ALL SELECT 'fidelity', 'js_divergence', col, js_divergence FROM ({jsd_sql(_AK, _CUST)})
+    UNION ALL SELECT 'fidelity', 'corr_difference', '*', v FROM ({_CUST_DIFF})
+    UNION ALL SELECT 'privacy', m, '*', v FROM (UNPIVOT (SELECT avg(dcr) AS dcr_mean, min(dcr) AS dcr_min, avg(nndr) AS nndr_mean, min(nndr) AS nndr_min FROM ({DCR})) ON dcr_mean, dcr_min, nndr_mean, nndr_min INTO NAME m VALUE v)
+    UNION ALL SELECT 'privacy', 'leakage_pct', '*', {_LEAK} UNION ALL SELECT 'privacy', 'mia_auc', '*', ({auc_sql(SCORES)})"""
+_STATUS = """CASE WHEN metric = 'wasserstein' THEN CASE WHEN value < 0.05 THEN 'Good' WHEN value < 0.15 THEN 'Moderate' ELSE 'Poor' END
+    WHEN metric = 'js_divergence' THEN CASE WHEN value < 0.03 THEN 'Good' WHEN value < 0.08 THEN 'Moderate' ELSE 'Poor' END
+    WHEN metric = 'leakage_pct' THEN CASE WHEN value < 1 THEN 'Good' WHEN value < 5 THEN 'Moderate' ELSE 'Poor' END
+    WHEN metric = 'mia_auc' THEN CASE WHEN value <= 0.65 THEN 'Good' WHEN value < 0.8 THEN 'Moderate' ELSE 'Poor' END END"""
+
+
+def _customer_audit(spark, sf_dir, target=None):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", F.col("c_nationkey").cast("double").alias("c_nationkey"), "c_mktsegment")
+    c = c.withColumn("rich", (F.col("c_acctbal") > 4000).cast("string"))
+    train, test, synth = c.where("c_custkey % 5 < 2"), c.where("c_custkey % 5 = 2"), c.where("c_custkey % 5 > 2")
+    vectors = lambda d: d.select(F.col("c_custkey").alias("id"), F.array(F.col("c_acctbal") / 1000, F.col("c_nationkey")).alias("features"))
+    return audit.run_audit(train, synth, train, test, _AX, _AK, vectorizer=vectors, target=target, trees=100)
+
+
+@query(f"SELECT *, {_STATUS} AS status FROM ({_LINES})", "value:5")
+def audit_status(spark, sf_dir):
+    return audit.with_status(_customer_audit(spark, sf_dir))
+
+
+@query(
+    f"""SELECT avg(value) FILTER (metric = 'js_divergence') AS avg_js, avg(value) FILTER (metric = 'wasserstein') AS avg_wasserstein, max(value) FILTER (metric = 'corr_difference') AS corr_diff,
+    max(value) FILTER (metric = 'dcr_mean') AS dcr_mean, max(value) FILTER (metric = 'leakage_pct') AS dcr_leakage_pct, max(value) FILTER (metric = 'mia_auc') AS mia_auc FROM ({_LINES})""",
+    "avg_js avg_wasserstein corr_diff dcr_mean dcr_leakage_pct mia_auc:5",
+)
+def fold_metrics(spark, sf_dir):
+    return audit.fold_metrics(_customer_audit(spark, sf_dir)).select("avg_js", "avg_wasserstein", "corr_diff", "dcr_mean", "dcr_leakage_pct", "mia_auc")
+
+
+@query()
+def full_audit(spark, sf_dir):
+    """All sections with a status per line; the models' scores have no SQL."""
+    return audit.with_status(_customer_audit(spark, sf_dir, "rich"))
+
+
+@query(f"""SELECT domain, grade FROM (SELECT CASE WHEN js < 0.05 AND w1 < 0.05 AND corr < 0.1 THEN 'GREEN' WHEN js >= 0.15 OR w1 >= 0.15 THEN 'RED' ELSE 'YELLOW' END AS f,
+        CASE WHEN leak < 1 AND mia <= 0.65 THEN 'GREEN' WHEN leak >= 5 OR mia >= 0.8 THEN 'RED' ELSE 'YELLOW' END AS p
+    FROM (SELECT avg(value) FILTER (metric = 'js_divergence') AS js, avg(value) FILTER (metric = 'wasserstein') AS w1, max(value) FILTER (metric = 'corr_difference') AS corr,
+        max(value) FILTER (metric = 'leakage_pct') AS leak, max(value) FILTER (metric = 'mia_auc') AS mia FROM ({_LINES}))),
+    LATERAL (SELECT 'fidelity' AS domain, f AS grade UNION ALL SELECT 'privacy', p UNION ALL SELECT 'utility', 'UNKNOWN')""")
 def domain_grades(spark, sf_dir):
-    real, synth = halves(spark, sf_dir)
-    s = dist.js_divergence(real, synth, KINDS).agg(F.avg("js_divergence").alias("js")).join(dist.wasserstein(real, synth, _X).agg(F.avg("wasserstein").alias("w1"))).join(assoc.correlation_difference(real, synth, _X, KINDS).withColumnRenamed("corr_difference", "corr"))
-    return audit.domain_grades(s.withColumns({"leakage": F.lit(2.0), "mia": F.lit(0.5), "drop": F.lit(None).cast("double")}))
+    return audit.domains_of(_customer_audit(spark, sf_dir))
 
 
 @query(f"""SELECT src, mape, CASE WHEN mape <= 0.15 THEN 'Good' ELSE 'Poor' END AS grade FROM (SELECT src, avg(abs(l_extendedprice - l_quantity * 1500) / (l_quantity * 1500)) AS mape FROM {SRC} GROUP BY src)""", "mape")

@@ -57,22 +57,22 @@ def _parts(spark, sf_dir):
 _V = "(SELECT c_custkey AS id, c_acctbal / 1000 AS a, CAST(c_nationkey AS DOUBLE) AS b FROM customer)"
 
 
-def _near_sql(q, base):
+def near_sql(q, base):
     return f"""SELECT id, d[1] AS d1, d[2] AS d2 FROM (SELECT q.id, list_slice(list_sort(list(sqrt(pow(q.a - r.a, 2) + pow(q.b - r.b, 2)))), 1, 2) AS d
         FROM (SELECT * FROM {_V} WHERE {q}) q, (SELECT * FROM {_V} WHERE {base}) r GROUP BY q.id)"""
 
 
-_TRAIN, _HOLD, _SYN = "id % 5 < 2", "id % 5 = 2", "id % 5 > 2"
-_DCR = f"SELECT id, d1 AS dcr, CASE WHEN d2 = 0 THEN 1 ELSE d1 / d2 END AS nndr FROM ({_near_sql(_SYN, _TRAIN)})"
+TRAIN, HOLD, SYN = "id % 5 < 2", "id % 5 = 2", "id % 5 > 2"
+DCR = f"SELECT id, d1 AS dcr, CASE WHEN d2 = 0 THEN 1 ELSE d1 / d2 END AS nndr FROM ({near_sql(SYN, TRAIN)})"
 
 
-@query(_DCR, "dcr nndr")
+@query(DCR, "dcr nndr")
 def dcr_nndr(spark, sf_dir):
     train, _, synth = _parts(spark, sf_dir)
     return privacy.dcr_nndr(train, synth)
 
 
-@query(f"SELECT avg(dcr) AS dcr_mean, min(dcr) AS dcr_min, avg(nndr) AS nndr_mean, min(nndr) AS nndr_min FROM ({_DCR})", "dcr_mean dcr_min nndr_mean nndr_min")
+@query(f"SELECT avg(dcr) AS dcr_mean, min(dcr) AS dcr_min, avg(nndr) AS nndr_mean, min(nndr) AS nndr_min FROM ({DCR})", "dcr_mean dcr_min nndr_mean nndr_min")
 def dcr_summary(spark, sf_dir):
     train, _, synth = _parts(spark, sf_dir)
     return privacy.dcr_summary(train, synth)
@@ -80,14 +80,14 @@ def dcr_summary(spark, sf_dir):
 
 @query(
     f"""SELECT any_value(t) AS threshold, 100.0 * avg(CASE WHEN d1 < t THEN 1.0 ELSE 0.0 END) AS leakage_pct
-    FROM ({_near_sql(_SYN, _TRAIN)}), (SELECT greatest(quantile_cont(d1, 0.05), 1e-8) AS t FROM ({_near_sql(_HOLD, _TRAIN)}))""",
+    FROM ({near_sql(SYN, TRAIN)}), (SELECT greatest(quantile_cont(d1, 0.05), 1e-8) AS t FROM ({near_sql(HOLD, TRAIN)}))""",
     "threshold leakage_pct",
 )
 def leakage(spark, sf_dir):
     return privacy.leakage(*_parts(spark, sf_dir))
 
 
-_SCORES = f"(SELECT -d1 AS s, 1 AS y FROM ({_near_sql(_TRAIN, _SYN)}) UNION ALL SELECT -d1, 0 FROM ({_near_sql(_HOLD, _SYN)}))"
+SCORES = f"(SELECT -d1 AS s, 1 AS y FROM ({near_sql(TRAIN, SYN)}) UNION ALL SELECT -d1, 0 FROM ({near_sql(HOLD, SYN)}))"
 
 
 def auc_sql(source):
@@ -95,7 +95,7 @@ def auc_sql(source):
         SELECT *, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS r, sum(y) OVER () AS p, count(*) OVER () AS n FROM {source}) GROUP BY p, n"""
 
 
-@query(f"SELECT ({auc_sql(_SCORES)}) AS mia_auc", "mia_auc:5")
+@query(f"SELECT ({auc_sql(SCORES)}) AS mia_auc", "mia_auc:5")
 def mia_auc(spark, sf_dir):
     return privacy.mia_auc(*_parts(spark, sf_dir))
 
@@ -107,11 +107,13 @@ def auc(spark, sf_dir):
 
 
 @query(
-    f"""SELECT CAST(least(floor((dcr - lo) / ((hi - lo) / 20)), 19) AS BIGINT) AS bin, count(*) AS n FROM ({_DCR}), (SELECT min(dcr) AS lo, max(dcr) AS hi FROM ({_DCR})) GROUP BY 1"""
+    f"""SELECT CAST(least(floor((dcr - lo) / ((hi - lo) / 20)), 19) AS BIGINT) AS bin, count(*) AS n, any_value(t) AS threshold FROM ({DCR}), (SELECT min(dcr) AS lo, max(dcr) AS hi FROM ({DCR})),
+    (SELECT greatest(quantile_cont(d1, 0.05), 1e-8) AS t FROM ({near_sql(HOLD, TRAIN)})) GROUP BY 1""",
+    "threshold",
 )
 def dcr_hist(spark, sf_dir):
-    train, _, synth = _parts(spark, sf_dir)
-    return privacy.distance_histogram(privacy.dcr_nndr(train, synth))
+    train, hold, synth = _parts(spark, sf_dir)
+    return privacy.distance_histogram(privacy.dcr_nndr(train, synth), threshold=privacy.leakage_threshold(train, hold))
 
 
 _PRED = "(SELECT l_returnflag AS y, CASE WHEN l_quantity > 33 THEN 'R' WHEN l_quantity > 16 THEN 'N' ELSE 'A' END AS p FROM lineitem)"

@@ -41,7 +41,7 @@ def query(sql: str | None = None, doubles: str = ""):
 
 
 def _load() -> None:
-    from . import associations, audits, comparisons, distances, preparation, privacies, profiles, rulings, syntheses  # noqa: F401
+    from . import associations, audits, comparisons, distances, inputs, preparation, privacies, profiles, rulings, syntheses  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +46,16 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
         df.write.mode(mode).parquet(path)
 
 
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new folder under ``spark.checkpoint.dir``, which driver and executors share; local sessions may go without that setting."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("on a cluster spark.checkpoint.dir has to name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="loomtab-")
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def write_split(df: DataFrame, path: str, split: str = "split") -> None:
     df.write.mode("overwrite").partitionBy(split).parquet(path)
 

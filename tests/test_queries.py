@@ -1,4 +1,4 @@
-"""Registered queries against their SQL on the smallest tables, and plans without a single-task window over rows."""
+"""Registered queries against their SQL on the smallest tables, and plans that gather no column in one task."""
 
 import glob
 import math
@@ -9,7 +9,7 @@ import pytest
 
 from loomtab.plans import registry
 
-SOME = ["fidelity_grades", "describe_continuous", "describe_categorical", "cramers_v", "spearman", "violation_by_rule", "pipeline_encode", "kfold", "dcr_nndr", "friedman", "histogram_jsd", "overlay_top10"]
+SOME = ["fidelity_grades", "describe_continuous", "describe_categorical", "cramers_v", "spearman", "violation_by_rule", "pipeline_encode", "kfold", "dcr_nndr", "friedman", "histogram_jsd", "overlay_top10", "csv_scan", "csv_scan_headerless", "experiments_read", "audit_status", "fold_metrics", "auc", "candidate_ranking"]
 
 
 @pytest.fixture(scope="module")
@@ -37,6 +37,16 @@ def test_against_sql(spark, sf, duck, name):
     assert sorted((tuple(norm(r[c]) for c in cols) for r in df.collect()), key=repr) == want
 
 
+@pytest.mark.parametrize("name", ["auc", "spearman", "describe_continuous", "outliers_mad", "candidate_ranking", "kfold", "stratified_split_by_key", "cond_mutual_info", "cardinality", "class_balance", "ks_statistic"])
+def test_plans_gather_no_column_in_one_task(spark, sf, name):
+    """Windows go over ranges of values, or over tables as small as the schema."""
+    plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    for line in plan.splitlines():
+        if "Window [" in line and "row_number" not in line:
+            assert any(x in line for x in ("_part", "part#", "sum(_", "sum(pr", "sum(ps", "lead(first", "[0]", ", 0]")), line
+    assert "percentile(" not in plan
+
+
 def test_every_sql_has_its_query():
     assert set(registry.oracle_sql()) <= set(registry.queries())
     assert len(registry.queries()) > 90

@@ -251,3 +251,50 @@ def test_profiles(spark):
     same = column(spark, "x", "double", [1.0, 1.0])
     assert profile.outliers_zscore(same, ["x"]).first().outliers == 0
     assert profile.outliers_mad(same, ["x"]).first().outliers == 0
+
+
+def test_running_sums_and_quantiles(spark):
+    import numpy as np
+
+    from loomtab.operators import running
+
+    rng = np.random.default_rng(1)
+    x = {"a": rng.integers(0, 40, 700).astype(float), "b": rng.normal(0, 5, 301), "c": np.array([3.0])}
+    df = spark.createDataFrame([(k, float(v)) for k, xs in x.items() for v in xs], "g string, x double").repartition(7)
+    counts = df.groupBy("g", "x").agg(F.count("*").alias("n"))
+    for r in running.sums_below(counts, ["g"], "x", {"n": "below"}).collect():
+        assert r.below == (x[r.g] < r.x).sum()
+    q = (0.9, 0.05, 0.5, 1.0, 0.0, 0.333)
+    for r in running.exact_quantiles(df, ["g"], q).collect():
+        assert np.allclose(r.q, np.quantile(x[r.g], q))
+    assert running.exact_quantiles(df.where("g = 'a'"), [], (0.5,)).first().q == [np.median(x["a"])]
+    assert running.exact_quantiles(df.limit(0), ["g"], q).count() == 0
+
+
+def test_status_and_fold_metrics(spark):
+    lines = [("fidelity", "wasserstein", "x", 0.2), ("fidelity", "js_divergence", "k", 0.01), ("fidelity", "js_divergence", "m", 0.05), ("fidelity", "corr_difference", "*", 0.3), ("rules", "mape", "r/synth", 0.2)]
+    lines += [("privacy", "dcr_mean", "*", 1.5), ("privacy", "leakage_pct", "*", 6.0), ("privacy", "mia_auc", "*", 0.7), ("utility", "TSTR/f1_macro", "random_forest", 0.6), ("utility", "TRTR/f1_macro", "random_forest", 0.7)]
+    lines += [("utility", "TSTR/r2", "linear", 0.3), ("utility", "TRTR/r2", "linear", 0.32), ("utility", "drop/f1_macro", "random_forest", 0.1), ("privacy", "nndr_mean", "*", 0.4), ("fidelity", "wasserstein", "y", None)]
+    df = spark.createDataFrame(lines, "section string, metric string, column string, value double")
+    told = {(r.metric, r.column): r.status for r in audit.with_status(df).collect()}
+    assert told["wasserstein", "x"] == "Poor" and told["js_divergence", "k"] == "Good" and told["js_divergence", "m"] == "Moderate"
+    assert told["mape", "r/synth"] == "Poor" and told["leakage_pct", "*"] == "Poor" and told["mia_auc", "*"] == "Moderate"
+    assert told["drop/f1_macro", "random_forest"] == "Moderate" and told["wasserstein", "y"] == "UNKNOWN" and told["nndr_mean", "*"] is None
+    row = audit.fold_metrics(df).first().asDict()
+    assert len(row) == 12 and row["avg_js"] == pytest.approx(0.03) and row["tstr_rf_f1"] == 0.6 and row["trtr_lr_f1"] == 0.32 and row["tstr_gb_f1"] is None
+    assert {r.domain: r.grade for r in audit.domains_of(df).collect()} == {"fidelity": "RED", "privacy": "RED", "utility": "YELLOW"}
+
+
+def test_missing_values_are_part_of_drawn_rows(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id").cast("double")).alias("x"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("k"), F.col("id") % 2)).alias("k"))
+    from loomtab.operators import synth
+
+    got = synth.synthesize(df, 3000, ["x"], ["k"]).agg(F.avg(F.col("x").isNull().cast("double")).alias("x"), F.avg(F.col("k").isNull().cast("double")).alias("k"), F.avg((F.col("x").isNull() & F.col("k").isNull()).cast("double")).alias("both")).first()
+    assert abs(got.x - 1 / 3) < 0.05 and abs(got.k - 1 / 3) < 0.05 and got.both > 0.25
+
+
+def test_names_with_spaces_in_rules():
+    r = rules.Rule.parse("total charge >= monthly charge")
+    assert (r.left, r.op, r.right) == ("total charge", ">=", "monthly charge")
+    with pytest.raises(ValueError):
+        rules.Rule.parse("total>=3")
