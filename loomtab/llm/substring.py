@@ -34,7 +34,7 @@ from .common import column_list, fresh, mix, pieces, word_hashes, written
 
 WIDTH, ANCHOR = 50, 32
 CHUNK_CHARS = 500_000
-#: A table of rows with repeated anchors, or with removed words, is broadcast up to so many numbers; beyond, it is shuffled.
+#: A table of repeated texts, or of rows with removed words, is broadcast up to so many numbers; beyond, it is shuffled.
 BROADCAST_NUMBERS = 2_000_000
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd multipliers of the polynomials over words
@@ -119,7 +119,7 @@ def unit_occurrences(docs: DataFrame, width: int) -> DataFrame:
     seen = written(anchors(docs, width), "anchors")
     twice = written(seen.groupBy(F.col("h").alias("g")).agg(F.count("*").alias("n")).where("n > 1").select("g"), "repeated-anchors")
     at = seen.join(twice, F.col("h") == F.col("g")).groupBy(F.col("doc_id").alias("id"), F.col("th").alias("tk")).agg(F.sort_array(F.collect_set("pos")).alias("at"))
-    at = _few(written(at, "anchored"), F.size("at"))
+    at = written(at, "anchored").hint("shuffle_hash")
     own = _own_key(docs)
     met = own.join(at, own["doc_id"].eqNullSafe(at["id"]) & (own["th"] == at["tk"])).select("doc_id", "th", "text", "at")
 
