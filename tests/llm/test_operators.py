@@ -392,6 +392,50 @@ def test_decontamination(spark, docs, empty):
     assert decontam.contaminations(docs, bench.limit(0)).count() == 0
 
 
+def nearest_stretch(item, text):
+    """Least edit distance of the whole item to any stretch of the text."""
+    row = np.zeros(len(text) + 1, int)
+    step = np.arange(len(text) + 1)
+    for c in item:
+        best = np.minimum(row[:-1] + (text != c), row[1:] + 1)
+        row = np.concatenate([[row[0] + 1], best])
+        row = np.minimum.accumulate(row - step) + step
+    return int(row.min())
+
+
+def test_decontamination_finds_what_brute_force_finds(spark):
+    rng = np.random.default_rng(12)
+    letters = np.array(list("abcde fgh "))
+    items = [(i, "x" + "".join(rng.choice(letters, n)).strip() + "y") for i, n in enumerate(rng.integers(40, 130, 12))]
+    rows = []
+    for d in range(60):
+        parts = ["".join(rng.choice(letters, rng.integers(0, 150)))]
+        for k in rng.choice(12, rng.integers(0, 3), replace=False):
+            t = list(items[k][1])
+            for _ in range(rng.integers(0, 1 + len(t) // 10)):
+                at = int(rng.integers(len(t)))
+                t[at : at + int(rng.integers(0, 2))] = [str(rng.choice(letters))] * int(rng.integers(0, 2))
+            parts += ["".join(t), "".join(rng.choice(letters, rng.integers(0, 60)))]
+        rows.append((d, "".join(parts)))
+    rows += [(60, rows[3][1]), (61, None), (62, "a" * 5000)]
+    docs, bench = spark.createDataFrame(rows, SCHEMA).repartition(4), spark.createDataFrame([*items, (12, "a" * 60), (13, None)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminations(docs, bench).collect()}
+    want = set()
+    for i, t in [*items, (12, "a" * 60)]:
+        own = decontam.normalised(t)[0]
+        budget = min(int(decontam.EDIT_SHARE * len(own)), (len(own) - decontam.Q) // decontam.Q)
+        want |= {(d, i) for d, x in rows if nearest_stretch(own, decontam.normalised(x or "")[0]) <= budget}
+    assert got == want and len(want) > 40
+
+
+def test_decontamination_counts_in_slices(monkeypatch):
+    index = decontam.Index([(1, "ab" * 100), (2, "the quick brown fox jumps over the lazy dog again and again")])
+    texts = ["ab" * 700, "x" * 300 + " the quick brown fox jumps over the lazy dog again and again", "ba" * 99 + "c" + "ab" * 40]
+    whole = [index.matches(t) for t in texts]
+    monkeypatch.setattr(decontam, "PAIRS", 500)
+    assert [index.matches(t) for t in texts] == whole and whole[0] and whole[1]
+
+
 def test_alignment_against_edit_distance():
     rng = np.random.default_rng(5)
 
