@@ -6,10 +6,11 @@ diagonals that differ by at most e.  So shared q-grams are counted in overlappin
 bands that reach that bound are aligned, within the band, and reported if the edits fit the budget.
 
 The benchmark is searched in blocks of at most BLOCK_BYTES of items, each broadcast with the search
-of all documents, so a large benchmark takes more passes and never more memory.
+of all documents, so a large benchmark takes more passes.
 
 Defined cases: null or empty texts and items match nothing; items with fewer than MIN_ITEM normalised
-bytes are not searched, as they can't be told from ordinary text; repeated rows are searched each;
+bytes have to be found unchanged, and those with fewer than Q, which have no q-gram, have to be all
+of a text, as they can't be told from ordinary words elsewhere; repeated rows are searched each;
 rows with a null doc_id or item_id are kept as such; an empty documents or benchmark table gives no
 matches; other columns are left out of matches and kept by ``drop_contaminated``.
 """
@@ -68,11 +69,16 @@ class Index:
     def __init__(self, items: list[tuple[int | None, str]], q: int = Q, share: float = EDIT_SHARE):
         self.q = q
         kept = [(i, normalised(t.strip(" \t\n\x0b\x0c\r"))[0]) for i, t in items if t]
-        kept = [(i, d) for i, d in kept if len(d) >= MIN_ITEM]
+        kept = [(i, d) for i, d in kept if len(d)]
         self.ids, self.data = [i for i, _ in kept], [d for _, d in kept]
         length = np.array([len(d) for d in self.data], np.int64)
-        self.budget = np.minimum((share * length).astype(np.int64), (length - q) // q)
-        self.bound = length - q + 1 - q * self.budget
+        # short items have to be found unchanged, and those without a q-gram have to be all of a text
+        self.budget = np.where(length < MIN_ITEM, 0, np.minimum((share * length).astype(np.int64), (length - q) // q))
+        self.bound = np.maximum(length - q + 1 - q * self.budget, 1)
+        self.whole: dict[bytes, list[int]] = {}
+        for k in np.flatnonzero(length < q).tolist():
+            self.whole.setdefault(self.data[k].tobytes(), []).append(k)
+        filtered = self.bound[length >= q]
         all_grams = [grams(d, q) for d in self.data]
         hashes = np.concatenate([*all_grams, np.zeros(0, np.uint64)])
         item = np.repeat(np.arange(len(kept)), [len(g) for g in all_grams])
@@ -81,7 +87,7 @@ class Index:
         self.hashes, self.item, self.pos = hashes[order], item[order], pos[order]
         self.maybe = np.zeros(_FILTER, bool)
         self.maybe[(self.hashes & np.uint64(_FILTER - 1)).astype(np.int64)] = True
-        self.least = int(self.bound.min()) if len(kept) else 0
+        self.least = int(filtered.min()) if len(filtered) else 1
         self.width = int(self.budget.max()) + 1 if len(kept) else 1
 
     def bands(self, data: np.ndarray) -> list[tuple[int, int, int]]:
@@ -128,6 +134,9 @@ class Index:
         data, at = normalised(text)
         raw = data.tobytes()
         found: set[tuple[int, int, int, int]] = set()
+        if len(raw) < self.q + 2:
+            own = raw.strip(b" ")
+            found |= {(0, k, raw.find(own), raw.find(own) + len(own)) for k in self.whole.get(own, ())}
         exact: dict[int, list[int]] = {}
         rest = []
         for item, first, many in self.bands(data):

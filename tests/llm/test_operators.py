@@ -377,17 +377,17 @@ def test_components(spark):
 
 
 def test_decontamination(spark, docs, empty):
-    items = [(1, "An item of the benchmark that has to be found wherever it stands, whole or a little changed."), (2, None), (3, "short"), (None, "Another item, whose identifier is null, that is also long enough to be found.")]
+    items = [(1, "An item of the benchmark that has to be found wherever it stands, whole or a little changed."), (2, None), (3, "short"), (4, "a brief item here"), (None, "Another item, whose identifier is null, that is also long enough to be found.")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     a = items[0][1]
-    texts = [(1, "before " + a + " after"), (2, a.upper().replace(" ", "\n\t")), (3, a.replace("found", "fuond").replace("little", "litle")), (4, a[:40]), (5, "nothing here"), (6, None), (7, "é " + items[3][1]), (8, BASE * 50 + a)]
+    texts = [(1, "before " + a + " after"), (2, a.upper().replace(" ", "\n\t")), (3, a.replace("found", "fuond").replace("little", "litle")), (4, a[:40]), (5, "nothing here"), (6, None), (7, "é " + items[4][1]), (8, BASE * 50 + a), (9, " SHORT\n"), (10, "not short"), (11, "so A brief\titem here too"), (12, "a brief itam here")]
     found = decontam.contaminations(spark.createDataFrame(texts, SCHEMA), bench).collect()
-    assert sorted({r.doc_id for r in found}) == [1, 2, 3, 7, 8]
+    assert sorted({r.doc_id for r in found}) == [1, 2, 3, 7, 8, 9, 11]
     one = {r.doc_id: r for r in found}
     assert texts[0][1][one[1].start : one[1].end] == a and one[1].edits == 0 and one[3].edits > 0
-    assert texts[6][1][one[7].start : one[7].end] == items[3][1] and one[7].item_id is None
+    assert texts[6][1][one[7].start : one[7].end] == items[4][1] and one[7].item_id is None
     kept = decontam.drop_contaminated(spark.createDataFrame(texts, SCHEMA), bench)
-    assert sorted(r.doc_id for r in kept.collect()) == [4, 5, 6]
+    assert sorted(r.doc_id for r in kept.collect()) == [4, 5, 6, 10, 12]
     assert decontam.contaminations(empty, bench).count() == 0
     assert decontam.contaminations(docs, bench.limit(0)).count() == 0
 
