@@ -37,7 +37,7 @@ RUN = 128
 #: Bytes of a sidecar's line.
 ENTRY = 32
 #: Tasks that read, per file on average, at most.
-READS = 64
+READS = 4
 _BUFFER = 1 << 20
 _END = b"\r\n\r\n"
 
