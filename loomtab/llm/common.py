@@ -165,7 +165,7 @@ def shingle_hashes(texts: list[str], width: int) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     rolled = np.zeros(max(n - width + 1, 0), np.uint64)
     for k in range(width if n >= width else 0):
-        rolled = mix(rolled + words[k : n - width + 1 + k] + np.uint64(k + 1)) if k else words[: n - width + 1].copy()
+        rolled = mix(rolled + words[k : n - width + 1 + k] + np.uint64(k + 1))
     at = 0
     for c in counts.tolist():
         if c >= width:
