@@ -66,10 +66,10 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """``docs`` with the lost lines gone from ``text``, plus n_lines (before) and n_dropped."""
     th, keep, total, lost = (fresh(docs, c) for c in ("th", "keep", "n_lines", "n_dropped"))
-    key, zeros = fresh(docs, "key_id"), fresh(docs, "zeros")
+    key, zeros, own_th = fresh(docs, "key_id"), fresh(docs, "zeros"), fresh(docs, "th_own")
     maps = keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias(key), F.col("th").alias(th), F.col("keep").alias(keep), F.col("zeros").alias(zeros))
-    own = docs.withColumn(th + "_own", F.xxhash64("text"))
-    met = own.join(maps.hint("shuffle_hash"), own["doc_id"].eqNullSafe(maps[key]) & (own[th + "_own"] == maps[th]), "left")
+    own = docs.withColumn(own_th, F.xxhash64("text"))
+    met = own.join(maps.hint("shuffle_hash"), own["doc_id"].eqNullSafe(maps[key]) & (own[own_th] == maps[th]), "left")
     lines = lines_of(F.col("text"))
     kept = F.array_join(F.flatten(F.transform(keep, lambda r: F.slice(lines, r["start"] + 1, F.least(r["len"], F.size(lines) - r["start"])))), "\n")
     return met.select(

@@ -79,11 +79,11 @@ def _own_key(docs: DataFrame) -> DataFrame:
 
 def marked_copies(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` with a boolean: whether an earlier row has the same text."""
-    again, low, a, b = (fresh(docs, c) for c in ("again", "low", "text_a", "text_b"))
+    again, low, a, b, ga, gb = (fresh(docs, c) for c in ("again", "low", "text_a", "text_b", "ga", "gb"))
     keyed = docs.withColumns({a: F.xxhash64("text"), b: F.xxhash64(F.lit(7), "text")})
-    texts = keyed.groupBy(F.col(a).alias("ga"), F.col(b).alias("gb")).agg(F.min(F.struct("doc_id")).alias(low), F.count("*").alias(again)).where(F.col(again) > 1)
+    texts = keyed.groupBy(F.col(a).alias(ga), F.col(b).alias(gb)).agg(F.min(F.struct("doc_id")).alias(low), F.count("*").alias(again)).where(F.col(again) > 1)
     few = _few(written(texts, "repeated-texts"), F.lit(1))
-    met = keyed.join(few, (F.col(a) == F.col("ga")) & (F.col(b) == F.col("gb")), "left")
+    met = keyed.join(few, (F.col(a) == F.col(ga)) & (F.col(b) == F.col(gb)), "left")
     return met.select(*docs.columns, (F.col(again).isNotNull() & ~F.col("doc_id").eqNullSafe(F.col(f"{low}.doc_id"))).alias(name))
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import re
 import string
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomtab.llm import components, decontam, forest, jaccard, linededup, packing, quality, queries, rans, secrets, substring, tokens, warc
+from loomtab.llm import common, components, decontam, forest, jaccard, linededup, packing, quality, queries, rans, secrets, substring, tokens, warc
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -614,3 +615,39 @@ def test_archives(spark):
         want[p, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if again else "response", 3 if again else None] += 1
     assert got == want
     assert warc.archive_round_trip(df.limit(0)).count() == 0
+
+
+# --- helper columns and hashes ---
+
+
+def test_shingle_hashes_tell_orders_apart():
+    """Every order of five words is a shingle of its own, and set sizes equal those of tuples."""
+    orders = list(itertools.permutations("abcde"))
+    hashes = {int(common.shingle_hashes([" ".join(p)], 5)[0][0]) for p in orders}
+    assert len(hashes) == len(orders)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["one", "two", "c", "d", "e", "x"], rng.integers(0, 60))) for _ in range(300)]
+    for text, found in zip(texts, common.shingle_hashes(texts, 5)):
+        words = text.split()
+        assert len(found) == (len({tuple(words[i : i + 5]) for i in range(len(words) - 4)}) or bool(words))
+
+
+def test_swapped_words_are_not_linked(spark):
+    rows = [(1, "a b c d e"), (2, "b a c d e"), (3, "one two c d e x y z two one c d e"), (4, "A b c d e")]
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == {1: (1, 1), 2: (1, 2), 3: (9, 3), 4: (1, 1)}
+
+
+HELPERS = ["th", "th_own", "own_th", "keep", "zeros", "key_id", "n_lines", "n_dropped", "ga", "gb", "again", "low", "text_a", "text_b", "copy", "removed", "gone_th", "gone_id", "TH_", "h", "node"]
+
+
+def test_helper_names_may_clash(spark):
+    """Columns named as the operators' own helpers keep their values, and results are those without them."""
+    rows = [(d, t) for d, t in TEXTS if d is not None and d != 14]
+    plain = spark.createDataFrame(rows, SCHEMA)
+    extra = spark.createDataFrame([(*r, *[f"{c}{r[0]}" for c in HELPERS]) for r in rows], f"{SCHEMA}, " + ", ".join(f"{c} string" for c in HELPERS))
+    for run in (linededup.dedup_lines, substring.dedup_units, jaccard.keep_one):
+        want = {r["doc_id"]: r["text"] for r in run(plain).collect()}
+        got = [r for r in run(extra).collect()]
+        assert {r[0]: r[1] for r in got} == want
+        assert all(list(r)[2 : 2 + len(HELPERS)] == [f"{c}{r[0]}" for c in HELPERS] for r in got)
