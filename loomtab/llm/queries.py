@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprint, forest, jaccard, linededup, packing, quality, rans, secrets, substring, warc
+from . import collocation, decontam, fingerprint, forest, jaccard, linededup, packing, quality, rans, secrets, substring, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compared_with_next(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -77,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_nearest": op9_nearest,
         "op10_token_output": op10_token_output,
         "op11_fingerprints": op11_fingerprints,
+        "op12_collocations": op12_collocations,
     }
 
 
@@ -85,4 +90,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_warc": warc.ORACLE_SQL,
         "op3_line_dedup": linededup.ORACLE_SQL,
         "op7_substring_dedup": substring.ORACLE_SQL,
+        "op12_collocations": collocation.ORACLE_SQL,
     }
