@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocation, decontam, fingerprint, forest, jaccard, linededup, packing, quality, rans, secrets, substring, warc
+from . import collocation, decontam, divergence, fingerprint, forest, jaccard, linededup, packing, quality, rans, secrets, substring, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocation.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -82,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_token_output": op10_token_output,
         "op11_fingerprints": op11_fingerprints,
         "op12_collocations": op12_collocations,
+        "op13_divergence": op13_divergence,
     }
 
 
@@ -91,4 +96,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_line_dedup": linededup.ORACLE_SQL,
         "op7_substring_dedup": substring.ORACLE_SQL,
         "op12_collocations": collocation.ORACLE_SQL,
+        "op13_divergence": divergence.ORACLE_SQL,
     }
