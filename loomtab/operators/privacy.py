@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .assoc import average_ranks
+from .neighbours import nearest_approximate, nearest_pruned
 from .running import exact_quantiles
+from .split import sample_exact
 
 BLOCK = 4096
 
@@ -23,12 +25,23 @@ def _blocked(df: DataFrame, id_col: str, vector: str, rows: int) -> DataFrame:
     return g.select("block", F.col("s.id").alias("ids"), F.flatten("s.v").alias("flat"))
 
 
-def nearest_two(queries: DataFrame, base: DataFrame, query_id: str = "id", base_id: str = "id", vector: str = "features", block: int = BLOCK, keep: int = 2) -> DataFrame:
-    """(id, d1, d2): each query's distances to its nearest ``base`` rows, exact and uncapped.
+def nearest_two(
+    queries: DataFrame, base: DataFrame, query_id: str = "id", base_id: str = "id", vector: str = "features", block: int = BLOCK, keep: int = 2, mode: str = "blocks", max_samples: int | None = None, seed: int = 42
+) -> DataFrame:
+    """(id, d1, d2): each query's distances to its nearest ``base`` rows.
 
-    Both sides are cut into blocks that meet pairwise, so memory is two blocks whatever the tables;
-    each meeting keeps its ``keep`` best per query and these are merged by query.
+    ``mode``: ``blocks`` and ``pruned`` are exact, ``approximate`` looks into buckets of near rows only
+    (see ``neighbours``).  With ``max_samples`` both sides are first cut to so many rows, drawn by the
+    hash of their ids.  By blocks, both sides are cut into blocks that meet pairwise, so memory is two
+    blocks whatever the tables; each meeting keeps its ``keep`` best per query and these are merged.
     """
+    if mode not in ("blocks", "pruned", "approximate"):
+        raise ValueError(f"{mode!r} is none of blocks, pruned, approximate")
+    if max_samples is not None:
+        queries, base = sample_exact(queries, [query_id], max_samples, seed), sample_exact(base, [base_id], max_samples, seed)
+    if mode != "blocks":
+        near = nearest_pruned if mode == "pruned" else nearest_approximate
+        return near(queries, base, query_id, base_id, vector, keep)
     q = _blocked(queries, query_id, vector, block).select(F.col("ids").alias("qi"), F.col("flat").alias("qf"))
     b = _blocked(base, base_id, vector, block).select(F.col("ids").alias("bi"), F.col("flat").alias("bf"))
     met = q.join(b)  # blocks against blocks: (n / block) x (m / block) rows

@@ -72,6 +72,27 @@ def dcr_nndr(spark, sf_dir):
     return privacy.dcr_nndr(train, synth)
 
 
+@query(DCR, "dcr nndr")
+def dcr_nndr_pruned(spark, sf_dir):
+    """The same by pivots: cells that can't hold a neighbour are not met."""
+    train, _, synth = _parts(spark, sf_dir)
+    return privacy.dcr_nndr(train, synth, mode="pruned")
+
+
+@query(
+    """SELECT (SELECT count(*) FROM customer WHERE c_custkey % 5 > 2) AS queries, (SELECT count(*) FROM customer WHERE c_custkey % 5 > 2) AS answered, 0 AS too_near, true AS recall_reached"""
+)
+def dcr_approximate(spark, sf_dir):
+    """Neighbours from buckets against the exact ones: all queries answered, none nearer than it is, and 0.9 of the nearest found."""
+    train, _, synth = _parts(spark, sf_dir)
+    exact, rough = privacy.nearest_two(synth, train), privacy.nearest_two(synth, train, mode="approximate").select("id", F.col("d1").alias("r1"), F.col("d2").alias("r2"))
+    met = exact.join(rough, "id", "left")
+    right = sum((F.abs(F.col(a) - F.col(b)) < 1e-9).cast("double") for a, b in (("d1", "r1"), ("d2", "r2"))) / 2
+    return met.agg(
+        F.count("*").alias("queries"), F.count("r1").alias("answered"), F.count_if((F.col("r1") < F.col("d1") - 1e-9) | (F.col("r2") < F.col("d2") - 1e-9)).cast("int").alias("too_near"), (F.avg(right) >= 0.9).alias("recall_reached")
+    )
+
+
 @query(f"SELECT avg(dcr) AS dcr_mean, min(dcr) AS dcr_min, avg(nndr) AS nndr_mean, min(nndr) AS nndr_min FROM ({DCR})", "dcr_mean dcr_min nndr_mean nndr_min")
 def dcr_summary(spark, sf_dir):
     train, _, synth = _parts(spark, sf_dir)
