@@ -54,6 +54,26 @@ def kolmogorov_sf(d: float, n1: float, n2: float) -> float:
     return min(1.0, max(0.0, 2 * total))
 
 
+def kolmogorov_exact_sf(d: float, n1: int, n2: int) -> float:
+    """Exact two-sided p-value of the two-sample KS statistic, by counting lattice paths.
+
+    Of all orders in which n1 and n2 values can be merged, the share whose path somewhere lies as far from
+    the diagonal as ``d`` says.  Diagonal by diagonal, entry i has the share of paths to (i, s - i) that did.
+    """
+    far = round(d * n1 * n2)
+    if far <= 0:
+        return 1.0
+    i = np.arange(n1 + 1)
+    hit = np.zeros(n1 + 1)
+    for s in range(1, n1 + n2 + 1):
+        before = np.concatenate([[0.0], hit[:-1]])
+        j = s - i
+        hit = (before * i + hit * np.maximum(j, 0)) / s
+        hit[np.abs(i * n2 - j * n1) >= far] = 1.0
+        hit[(j < 0) | (j > n2)] = 0.0
+    return float(min(1.0, hit[n1]))
+
+
 def normal_cdf(x: float) -> float:
     return 0.5 * math.erfc(-x / math.sqrt(2))
 
@@ -105,8 +125,21 @@ def chi2_p(x, df) -> Column:
     return _applied(_chi2_or_one, *map(_col, (x, df)))
 
 
-def ks_p(d, n1, n2) -> Column:
-    return _applied(kolmogorov_sf, *map(_col, (d, n1, n2)))
+def ks_p(d, n1, n2, exact_up_to: int = 0) -> Column:
+    """p-value of the two-sample KS statistic: exact where both sides have at most ``exact_up_to`` values, else asymptotic."""
+
+    def p(d: float, n1: float, n2: float) -> float:
+        return kolmogorov_exact_sf(d, int(n1), int(n2)) if max(n1, n2) <= exact_up_to else kolmogorov_sf(d, n1, n2)
+
+    return _applied(p, *map(_col, (d, n1, n2)))
+
+
+def digamma(x: Column) -> Column:
+    """Of numbers above 0, by its series beyond 6 and the recurrence below, to about 1e-12."""
+    y = x + 6
+    r = 1 / (y * y)
+    series = F.ln(y) - 0.5 / y - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r / 132))))
+    return series - sum((1 / (x + i) for i in range(1, 6)), 1 / x)
 
 
 def nemenyi_p(q, k) -> Column:

@@ -55,11 +55,12 @@ def grade_utility(drops: DataFrame) -> DataFrame:
     return drops.withColumn("grade", F.when(F.col("drop").isNull() | F.isnan("drop"), "UNKNOWN").when(F.col("drop") < 0.05, "Good").when(F.col("drop") < 0.15, "Moderate").otherwise("Poor"))
 
 
-def run_audit(real: DataFrame, synth: DataFrame, train: DataFrame, test: DataFrame, continuous: list[str], categorical: list[str], vectorizer=None, target: str | None = None, sensitive: str | None = None, formulas: dict[str, str] | None = None, trees: int = 20) -> DataFrame:
+def run_audit(real: DataFrame, synth: DataFrame, train: DataFrame, test: DataFrame, continuous: list[str], categorical: list[str], vectorizer=None, target: str | None = None, sensitive: str | None = None, formulas: dict[str, str] | None = None, trees: int = 20, exclude: list[str] | None = None, estimators=None) -> DataFrame:
     """All sections in one long table (section, metric, column, value).
 
     ``vectorizer``: function from a table to (id, features), for the privacy section; without it that
-    section is left out, as is utility without a target.
+    section is left out, as is utility without a target.  A model that fails is a line without a value,
+    and the audit goes on.  ``exclude`` and ``estimators`` go to ``evaluate_utility``.
     """
     from .rules import formula_audit
 
@@ -75,8 +76,8 @@ def run_audit(real: DataFrame, synth: DataFrame, train: DataFrame, test: DataFra
         out = out.unionByName(metric("privacy", "leakage_pct", privacy.leakage(vt, vh, vs), "leakage_pct"))
         out = out.unionByName(metric("privacy", "mia_auc", privacy.mia_auc(vt, vh, vs), "mia_auc"))
     if target:
-        s = utility.evaluate_utility(train, test, synth, target, continuous, categorical, trees=trees)
-        out = out.unionByName(s.select(F.lit("utility").alias("section"), F.concat_ws("/", "regime", "metric").alias("metric"), F.col("model").alias("column"), "value"))
+        s = utility.evaluate_utility(train, test, synth, target, continuous, categorical, exclude=exclude, trees=trees, estimators=estimators)
+        out = out.unionByName(s.select(F.lit("utility").alias("section"), F.concat_ws("/", "regime", F.coalesce("metric", F.lit("fit"))).alias("metric"), F.col("model").alias("column"), "value"))
         drops = utility.utility_drop(s).where("model <> '*'")
         out = out.unionByName(drops.select(F.lit("utility").alias("section"), F.concat(F.lit("drop/"), F.col("metric")).alias("metric"), F.col("model").alias("column"), F.col("drop").alias("value")))
     if sensitive:
@@ -98,6 +99,7 @@ def with_status(audit: DataFrame, tolerance: float = 0.15) -> DataFrame:
         .when(m == "leakage_pct", step(1, 5))
         .when(m == "mia_auc", F.when(v <= 0.65, "Good").when(v < 0.8, "Moderate").otherwise("Poor"))
         .when(m.startswith("drop/"), step(0.05, 0.15))
+        .when(m.endswith("/fit"), F.lit("UNKNOWN"))
         .otherwise(grade_column())
     )
     return audit.withColumn("status", F.when(told.isNotNull() & (v.isNull() | F.isnan(v)), "UNKNOWN").otherwise(told))

@@ -94,10 +94,14 @@ def histogram_jsd(real: DataFrame, synth: DataFrame, cols: list[str], bins: int
     return tot.groupBy("col").agg(F.when((F.max("tr") > 0) & (F.max("ts") > 0) & (F.max("width") > 0), d).otherwise(0.0).alias("histogram_jsd"))
 
 
-def ks_test(real: DataFrame, synth: DataFrame, cols: list[str]) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov statistic and its asymptotic p-value."""
+#: Values of a side up to which the KS test's p-value is exact by default; beyond, it is asymptotic.
+KS_EXACT = 10_000
+
+
+def ks_test(real: DataFrame, synth: DataFrame, cols: list[str], exact_up_to: int = KS_EXACT) -> DataFrame:
+    """Two-sample Kolmogorov-Smirnov statistic and its p-value: exact if both sides have at most ``exact_up_to`` values, else asymptotic."""
     s = ecdf_gaps(real, synth, cols).groupBy("col").agg(F.max(F.abs("gap")).alias("ks"), F.max("tr").alias("n1"), F.max("ts").alias("n2"))
-    return s.select("col", "ks", ks_p("ks", F.col("n1").cast("double"), F.col("n2").cast("double")).alias("p_value"))
+    return s.select("col", "ks", ks_p("ks", F.col("n1").cast("double"), F.col("n2").cast("double"), exact_up_to).alias("p_value"))
 
 
 def chi2_homogeneity(real: DataFrame, synth: DataFrame, cols: list[str]) -> DataFrame:
@@ -116,8 +120,8 @@ def chi2_homogeneity(real: DataFrame, synth: DataFrame, cols: list[str]) -> Data
     return s.select("col", "chi2", "dof", chi2_p("chi2", "dof").alias("p_value"))
 
 
-def covariate_shift(train: DataFrame, test: DataFrame, continuous: list[str], categorical: list[str], alpha: float = 0.05) -> DataFrame:
-    ks = ks_test(train, test, continuous).select("col", F.lit("ks").alias("test"), F.col("ks").alias("statistic"), "p_value")
+def covariate_shift(train: DataFrame, test: DataFrame, continuous: list[str], categorical: list[str], alpha: float = 0.05, exact_up_to: int = KS_EXACT) -> DataFrame:
+    ks = ks_test(train, test, continuous, exact_up_to).select("col", F.lit("ks").alias("test"), F.col("ks").alias("statistic"), "p_value")
     chi = chi2_homogeneity(train, test, categorical).select("col", F.lit("chi2").alias("test"), F.col("chi2").alias("statistic"), "p_value")
     return ks.unionByName(chi).withColumn("shifted", F.col("p_value") < alpha)
 

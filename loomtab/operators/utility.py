@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .privacy import auc
 from .profile import number
+from .running import exact_quantiles
 
 MODELS = ("random_forest", "gradient_boosting", "linear")
 
@@ -64,10 +68,10 @@ def features(continuous: list[str], categorical: list[str], fit_on: DataFrame):
 def prepared(df: DataFrame, continuous: list[str], categorical: list[str], target: str, classification: bool) -> DataFrame:
     """Numbers without nulls (0), categories as strings, the target's nulls filled by its mode or median."""
     y = F.col(target).cast("string") if classification else number(target)
-    fill = df.agg((F.mode(y, True) if classification else F.percentile(y, 0.5)).alias("fill"))
+    fill = df.agg(F.mode(y, True).alias("fill")) if classification else exact_quantiles(df.select(y.alias("x")), [], (0.5,)).select(F.col("q")[0].alias("fill"))
     cols = [F.coalesce(number(c), F.lit(0.0)).alias(c) for c in continuous if c != target]
     cats = [F.coalesce(F.col(c).cast("string"), F.lit("missing")).alias(c) for c in categorical if c != target]
-    return df.join(F.broadcast(fill)).select(*cols, *cats, F.coalesce(y, F.col("fill")).alias("y"))
+    return df.join(F.broadcast(fill), how="left").select(*cols, *cats, F.coalesce(y, F.col("fill")).alias("y"))
 
 
 def _estimators(classification: bool, classes: int, rows: int, trees: int, seed: int) -> dict:
@@ -82,38 +86,75 @@ def _estimators(classification: bool, classes: int, rows: int, trees: int, seed:
     }
 
 
-def evaluate_utility(train: DataFrame, test: DataFrame, synth: DataFrame, target: str, continuous: list[str], categorical: list[str], exclude: list[str] | None = None, models: tuple[str, ...] = MODELS, trees: int = 100, seed: int = 42) -> DataFrame:
-    """(model, regime, metric, value): trained on real (TRTR) and on synthetic rows (TSTR), both tested on real ones."""
+def _scored(est, train: DataFrame, test: DataFrame, labels: list[str] | None) -> list[tuple[str, float]]:
+    """Scores of one fit, a few numbers."""
+    done = est.fit(train).transform(test)
+    if labels is None:
+        scores = regression_scores(done.select("y", "prediction"))
+    else:
+        names = F.array(*[F.lit(v) for v in labels])
+        told = F.get(names, F.col("prediction").cast("int"))
+        two = len(labels) == 2
+        prob = vector_to_array("probability")[1] if two and "probability" in done.columns else F.lit(0.0)
+        done = done.select("y", told.alias("prediction"), prob.alias("score"))
+        scores = classification_scores(done, score="score" if two else None, positive=labels[1] if two else None)
+    return [(r["metric"], r["value"]) for r in scores.select("metric", "value").collect()]
+
+
+def evaluate_utility(
+    train: DataFrame,
+    test: DataFrame,
+    synth: DataFrame | None,
+    target: str,
+    continuous: list[str],
+    categorical: list[str],
+    exclude: list[str] | None = None,
+    models: tuple[str, ...] = MODELS,
+    trees: int = 100,
+    seed: int = 42,
+    estimators=None,
+    at_once: int = 3,
+) -> DataFrame:
+    """(model, regime, metric, value, status): trained on real (TRTR) and on synthetic rows (TSTR), both tested on real ones.
+
+    Models are fitted side by side, ``at_once`` at a time.  A fit that fails is a row without metric and value, whose status
+    is its error; the others' are "ok".  Without synthetic rows there is only TRTR.  ``estimators`` replaces the models: a
+    function of (classification, classes, rows, trees, seed) to estimators by name.
+    """
     gone = set(exclude or [])
     continuous = [c for c in continuous if c not in gone and c != target]
     categorical = [c for c in categorical if c not in gone and c != target]
     cls = is_classification(train, target, [*categorical, *([target] if dict(train.dtypes)[target] == "string" else [])])
-    tables = {"TRTR": train, "TSTR": synth, "test": test}
+    tables = {"TRTR": train, "test": test} | ({} if synth is None else {"TSTR": synth})
     ready = {k: prepared(d, continuous, categorical, target, cls) for k, d in tables.items()}
+    labels = None
     if cls:
-        index = StringIndexer(inputCol="y", outputCol="label", handleInvalid="keep").fit(ready["TRTR"].unionByName(ready["TSTR"]))
+        known = ready["TRTR"].unionByName(ready["TSTR"]) if synth is not None else ready["TRTR"]
+        index = StringIndexer(inputCol="y", outputCol="label", handleInvalid="keep").fit(known)
+        labels = list(index.labels)
         ready = {k: index.transform(d) for k, d in ready.items()}
-        names = F.array(*[F.lit(v) for v in index.labels])
     assembler = features(continuous, categorical, ready["TRTR"])
     ready = {k: assembler.transform(d).cache() for k, d in ready.items()}
-    out = None
-    for regime in ("TRTR", "TSTR"):
-        rows = ready[regime].count()
-        for name, est in _estimators(cls, len(index.labels) if cls else 0, rows, trees, seed).items():
-            if name not in models:
-                continue
-            done = est.fit(ready[regime]).transform(ready["test"])
-            if cls:
-                told = F.get(names, F.col("prediction").cast("int"))
-                two = len(index.labels) == 2
-                prob = vector_to_array("probability")[1] if two and "probability" in done.columns else F.lit(0.0)
-                done = done.select("y", told.alias("prediction"), prob.alias("score"))
-                scores = classification_scores(done, score="score" if two else None, positive=index.labels[1] if two else None)
-            else:
-                scores = regression_scores(done.select("y", "prediction"))
-            scores = scores.select(F.lit(name).alias("model"), F.lit(regime).alias("regime"), "metric", "value")
-            out = scores if out is None else out.unionByName(scores)
-    return out
+    try:
+        tasks = []
+        for regime in (k for k in ("TRTR", "TSTR") if k in ready):
+            rows = ready[regime].count()
+            made = (estimators or _estimators)(cls, len(labels) if cls else 0, rows, trees, seed)
+            tasks += [(name, regime, est) for name, est in made.items() if estimators or name in models]
+
+        def run(name: str, regime: str, est) -> list[tuple]:
+            try:
+                return [(name, regime, metric, value, "ok") for metric, value in _scored(est, ready[regime], ready["test"], labels)]
+            except Exception as e:  # noqa: BLE001  # whatever fails is told, and the other models go on
+                return [(name, regime, None, None, f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"[:300])]
+
+        with ThreadPoolExecutor(max(1, at_once)) as pool:
+            # each fit gets its own copy of this thread's Spark properties
+            lines = [line for part in [pool.submit(inheritable_thread_target(train.sparkSession)(run), *t) for t in tasks] for line in part.result()]
+    finally:
+        for d in ready.values():
+            d.unpersist()
+    return train.sparkSession.createDataFrame(lines, "model string, regime string, metric string, value double, status string")
 
 
 def utility_drop(scores: DataFrame, metrics: tuple[str, ...] = ("f1_macro", "r2")) -> DataFrame:
@@ -125,8 +166,8 @@ def utility_drop(scores: DataFrame, metrics: tuple[str, ...] = ("f1_macro", "r2"
 
 def attribute_inference(synth: DataFrame, holdout: DataFrame, sensitive: str, continuous: list[str], categorical: list[str], trees: int = 50, seed: int = 42) -> DataFrame:
     """A forest learnt on synthetic rows guesses the sensitive column of real ones; its scores, long."""
-    done = evaluate_utility(synth, holdout, synth.limit(0).unionByName(synth), sensitive, continuous, categorical, models=("random_forest",), trees=trees, seed=seed)
-    return done.where("regime = 'TSTR'").select("metric", "value")
+    done = evaluate_utility(synth, holdout, None, sensitive, continuous, categorical, models=("random_forest",), trees=trees, seed=seed)
+    return done.where("status = 'ok'").select("metric", "value")
 
 
 def cross_validated(df: DataFrame, target: str, continuous: list[str], categorical: list[str], folds: int = 3, trees: int = 50, seed: int = 42, fold: str = "fold") -> DataFrame:
@@ -134,7 +175,7 @@ def cross_validated(df: DataFrame, target: str, continuous: list[str], categoric
     out = None
     for k in range(folds):
         train, test = df.where(F.col(fold) != k), df.where(F.col(fold) == k)
-        s = evaluate_utility(train, test, train, target, continuous, categorical, models=("random_forest",), trees=trees, seed=seed)
-        s = s.where("regime = 'TRTR' AND metric = 'accuracy'").select(F.lit(k).alias("fold"), "value")
+        s = evaluate_utility(train, test, None, target, continuous, categorical, models=("random_forest",), trees=trees, seed=seed)
+        s = s.where("metric = 'accuracy'").select(F.lit(k).alias("fold"), "value")
         out = s if out is None else out.unionByName(s)
     return out

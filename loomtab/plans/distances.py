@@ -72,7 +72,25 @@ _P = f"least(1, greatest(0, 2 * list_sum(list_transform(range(1, 101), lambda j:
 
 @query(f"SELECT col, max(abs(gap)) AS ks, {_P} AS p_value FROM ({gap_sql(_X)}) GROUP BY col", "ks p_value")
 def ks_test(spark, sf_dir):
-    return dist.ks_test(*halves(spark, sf_dir), _X)
+    return dist.ks_test(*halves(spark, sf_dir), _X, exact_up_to=0)
+
+
+@query(
+    """WITH RECURSIVE v AS (SELECT CAST(s_acctbal AS DOUBLE) AS x, s_suppkey % 2 = 0 AS real FROM supplier),
+    n AS (SELECT count(*) FILTER (real) AS n1, count(*) FILTER (NOT real) AS n2 FROM v),
+    e AS (SELECT max(abs(n2 * f - n1 * g)) AS far FROM (SELECT DISTINCT x, count(*) FILTER (real) OVER w AS f, count(*) FILTER (NOT real) OVER w AS g FROM v WINDOW w AS (ORDER BY x)), n),
+    walk AS (
+        SELECT 0 AS s, list_transform(range(0, n1 + 1), lambda i: 0.0::DOUBLE) AS q, n1, n2, far FROM n, e
+        UNION ALL
+        SELECT s + 1, list_transform(range(0, n1 + 1), lambda i: CASE WHEN s + 1 - i < 0 OR s + 1 - i > n2 THEN 0.0 WHEN abs(i * n2 - (s + 1 - i) * n1) >= far THEN 1.0
+            ELSE (CASE WHEN i > 0 THEN q[i] * i ELSE 0.0 END + q[i + 1] * (s + 1 - i)) / (s + 1) END), n1, n2, far FROM walk WHERE s < n1 + n2)
+    SELECT 's_acctbal' AS col, far / (n1 * n2) AS ks, q[n1 + 1] AS p_value FROM walk WHERE s = n1 + n2""",
+    "ks p_value",
+)
+def ks_exact(spark, sf_dir):
+    """The exact p-value on a small table, by counting lattice paths."""
+    s = table(spark, sf_dir, "supplier")
+    return dist.ks_test(s.where("s_suppkey % 2 = 0"), s.where("s_suppkey % 2 = 1"), ["s_acctbal"])
 
 
 def chi2_sql(cols=KINDS, source=SRC):
@@ -97,9 +115,18 @@ def covariate_shift(spark, sf_dir):
     return dist.covariate_shift(*halves(spark, sf_dir), _X, KINDS).select("col", "test", "statistic")
 
 
-@query()
+# survival of chi-square with 2 degrees of freedom, and with 1 by Simpson's rule over the error function
+_CHI = """CASE WHEN dof = 2 THEN exp(-chi2 / 2) ELSE 1 - 2 / sqrt(pi()) * sqrt(chi2 / 2) / 600 * list_sum(list_transform(range(0, 201),
+    lambda i: (CASE WHEN i IN (0, 200) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(sqrt(chi2 / 2) * i / 200, 2)))) END"""
+
+
+@query(
+    f"""SELECT *, p_value < 0.05 AS shifted FROM (SELECT col, 'ks' AS test, max(abs(gap)) AS statistic, {_P} AS p_value FROM ({gap_sql(_X)}) GROUP BY col
+    UNION ALL SELECT col, 'chi2', chi2, {_CHI} FROM ({chi2_sql()}))""",
+    "statistic p_value",
+)
 def covariate_shift_verdicts(spark, sf_dir):
-    return dist.covariate_shift(*halves(spark, sf_dir), _X, KINDS)
+    return dist.covariate_shift(*halves(spark, sf_dir), _X, KINDS, exact_up_to=0)
 
 
 _K2 = """SELECT col, z1 * z1 + z2 * z2 AS k2, exp(-(z1 * z1 + z2 * z2) / 2) AS p_value, exp(-(z1 * z1 + z2 * z2) / 2) >= 0.05 AS normal FROM (

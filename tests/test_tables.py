@@ -214,6 +214,29 @@ def test_utility_tasks(spark):
     assert {r.metric for r in s.collect()} == {"mse", "mae", "r2"}
 
 
+def test_a_failing_fit_is_a_row(spark):
+    """One of three models fails; the others' scores and the audit's other lines are there all the same."""
+    from pyspark.ml.classification import DecisionTreeClassifier, NaiveBayes
+
+    t = spark.range(120).select(F.col("id"), (F.col("id") % 10).cast("double").alias("f"), F.when(F.col("id") % 2 == 0, "u").otherwise("v").alias("g"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("y"))
+
+    def three(*_):
+        tree = lambda: DecisionTreeClassifier(labelCol="label", maxDepth=2)
+        # standardised numbers are negative, which this model rejects
+        return {"random_forest": tree(), "gradient_boosting": NaiveBayes(labelCol="label"), "linear": tree()}
+
+    s = utility.evaluate_utility(t, t, t, "y", ["f"], ["g"], estimators=three)
+    got = s.collect()
+    bad = [r for r in got if r.status != "ok"]
+    assert {(r.model, r.regime, r.metric, r.value) for r in bad} == {("gradient_boosting", x, None, None) for x in ("TRTR", "TSTR")}
+    assert len(got) == 2 * 2 * 3 + 2
+    drops = {r.model: r.drop for r in utility.utility_drop(s).collect()}
+    assert set(drops) == {"random_forest", "linear", "*"}
+    lines = audit.with_status(audit.run_audit(t, t, t, t, ["f"], ["g"], target="y", estimators=three)).where("section = 'utility'").collect()
+    assert {r.metric: r.status for r in lines if r.column == "gradient_boosting"} == {"TRTR/fit": "UNKNOWN", "TSTR/fit": "UNKNOWN"}
+    assert {r.status for r in lines if r.metric == "drop/f1_macro"} == {"Good"}
+
+
 @pytest.mark.parametrize("name, trees, models", [("tstr_trtr", 100, 3), ("utility_drop", 100, 3), ("aia", 50, 1), ("cv_probe", 50, 1)])
 def test_registered_models_are_whole(spark, sf, monkeypatch, name, trees, models):
     class Asked(Exception):
@@ -237,6 +260,34 @@ def test_csv_scan(spark, tmp_path):
     assert [r.x for r in io.read_split(spark, str(tmp_path / "s"), "test").collect()] == [2]
 
 
+def test_ks_exact_is_enumeration():
+    """All orders of up to 10 values counted one by one, and sizes up to 30 a side against whole numbers of paths."""
+    from fractions import Fraction
+    from itertools import combinations
+    from math import comb
+
+    from loomtab.functions.stats import kolmogorov_exact_sf, kolmogorov_sf
+
+    for n1, n2 in ((1, 1), (1, 5), (3, 4), (5, 5), (4, 6), (2, 7)):
+        gaps = []
+        for first in combinations(range(n1 + n2), n1):
+            i = worst = 0
+            for s in range(1, n1 + n2 + 1):
+                i += s - 1 in first
+                worst = max(worst, abs(i * n2 - (s - i) * n1))
+            gaps.append(worst)
+        for far in sorted(set(gaps)):
+            assert kolmogorov_exact_sf(far / (n1 * n2), n1, n2) == pytest.approx(sum(g >= far for g in gaps) / len(gaps), abs=1e-12)
+    for n1, n2 in ((30, 30), (30, 17), (21, 28)):
+        for far in (n1 * n2 // 5, n1 * n2 // 3, n1 * n2 // 2):
+            inside = {0: 1}
+            for s in range(1, n1 + n2 + 1):
+                inside = {i: inside.get(i, 0) + inside.get(i - 1, 0) for i in range(max(0, s - n2), min(n1, s) + 1) if abs(i * n2 - (s - i) * n1) < far}
+            want = 1 - Fraction(inside.get(n1, 0), comb(n1 + n2, n1))
+            assert kolmogorov_exact_sf(far / (n1 * n2), n1, n2) == pytest.approx(float(want), rel=1e-9)
+    assert kolmogorov_exact_sf(0.05, 2000, 1500) == pytest.approx(kolmogorov_sf(0.05, 2000, 1500), rel=0.1)
+
+
 def test_adjusted_p(spark):
     p = column(spark, "p_value", "double", [0.01, 0.02, 0.03, 0.5])
     assert [r.adjusted for r in dist.adjust_p(p, "bh").orderBy("p_value").collect()] == pytest.approx([0.04, 0.04, 0.04, 0.5])
