@@ -78,8 +78,8 @@ def in_blocks(rows: DataFrame, on: list[str], chunk: Column) -> DataFrame:
     return grouped.select(*on, F.col("s.id").alias("ids"), F.flatten("s.v").alias("flat"), F.col("s.copies").alias("copies"))
 
 
-def best_of_blocks(queries: DataFrame, base: DataFrame, on: list[str], keep: int) -> DataFrame:
-    """(id, hit, d, copies): of each two blocks that meet, each query's ``keep`` nearest rows."""
+def best_of_blocks(queries: DataFrame, base: DataFrame, on: list[str], keep: int, metric: str = "euclidean") -> DataFrame:
+    """(id, hit, d, copies): of each two blocks that meet, each query's ``keep`` nearest rows, by the euclidean or the chebyshev distance."""
     q = queries.select(*on, F.col("ids").alias("qi"), F.col("flat").alias("qf"))
     met = q.join(base.select(*on, "ids", "flat", "copies"), on).drop(*on)
 
@@ -89,9 +89,14 @@ def best_of_blocks(queries: DataFrame, base: DataFrame, on: list[str], keep: int
                 qi, qf, ids, flat, copies = (batch.column(c)[i].values.to_numpy() for c in range(5))
                 qv, bv = qf.reshape(len(qi), -1), flat.reshape(len(ids), -1)
                 k = min(keep, len(ids))
-                rough = (bv * bv).sum(1)[None, :] - 2 * qv @ bv.T
+                if metric == "euclidean":
+                    rough = (bv * bv).sum(1)[None, :] - 2 * qv @ bv.T
+                else:
+                    rough = np.zeros((len(qv), len(bv)))
+                    for j in range(bv.shape[1]):
+                        np.maximum(rough, np.abs(qv[:, None, j] - bv[None, :, j]), out=rough)
                 best = np.argpartition(rough, k - 1, axis=1)[:, :k]
-                exact = np.sqrt(((qv[:, None, :] - bv[best]) ** 2).sum(2))
+                exact = np.sqrt(((qv[:, None, :] - bv[best]) ** 2).sum(2)) if metric == "euclidean" else np.take_along_axis(rough, best, 1)
                 columns = [np.repeat(qi, k), ids[best].reshape(-1), exact.reshape(-1), copies[best].reshape(-1)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "hit", "d", "copies"])
 

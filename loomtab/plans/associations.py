@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import assoc
+from ..operators import assoc, knn_information
 from .registry import KINDS, NUMBERS, halves, query, table
 
 _PAIRS = assoc.all_pairs(NUMBERS)
@@ -119,6 +119,30 @@ def cond_mutual_info(spark, sf_dir):
     return assoc.conditional_mutual_information(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus", "l_linenumber")
 
 
+# neighbours by comparing all rows; psi(n) of whole numbers by harmonic sums
+_PSI = "(CASE WHEN {0} > 1 THEN list_sum(list_transform(range(1, CAST({0} AS BIGINT)), lambda i: 1.0::DOUBLE / i)) ELSE 0.0 END - 0.5772156649015329)"
+_KNN2 = f"""SELECT 'c_acctbal' AS col_i, 'spend' AS col_j, greatest(0, {_PSI.format("any_value(n)")} + {_PSI.format("3")} - avg({_PSI.format("cx")}) - avg({_PSI.format("cy")})) / ln(2) AS mi, 'neighbours' AS estimator FROM (
+    SELECT a.i, any_value(n) AS n, count(*) FILTER (abs(b.x - a.x) < r - 1e-12 * (abs(a.x) + r) OR b.x = a.x) AS cx, count(*) FILTER (abs(b.y - a.y) < r - 1e-12 * (abs(a.y) + r) OR b.y = a.y) AS cy
+    FROM (SELECT a.i, a.x, a.y, any_value(a.n) AS n, list_sort(list(greatest(abs(b.x - a.x), abs(b.y - a.y))))[4] AS r FROM p a, p b GROUP BY ALL) a, p b GROUP BY a.i)"""
+_KNN1 = f"""SELECT 'c_acctbal' AS col_i, 'c_mktsegment' AS col_j, greatest(0, {_PSI.format("any_value(n)")} + avg({_PSI.format("kk")}) - avg({_PSI.format("size")}) - avg({_PSI.format("m")})) / ln(2) AS mi, 'neighbours' AS estimator FROM (
+    SELECT a.i, any_value(n) AS n, any_value(kk) AS kk, any_value(size) AS size, count(*) FILTER (abs(b.x - a.x) < r - 1e-12 * (abs(a.x) + r) OR b.x = a.x) AS m
+    FROM (SELECT a.i, a.x, any_value(a.n) AS n, count(*) AS size, least(3, count(*) - 1) AS kk, list_sort(list(abs(b.x - a.x)))[least(3, count(*) - 1) + 1] AS r FROM p a JOIN p b USING (g) GROUP BY a.i, a.x) a, p b GROUP BY a.i)"""
+
+
+@query(
+    f"""WITH s AS (SELECT o_custkey AS i, sum(CAST(o_totalprice AS DOUBLE)) AS spend FROM orders GROUP BY o_custkey),
+    t AS (SELECT c_custkey AS i, CAST(c_acctbal AS DOUBLE) AS x, round(spend) AS y, c_mktsegment AS g FROM customer JOIN s ON c_custkey = i),
+    p AS (SELECT i, x / stddev_pop(x) OVER () AS x, y / stddev_pop(y) OVER () AS y, g, count(*) OVER () AS n FROM t)
+    {_KNN2} UNION ALL {_KNN1}""",
+    "mi:5",
+)
+def mi_neighbours(spark, sf_dir):
+    """Information between balance, spending and segment of customers, by nearest neighbours."""
+    spend = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.round(F.sum(F.col("o_totalprice").cast("double"))).alias("spend"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment").join(spend, "c_custkey")
+    return knn_information.neighbour_information(c, [("c_acctbal", "spend"), ("c_acctbal", "c_mktsegment")], ["c_acctbal", "spend"], ["c_custkey"], jitter=0)
+
+
 _V3 = ["l_quantity", "l_extendedprice", "l_discount"]
 _R3 = "(SELECT corr(l_quantity, l_extendedprice) AS a, corr(l_quantity, l_discount) AS b, corr(l_extendedprice, l_discount) AS c FROM lineitem)"
 _DET = "(1 + 2 * a * b * c - a * a - b * b - c * c)"
