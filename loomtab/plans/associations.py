@@ -122,10 +122,10 @@ def cond_mutual_info(spark, sf_dir):
 # neighbours by comparing all rows; psi(n) of whole numbers by harmonic sums
 _PSI = "(CASE WHEN {0} > 1 THEN list_sum(list_transform(range(1, CAST({0} AS BIGINT)), lambda i: 1.0::DOUBLE / i)) ELSE 0.0 END - 0.5772156649015329)"
 _KNN2 = f"""SELECT 'c_acctbal' AS col_i, 'spend' AS col_j, greatest(0, {_PSI.format("any_value(n)")} + {_PSI.format("3")} - avg({_PSI.format("cx")}) - avg({_PSI.format("cy")})) / ln(2) AS mi, 'neighbours' AS estimator FROM (
-    SELECT a.i, any_value(n) AS n, count(*) FILTER (abs(b.x - a.x) < r - 1e-12 * (abs(a.x) + r) OR b.x = a.x) AS cx, count(*) FILTER (abs(b.y - a.y) < r - 1e-12 * (abs(a.y) + r) OR b.y = a.y) AS cy
-    FROM (SELECT a.i, a.x, a.y, any_value(a.n) AS n, list_sort(list(greatest(abs(b.x - a.x), abs(b.y - a.y))))[4] AS r FROM p a, p b GROUP BY ALL) a, p b GROUP BY a.i)"""
+    SELECT a.i, any_value(a.n) AS n, count(*) FILTER (abs(b.x - a.x) < r - 1e-12 * (abs(a.x) + r) OR b.x = a.x) AS cx, count(*) FILTER (abs(b.y - a.y) < r - 1e-12 * (abs(a.y) + r) OR b.y = a.y) AS cy
+    FROM (SELECT a.i, a.x, a.y, any_value(a.n) AS n, list_sort(list(greatest(abs(b.x - a.x), abs(b.y - a.y))))[4] AS r FROM p a, p b GROUP BY a.i, a.x, a.y) a, p b GROUP BY a.i)"""
 _KNN1 = f"""SELECT 'c_acctbal' AS col_i, 'c_mktsegment' AS col_j, greatest(0, {_PSI.format("any_value(n)")} + avg({_PSI.format("kk")}) - avg({_PSI.format("size")}) - avg({_PSI.format("m")})) / ln(2) AS mi, 'neighbours' AS estimator FROM (
-    SELECT a.i, any_value(n) AS n, any_value(kk) AS kk, any_value(size) AS size, count(*) FILTER (abs(b.x - a.x) < r - 1e-12 * (abs(a.x) + r) OR b.x = a.x) AS m
+    SELECT a.i, any_value(a.n) AS n, any_value(kk) AS kk, any_value(size) AS size, count(*) FILTER (abs(b.x - a.x) < r - 1e-12 * (abs(a.x) + r) OR b.x = a.x) AS m
     FROM (SELECT a.i, a.x, any_value(a.n) AS n, count(*) AS size, least(3, count(*) - 1) AS kk, list_sort(list(abs(b.x - a.x)))[least(3, count(*) - 1) + 1] AS r FROM p a JOIN p b USING (g) GROUP BY a.i, a.x) a, p b GROUP BY a.i)"""
 
 
