@@ -39,8 +39,10 @@ CHUNK_CHARS, CHUNK_WORDS = 500_000, 100_000
 ID_BITS, WORD_BYTES = 20, 64 << 20
 #: Phrases in a container before it bursts, in a task's tries before subtrees are spilled, and in a merge before equal ones are added up.
 BURST, HELD, MERGED = 1 << 15, 2_000_000, 4_000_000
+#: Phrases of a language that wait before they go into containers together, and phrases of a run at most.
+WAITING, RUN = 400_000, 1_000_000
 #: Languages whose tries a task holds.
-HELD_LANGS = 64
+HELD_LANGS = 32
 #: Bytes of text that a cell stands for; cells and tasks at most; neighbouring cells of one pair of words.
 CELL_BYTES, MOST_CELLS, MOST_TASKS, SLOTS = 8 << 20, 1 << 18, 1 << 15, 16
 #: Parts of one word are dealt so many times, as many candidates may begin or end with one word.
@@ -102,13 +104,23 @@ class HatTrie:
 
     def __init__(self):
         self.starts, self.containers = np.zeros(1, np.int64), [Container()]
+        self.waiting: list[np.ndarray] = []
 
     @property
     def used(self) -> int:
         return sum(c.used for c in self.containers)
 
     def add(self, grams: np.ndarray) -> None:
-        keys, counts = np.unique(grams, return_counts=True)
+        """Phrases wait until there are enough to fill many slots of a container at a time."""
+        self.waiting.append(grams)
+        if sum(map(len, self.waiting)) > WAITING:
+            self.settle()
+
+    def settle(self) -> None:
+        if not self.waiting:
+            return
+        keys, counts = np.unique(np.concatenate(self.waiting), return_counts=True)
+        self.waiting = []
         ends = [*np.searchsorted(keys, self.starts).tolist(), len(keys)]
         grown = False
         for c, a, b in zip(self.containers, ends, ends[1:]):
@@ -135,6 +147,7 @@ class HatTrie:
 
     def spill(self, keep: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Give back the phrases of the largest subtrees, until at most ``keep`` phrases are left."""
+        self.settle()
         left = self.used
         for i in sorted(range(len(self.containers)), key=lambda i: -self.containers[i].used):
             if left <= keep:
@@ -215,7 +228,9 @@ class Runs:
         h, rank = self.hashes, self.rank
         slot = (h[ids[2]] >> np.uint64(60)) % np.uint64(SLOTS)
         cell = (mix(mix(h[ids[0]] + np.uint64(1)) + h[ids[1]]) + slot) % np.uint64(self.cells)
-        order = np.lexsort((rank[ids[2]], rank[ids[1]], rank[ids[0]], cell))
+        # by phrase, then stably by cell, which is a radix sort for small numbers
+        order = np.argsort(rank[ids[0]] << 2 * ID_BITS | rank[ids[1]] << ID_BITS | rank[ids[2]])
+        order = order[np.argsort(cell[order].astype(np.uint16 if self.cells <= 1 << 16 else np.int64), kind="stable")]
         cell, counts = cell[order].astype(np.int64), counts[order]
         parts = [self.words.take(pa.array(i[order], mask=i[order] == 0)) for i in ids]
         lines = pc.binary_join_element_wise(pc.binary_join_element_wise(*parts, b" ", null_handling="skip"), b"", b"\n")
@@ -268,11 +283,11 @@ def spilled_runs(docs: DataFrame, longest: int, cells: int) -> DataFrame:
 
 
 def joined(parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Subtrees of up to HELD phrases together, so that their cells' runs aren't short."""
+    """Subtrees of about RUN phrases together, so that their cells' runs aren't short."""
     keys, counts = [], []
     for k, c in parts:
         keys.append(k), counts.append(c)
-        if sum(map(len, keys)) > HELD:
+        if sum(map(len, keys)) > RUN:
             yield np.concatenate(keys), np.concatenate(counts)
             keys, counts = [], []
     if keys:
@@ -298,8 +313,12 @@ def lines_of(data: bytes) -> pa.Array:
 
 def added(tables: list[pa.Table]) -> pa.Table:
     """Equal phrases of all tables added up."""
-    whole = pa.concat_tables(tables).group_by("phrase", use_threads=False).aggregate([("f", "sum")])
-    return whole.rename_columns({"f_sum": "f"}).select(["phrase", "f"])
+    whole = pa.concat_tables(tables).combine_chunks()
+    coded = whole["phrase"].combine_chunks().dictionary_encode()
+    order = np.argsort(coded.indices.to_numpy(), kind="stable")
+    code, f = coded.indices.to_numpy()[order], whole["f"].to_numpy()[order]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    return pa.table({"phrase": coded.dictionary, "f": np.add.reduceat(f, first)})
 
 
 def merged_runs(runs: DataFrame, tasks: int, least: int) -> DataFrame:

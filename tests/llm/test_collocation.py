@@ -51,7 +51,7 @@ def rows_like(seed, n=400):
 @pytest.fixture
 def small(monkeypatch):
     """Containers, tries, word tables and merges so small that all bounds are met."""
-    for name, value in {"BURST": 8, "HELD": 100, "MERGED": 50, "CELL_BYTES": 200, "CHUNK_WORDS": 7, "HELD_LANGS": 2, "CHUNK_CHARS": 300}.items():
+    for name, value in {"BURST": 8, "HELD": 100, "MERGED": 50, "CELL_BYTES": 200, "CHUNK_WORDS": 7, "HELD_LANGS": 2, "CHUNK_CHARS": 300, "WAITING": 10, "RUN": 40}.items():
         monkeypatch.setattr(collocation, name, value)
     monkeypatch.setattr(collocation, "WORD_BYTES", 100)
 
@@ -108,6 +108,7 @@ def test_trie_is_a_counter(monkeypatch, seed):
         grams = first.astype(np.int64) << 40 | rng.integers(0, 6, 200) << 20 | rng.integers(0, 50, 200)
         want.update(grams.tolist())
         trie.add(grams)
+        trie.settle()
         assert (np.diff(trie.starts) > 0).all() and all(c.used <= 30 for c in trie.containers)
         for start, end, c in zip(trie.starts, [*trie.starts[1:], 2**62], trie.containers):
             assert ((c.items()[0] >= start) & (c.items()[0] < end)).all()
