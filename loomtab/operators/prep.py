@@ -2,6 +2,8 @@
 
 A fit is one parameter table (stage, col, key, ord, num, str), small as the schema and its
 categories.  It is collected once and compiled into expressions, so applying and inverting run no job.
+Columns of more than ``large`` categories are an exception: their categories stay a table (see
+``domains``), are numbered there, and are encoded and decoded by joins.
 """
 
 from __future__ import annotations
@@ -12,7 +14,9 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .domains import dictionary, kept_table, looked_up
 from .profile import frequencies, long_numbers, number
+from .running import exact_quantiles
 
 PARAMS = "stage string, col string, key string, ord int, num double, str string"
 SCALERS = ("minmax", "log1p", "standard")
@@ -44,10 +48,12 @@ class Preprocessor:
     scale_labels: bool = True
     unknown: str = "ignore"
     exact: bool = True
+    large: int = 10_000
     numeric_by: dict[str, str] = field(default_factory=dict)
     encoding_by: dict[str, str] = field(default_factory=dict)
     scaling_by: dict[str, str] = field(default_factory=dict)
     params: list[Row] = field(default_factory=list)
+    entries: DataFrame | None = None
 
     def __post_init__(self):
         for given, allowed in (
@@ -74,11 +80,18 @@ class Preprocessor:
         return self
 
     def _numbers(self, df: DataFrame) -> list[Row]:
+        hows = {c: self.numeric_by.get(c, self.numeric) for c in self.continuous}
+        # medians and modes go over counted distinct values, in ranges; no state holds a column
+        medians = [c for c in self.continuous if hows[c] == "median" and self.exact]
+        found = {r["col"]: r["q"][0] for r in exact_quantiles(long_numbers(df, medians), ["col"], (0.5,)).collect()} if medians else {}
+        modes = [c for c in self.continuous if hows[c] == "mode"]
+        if modes:
+            counts = long_numbers(df, modes).groupBy("col", "x").agg(F.count("*").alias("n"))
+            found |= {r["col"]: r["x"] for r in counts.groupBy("col").agg(F.min(F.struct(-F.col("n"), "x")).alias("m")).select("col", "m.x").collect()}
         aggs = []
         for c in self.continuous:
-            how = self.numeric_by.get(c, self.numeric)
-            x = F.avg(c) if how == "mean" else F.mode(c, True) if how == "mode" else F.percentile(c, 0.5) if self.exact else F.percentile_approx(c, 0.5, 100_000)
-            aggs += [x.cast("double"), F.count_if(F.col(c).isNull())]
+            x = F.avg(c) if hows[c] == "mean" else F.lit(found.get(c)) if c in medians or c in modes else F.percentile_approx(c, 0.5, 100_000)
+            aggs += [(F.first(x) if c in medians or c in modes else x).cast("double"), F.count_if(F.col(c).isNull())]
         aggs += [F.count_if(F.col(c).isNull()) for c in self.categorical]
         got = df.agg(F.count("*"), *aggs).first()[1:]
         rows, kinds = [], dict(df.dtypes)
@@ -90,11 +103,16 @@ class Preprocessor:
         return rows
 
     def _categories(self, df: DataFrame) -> list[Row]:
-        f = frequencies(df, self.categorical) if self.categorical else None
+        f = kept_table(frequencies(df, self.categorical).select("col", "value", "n"), "frequencies") if self.categorical else None
         found: dict[str, list[tuple[str, int]]] = {c: [] for c in self.categorical}
-        for r in f.select("col", "value", "n").collect() if f else []:  # the categories, which the fit keeps anyway
+        # per column its number of categories and its most frequent one
+        top = F.min(F.struct(-F.col("n"), "value")).alias("top")
+        sizes = {r["col"]: (r["count"], r["top"]["value"]) for r in f.groupBy("col").agg(F.count("*").alias("count"), top).collect()} if f else {}
+        big = [c for c in self.categorical if sizes.get(c, (0,))[0] > self.large]
+        for r in f.where(~F.col("col").isin(big)).collect() if f else []:  # at most ``large`` categories of each column
             found[r["col"]].append((r["value"], r["n"]))
-        rows = []
+        rows = self._large(f, big, {c: sizes[c][1] for c in big}) if big else []
+        found = {c: v for c, v in found.items() if c not in big}
         for c, values in found.items():
             fill = min(values, key=lambda v: (-v[1], v[0]))[0] if values and self.fill == "mode" else "missing"
             rows.append(Row("impute", c, "fill", 0, None, fill))
@@ -105,6 +123,34 @@ class Preprocessor:
             rows += [Row("onehot" if onehot else "label", c, "category", i, None, v) for i, v in enumerate(names)]
         return rows
 
+    def _large(self, counts: DataFrame, big: list[str], modes: dict[str, str]) -> list[Row]:
+        """Number the categories of large columns in a table; only their fills and sizes are parameters."""
+        for c in big:
+            if self.encoding_by.get(c, self.encoding) == "onehot":
+                raise ValueError(f"{c} has more than {self.large} categories, too many for a column each")
+        own = counts.where(F.col("col").isin(big))
+        if self.fill == "constant":
+            missing = counts.sparkSession.createDataFrame([(c, "missing", 0) for c in big], "col string, value string, n long")
+            own = own.unionByName(missing).groupBy("col", "value").agg(F.sum("n").alias("n"))
+        self.entries = dictionary(own)
+        return [*[Row("impute", c, "fill", 0, None, modes[c] if self.fill == "mode" else "missing") for c in big], *self._large_sizes()]
+
+    def _large_sizes(self) -> list[Row]:
+        """Per large column: its number of categories, and the place of a category that is named Unknown."""
+        sizes = self.entries.groupBy("col").agg(F.count("*").alias("n"), F.max(F.when(F.col("value") == "Unknown", F.col("ord"))).alias("unknown")).collect()
+        return [Row("large", r["col"], "size", -1 if r["unknown"] is None else r["unknown"], float(r["n"]), None) for r in sizes]
+
+    def _large_columns(self) -> dict[str, tuple[int, int]]:
+        """Of each large column the last number and that of unknown categories."""
+        out = {}
+        for r in self._rows("large", "size"):
+            extra = self.unknown == "ignore" and r[3] < 0
+            out[r[1]] = (int(r[4]) - (not extra), int(r[4]) if extra else r[3])
+        return {c: out[c] for c in self.categorical if c in out}
+
+    def _entries(self, c: str) -> DataFrame:
+        return self.entries.where(F.col("col") == c)
+
     def _scales(self, df: DataFrame) -> list[Row]:
         if not self.continuous:
             return []
@@ -120,10 +166,18 @@ class Preprocessor:
         return [r for r in self.params if r[0] == stage and (key is None or r[2] == key)]
 
     def params_table(self, spark) -> DataFrame:
-        return spark.createDataFrame(self.params, PARAMS)
+        small = spark.createDataFrame(self.params, PARAMS)
+        if self.entries is None:
+            return small
+        large = self.entries.select(F.lit("dictionary").alias("stage"), "col", F.lit("category").alias("key"), F.col("ord").cast("int").alias("ord"), F.col("n").cast("double").alias("num"), F.col("value").alias("str"))
+        return small.unionByName(large)
 
     def load(self, params: DataFrame) -> Preprocessor:
-        self.params = [Row(*r) for r in params.select("stage", "col", "key", "ord", "num", "str").collect()]
+        """From a parameter table; the categories of large columns stay in it."""
+        self.params = [Row(*r) for r in params.where("stage <> 'dictionary'").select("stage", "col", "key", "ord", "num", "str").collect()]
+        if self._rows("large"):
+            held = params.where("stage = 'dictionary'").select("col", F.col("str").alias("value"), F.col("num").cast("long").alias("n"))
+            self.entries = dictionary(held)
         return self
 
     # --- apply ---
@@ -169,6 +223,15 @@ class Preprocessor:
             else:
                 index = F.when(F.col(c).isNull(), F.lit(0)).otherwise(F.coalesce(known, F.raise_error(F.concat(F.lit(f"{c}: unknown category "), _text(c))).cast("long")))
             out[c] = index / F.lit(float(max(len(all_names) - 1, 1))) if self.scale_labels else index.cast("double")
+        for c, (last, unknown) in self._large_columns().items():
+            df = looked_up(df.withColumn(c, _text(c)), self._entries(c), c, "value", "ord", f"_{c}_at")
+            known = F.col(f"`_{c}_at`")
+            if self.unknown == "ignore":
+                index = F.coalesce(known, F.lit(unknown))
+            else:
+                index = F.when(F.col(c).isNull(), F.lit(0)).otherwise(F.coalesce(known, F.raise_error(F.concat(F.lit(f"{c}: unknown category "), _text(c))).cast("long")))
+            out[c] = index / F.lit(float(max(last, 1))) if self.scale_labels else index.cast("double")
+            gone.append(f"_{c}_at")
         return df.withColumns(out).drop(*gone)
 
     def decode(self, df: DataFrame) -> DataFrame:
@@ -183,6 +246,12 @@ class Preprocessor:
             top = len(all_names) - 1
             index = F.bround(F.col(c) * (max(top, 1) if self.scale_labels else 1), 0)
             out[c] = F.element_at(F.array(*[F.lit(v) for v in all_names]), (F.least(F.greatest(index, F.lit(0)), F.lit(top)) + 1).cast("int"))
+        for c, (last, unknown) in self._large_columns().items():
+            index = F.least(F.greatest(F.bround(F.col(c) * (max(last, 1) if self.scale_labels else 1), 0), F.lit(0)), F.lit(last)).cast("long")
+            df = looked_up(df.withColumn(f"_{c}_at", index), self._entries(c), f"_{c}_at", "ord", "value", f"_{c}_is")
+            value = F.col(f"`_{c}_is`")
+            out[c] = F.when(F.col(f"`_{c}_at`").isNotNull(), F.coalesce(value, F.lit("Unknown"))) if self.unknown == "ignore" else value
+            gone += [f"_{c}_at", f"_{c}_is"]
         return df.withColumns(out).drop(*gone)
 
     def _scale(self, c: str) -> tuple[str, dict[str, float]]:
@@ -255,7 +324,7 @@ class Preprocessor:
         """(column, kind, encoded columns) in vector order: continuous, one-hot groups, labels, indicators."""
         out = [(c, "continuous", [c]) for c in self.continuous]
         out += [(c, "onehot", [f"{c}_{v}" for v in names]) for c, names in self._names("onehot").items()]
-        out += [(c, "label", [c]) for c in self._names("label")]
+        out += [(c, "label", [c]) for c in [*self._names("label"), *self._large_columns()]]
         return out + [(f"{c}_is_missing", "indicator", [f"{c}_is_missing"]) for c in self.flagged()]
 
     def vector(self, df: DataFrame, name: str = "features") -> DataFrame:

@@ -6,13 +6,34 @@ within a range a window adds the rest, so that no task gathers a whole column.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.io import scratch_folder
+
 RANGES = 64
 
 
+def in_order(rows: DataFrame, order: list[Column], sums: dict[str, str], index: str = "at") -> DataFrame:
+    """``rows`` with their place in ``order`` (from 0) and, per column of ``sums``, its sum over the rows before; any type has an order.
+
+    Rows are range-partitioned and sorted, and written with their partition and place; partitions are summed
+    first, and what lies before a partition is added to what lies before a row in it.
+    """
+    path = scratch_folder(rows.sparkSession, "in-order")
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt.withColumn("_mark", F.monotonically_increasing_id()).write.parquet(path)
+    placed = rows.sparkSession.read.parquet(path).withColumn("_part", F.shiftright("_mark", 33))
+    parts = placed.groupBy("_part").agg(F.count("*").alias("_rows"), *[F.sum(c).alias(f"_{out}") for c, out in sums.items()])
+    w = W.partitionBy(F.lit(0)).orderBy("_part")  # one row for each partition of the shuffle
+    before = parts.select("_part", (F.sum("_rows").over(w) - F.col("_rows")).alias("_rows"), *[(F.sum(f"_{out}").over(w) - F.col(f"_{out}")).alias(f"_{out}") for out in sums.values()])
+    inner = W.partitionBy("_part").orderBy("_mark")
+    met = placed.join(F.broadcast(before), "_part")
+    place = F.col("_rows") + F.col("_mark").bitwiseAND(F.lit((1 << 33) - 1))
+    return met.select(*rows.columns, place.alias(index), *[(F.col(f"_{out}") + F.sum(c).over(inner) - F.col(c)).alias(out) for c, out in sums.items()])
+
+
 def in_ranges(counts: DataFrame, by: list[str], value: str, name: str = "part") -> DataFrame:
     """``counts`` with the number of its value's range; nulls and NaN, being last or first, have a range of their own."""
     x = F.col(value).cast("double")

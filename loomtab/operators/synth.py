@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import correlation, empirical_position, normal_distribution, normal_quantile
 from ..sources.spec import DatasetSpec
+from .domains import dictionary, drawn, kept_table, looked_up
 from .profile import frequencies, long_numbers, number
 from .rules import Rule, audit_and_correct, clamp_correction
 from .running import exact_quantiles
@@ -29,7 +30,8 @@ class Copula:
     """Margins as quantile and share tables, dependence as correlations of normal scores.
 
     What the driver holds is as small as the schema: KNOTS numbers per continuous column, the
-    categories, and a k x k matrix.
+    categories, and a k x k matrix.  Columns of more than ``large`` categories keep theirs in a table
+    (see ``domains``), whose shares drawn numbers meet in an interval join.
     """
 
     continuous: list[str]
@@ -40,6 +42,9 @@ class Copula:
     missing: dict[str, float] = field(default_factory=dict)
     factor: np.ndarray | None = None
     integers: set[str] = field(default_factory=set)
+    large: int = 10_000
+    entries: DataFrame | None = None
+    big: list[str] = field(default_factory=list)
 
     def fit(self, df: DataFrame) -> Copula:
         probs = F.array(*[F.lit(i / (KNOTS - 1)) for i in range(KNOTS)])
@@ -54,10 +59,13 @@ class Copula:
         self.quantiles = {c: [float(v) for v in found[c]] if found.get(c) else [0.0] for c in self.continuous}
         self.integers = {c for c, t in df.dtypes if c in self.continuous and t in ("tinyint", "smallint", "int", "bigint")}
         if self.categorical:
-            found: dict[str, list[tuple[str, float]]] = {c: [] for c in self.categorical}
-            for r in frequencies(df, self.categorical).collect():  # the categories themselves
+            f = kept_table(frequencies(df, self.categorical), "frequencies")
+            self.big = [r["col"] for r in f.groupBy("col").count().where(F.col("count") > self.large).collect()]
+            found: dict[str, list[tuple[str, float]]] = {c: [] for c in self.categorical if c not in self.big}
+            for r in f.where(~F.col("col").isin(self.big)).collect():  # at most ``large`` categories of each column
                 found[r["col"]].append((r["value"], r["share"]))
             self.shares = {c: sorted(v, key=lambda x: (-x[1], x[0])) for c, v in found.items()}
+            self.entries = dictionary(f.where(F.col("col").isin(self.big))) if self.big else None
         self.factor = self._correlation(df)
         return self
 
@@ -66,6 +74,9 @@ class Copula:
         if c in self.quantiles:
             u = empirical_position(number(c), self.quantiles[c])
             return normal_quantile(F.least(F.greatest(u, F.lit(0.5 / KNOTS)), F.lit(1 - 0.5 / KNOTS)))
+        if c in self.big:
+            middle = F.col(f"`_{c}_middle`")
+            return F.when(middle.isNotNull(), normal_quantile(F.least(F.greatest(middle, F.lit(1e-6)), F.lit(1 - 1e-6))))
         low, out = 0.0, F.lit(None).cast("double")
         for value, share in self.shares[c]:
             middle = min(max(low + share / 2, 1e-6), 1 - 1e-6)
@@ -84,6 +95,9 @@ class Copula:
         cols = [*self.continuous, *self.categorical, *self.holed()]
         k = len(self.continuous) + len(self.categorical)
         gone = lambda c: F.when(self.absent(c), normal_quantile(F.lit(min(max(self.missing[c] / 2, 1e-6), 1 - 1e-6)))).otherwise(normal_quantile(F.lit(min(max((1 + self.missing[c]) / 2, 1e-6), 1 - 1e-6))))
+        for c in self.big:
+            middles = self.entries.where(F.col("col") == c).withColumn("middle", (F.col("low") + F.col("n") / 2) / F.col("all"))
+            df = looked_up(df.withColumn(c, F.col(c).cast("string")), middles, c, "value", "middle", f"_{c}_middle")
         scores = df.select(*[(self.score(c) if i < k else gone(c)).alias(f"z{i}") for i, c in enumerate(cols)])
         pairs = [(i, j) for i in range(len(cols)) for j in range(i)]
         m = np.eye(len(cols))
@@ -105,9 +119,14 @@ class Copula:
         base = base.select("row_id", *[sum((F.col(f"e{j}") * float(self.factor[i, j]) for j in range(i + 1)), F.lit(0.0)).alias(f"z{i}") for i in range(k)])
         base = base.select("row_id", *[normal_distribution(F.col(f"z{i}")).alias(f"u{i}") for i in range(k)])
         out = {}
+        for i, c in enumerate(cols):
+            if c in self.big:
+                base = drawn(base, self.entries.where(F.col("col") == c), f"u{i}", f"_{c}_drawn")
         for i, c in enumerate(cols):
             u = F.col(f"u{i}")
-            if c in self.quantiles:
+            if c in self.big:
+                out[c] = F.col(f"`_{c}_drawn`")
+            elif c in self.quantiles:
                 knots = F.array(*[F.lit(v) for v in self.quantiles[c]])
                 last = len(self.quantiles[c]) - 1
                 at = u * last
@@ -185,3 +204,146 @@ def noisy_marginals(df: DataFrame, domains: dict[str, list[str]], epsilon: float
 
     total = F.sum("noisy_count").over(W.partitionBy("col"))
     return noisy.select("col", "value", "noisy_count", F.when(total > 0, F.col("noisy_count") / total).otherwise(0.0).alias("share"), F.lit(each).alias("epsilon"), F.lit(delta / len(domains)).alias("delta"), F.lit(sigma).alias("sigma"))
+
+
+# --- noisy tables that feed draws -------------------------------------------------------------------
+
+
+@dataclass
+class NoisyTree:
+    """Rows drawn from noisy tables only: pair tables, a tree of the strongest pairs, draws down the tree.
+
+    ``domains`` are the public categories of each column; numbers are binned between public ``bounds``.
+    Each pair of columns is released once, as counts of its whole domain with Gaussian noise; the budget
+    is split evenly over the pairs.  Everything after that reads the released tables and costs no budget:
+    clipping at 0, the information between the two columns of a pair, the maximum spanning tree by it, and
+    each column's shares given its parent's value.  What the driver holds are tables over public domains.
+    """
+
+    domains: dict[str, list[str]]
+    bounds: dict[str, tuple[float, float]] = field(default_factory=dict)
+    bins: int = 16
+    epsilon: float = 1.0
+    delta: float = 1e-6
+    seed: int | None = None
+    released: DataFrame | None = None
+    tree: list[tuple[str | None, str]] = field(default_factory=list)
+    tables: dict[tuple[str, str], np.ndarray] = field(default_factory=dict)
+
+    @property
+    def columns(self) -> list[str]:
+        return [*self.domains, *self.bounds]
+
+    def values(self, c: str) -> list[str]:
+        return self.domains[c] if c in self.domains else [str(i) for i in range(self.bins)]
+
+    def category(self, c: str) -> Column:
+        """A column's value as a category of its public domain; values outside a number's bounds count at its ends, others not at all."""
+        if c in self.domains:
+            return F.col(c).cast("string")
+        lo, hi = self.bounds[c]
+        at = F.floor((number(c) - lo) / ((hi - lo) / self.bins))
+        return F.least(F.greatest(at, F.lit(0)), F.lit(self.bins - 1)).cast("string")
+
+    def pairs(self) -> list[tuple[str, str]]:
+        return [(a, b) for i, a in enumerate(self.columns) for b in self.columns[i + 1 :]]
+
+    def budget(self) -> tuple[float, float]:
+        """Epsilon and delta of each released table; their sums over all pairs are the whole."""
+        n = len(self.pairs())
+        return self.epsilon / n, self.delta / n
+
+    def fit(self, df: DataFrame) -> NoisyTree:
+        if len(self.columns) < 2:
+            raise ValueError("pairs need two columns at least")
+        epsilon, delta = self.budget()
+        sigma = noise_scale(epsilon, delta)
+        spark = df.sparkSession
+        coded = df.select(*[self.category(c).alias(f"c{i}") for i, c in enumerate(self.columns)])
+        place = {c: i for i, c in enumerate(self.columns)}
+        both = F.explode(F.array(*[F.struct(F.lit(a).alias("col_i"), F.lit(b).alias("col_j"), F.col(f"c{place[a]}").alias("a"), F.col(f"c{place[b]}").alias("b")) for a, b in self.pairs()]))
+        counts = coded.select(both.alias("p")).select("p.*").groupBy("col_i", "col_j", "a", "b").agg(F.count("*").alias("n"))
+        # every cell of the public domain gets noise, whether a row has it or not
+        sides = spark.createDataFrame([(c, self.values(c)) for c in self.columns], "col string, value array<string>")
+        named = spark.createDataFrame(self.pairs(), "col_i string, col_j string")
+        grid = named.join(F.broadcast(sides.select(F.col("col").alias("col_i"), F.explode("value").alias("a"))), "col_i").join(F.broadcast(sides.select(F.col("col").alias("col_j"), F.explode("value").alias("b"))), "col_j")
+        noise = F.randn(self.seed) if self.seed is not None else F.randn()
+        noisy = grid.join(counts, ["col_i", "col_j", "a", "b"], "left").select("col_i", "col_j", "a", "b", F.greatest(F.coalesce("n", F.lit(0)) + sigma * noise, F.lit(0.0)).alias("noisy_count"))
+        # written once: a second draw of noise over the same counts would spend the budget again
+        self.released = kept_table(noisy.withColumns({"epsilon": F.lit(epsilon), "delta": F.lit(delta), "sigma": F.lit(sigma)}), "noisy-pairs")
+        spots = {c: {v: i for i, v in enumerate(self.values(c))} for c in self.columns}
+        self.tables = {(a, b): np.zeros((len(spots[a]), len(spots[b]))) for a, b in self.pairs()}
+        for r in self.released.collect():  # the public domain's cells
+            self.tables[r["col_i"], r["col_j"]][spots[r["col_i"]][r["a"]], spots[r["col_j"]][r["b"]]] = r["noisy_count"]
+        self.tree = self._spanning()
+        return self
+
+    def table(self, a: str, b: str) -> np.ndarray:
+        return self.tables[a, b] if (a, b) in self.tables else self.tables[b, a].T
+
+    def information(self, a: str, b: str) -> float:
+        """Bits that a released table says its columns tell of each other."""
+        t = self.table(a, b)
+        if t.sum() <= 0:
+            return 0.0
+        p = t / t.sum()
+        free = p.sum(1, keepdims=True) * p.sum(0, keepdims=True)
+        told = p > 0
+        return float((p[told] * np.log2(p[told] / free[told])).sum())
+
+    def _spanning(self) -> list[tuple[str | None, str]]:
+        """(parent, column) from the first column on, each next by the strongest pair with one that is there."""
+        out, left = [(None, self.columns[0])], self.columns[1:]
+        while left:
+            a, b = max(((a, b) for _, a in out for b in left), key=lambda p: self.information(*p))
+            out.append((a, b))
+            left.remove(b)
+        return out
+
+    @staticmethod
+    def _cumulative(counts: np.ndarray) -> list[float]:
+        total = counts.sum()
+        shares = counts / total if total > 0 else np.full(len(counts), 1 / len(counts))
+        return np.cumsum(shares).tolist()
+
+    def sample(self, spark, n: int, seed: int = 42) -> DataFrame:
+        """n rows, each from its own id: a root's value by its shares, then each column's given its parent's value."""
+        df = spark.range(n).select(F.col("id").alias("row_id"))
+        for k, (parent, c) in enumerate(self.tree):
+            u = _uniform(k, seed)
+            if parent is None:
+                other = self.tree[1][1]
+                ends = F.lit(self._cumulative(self.table(c, other).sum(1)))
+            else:
+                rows = [self._cumulative(r) for r in self.table(parent, c)]
+                # one short list for each of the parent's public values
+                ends = F.get(F.array(*[F.lit(r) for r in rows]), F.col(f"_{parent}"))
+            last = len(self.values(c)) - 1
+            df = df.withColumn(f"_{c}", F.least(F.size(F.filter(ends, lambda e: e <= u)), F.lit(last)))
+        out = []
+        for k, c in enumerate(self.columns):
+            if c in self.domains:
+                out.append(F.get(F.lit(self.domains[c]), F.col(f"_{c}")).alias(c))
+            else:
+                lo, hi = self.bounds[c]
+                out.append((lo + (F.col(f"_{c}") + _uniform(1000 + k, seed)) * ((hi - lo) / self.bins)).alias(c))
+        return df.select("row_id", *out)
+
+    def distances(self, real: DataFrame, drawn: DataFrame) -> DataFrame:
+        """(col_i, col_j, parent_of, epsilon, delta, distance): per pair, half the summed differences of the shares of real and drawn rows.
+
+        ``parent_of``: the tree's edge, if the pair is one.  Reads the real rows, so it is a report for who may see them.
+        """
+        def shares(df: DataFrame, name: str) -> DataFrame:
+            coded = df.select(*[self.category(c).alias(f"c{i}") for i, c in enumerate(self.columns)])
+            place = {c: i for i, c in enumerate(self.columns)}
+            both = F.explode(F.array(*[F.struct(F.lit(a).alias("col_i"), F.lit(b).alias("col_j"), F.col(f"c{place[a]}").alias("a"), F.col(f"c{place[b]}").alias("b")) for a, b in self.pairs()]))
+            counts = coded.select(both.alias("p")).select("p.*").groupBy("col_i", "col_j", "a", "b").agg(F.count("*").alias("n"))
+            totals = counts.groupBy("col_i", "col_j").agg(F.sum("n").alias("all"))
+            return counts.join(F.broadcast(totals), ["col_i", "col_j"]).select("col_i", "col_j", "a", "b", (F.col("n") / F.col("all")).alias(name))
+
+        met = shares(real, "p").join(shares(drawn, "q"), ["col_i", "col_j", "a", "b"], "full")
+        gaps = met.groupBy("col_i", "col_j").agg((F.sum(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("q", F.lit(0.0)))) / 2).alias("distance"))
+        edges = real.sparkSession.createDataFrame([(*((p, c) if (p, c) in self.tables else (c, p)), f"{p}>{c}") for p, c in self.tree if p], "col_i string, col_j string, parent_of string")
+        epsilon, delta = self.budget()
+        return gaps.join(F.broadcast(edges), ["col_i", "col_j"], "left").select("col_i", "col_j", "parent_of", F.lit(epsilon).alias("epsilon"), F.lit(delta).alias("delta"), "distance")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..operators import audit, dist, rules, synth
@@ -38,6 +40,36 @@ def noisy_marginals(spark, sf_dir):
     return synth.noisy_marginals(table(spark, sf_dir, "lineitem"), _DOMAINS, seed=7)
 
 
+_TREE = synth.NoisyTree({"l_returnflag": ["A", "N", "R"], "l_linestatus": ["F", "O"]}, {"l_quantity": (1, 51), "l_extendedprice": (0, 110000)}, bins=10, seed=11)
+
+
+@query(
+    """SELECT col_i, col_j, round(1.0 / 6, 9) AS epsilon, round(1e-6 / 6, 12) AS delta, cells, (SELECT count(*) FROM lineitem) AS rows, true AS close FROM (VALUES
+    ('l_returnflag', 'l_linestatus', 6), ('l_returnflag', 'l_quantity', 30), ('l_returnflag', 'l_extendedprice', 30), ('l_linestatus', 'l_quantity', 20), ('l_linestatus', 'l_extendedprice', 20), ('l_quantity', 'l_extendedprice', 100)) AS v(col_i, col_j, cells)""",
+    "epsilon delta:12",
+)
+def noisy_synthesis(spark, sf_dir):
+    """Rows drawn from noisy pair tables alone: each table's budget and cells, and whether the drawn pairs are as the real ones.
+
+    Close: within 0.08, or 0.15 for the pair of two numbers, of half the summed differences of shares, given the noise at this budget.
+    """
+    li = table(spark, sf_dir, "lineitem")
+    fitted = replace(_TREE).fit(li)
+    n = li.count()
+    far = fitted.distances(li, fitted.sample(spark, n)).drop("parent_of")
+    cells = fitted.released.groupBy("col_i", "col_j").agg(F.count("*").cast("int").alias("cells"))
+    limit = F.when(F.col("col_i") == "l_quantity", 0.15).otherwise(0.08)
+    return far.join(F.broadcast(cells), ["col_i", "col_j"]).select("col_i", "col_j", "epsilon", "delta", "cells", F.lit(n).alias("rows"), (F.col("distance") < limit).alias("close"))
+
+
+@query()
+def noisy_synthesis_distances(spark, sf_dir):
+    """The same with the tree's edges and the distances themselves, which depend on the noise."""
+    li = table(spark, sf_dir, "lineitem")
+    fitted = replace(_TREE).fit(li)
+    return fitted.distances(li, fitted.sample(spark, li.count()))
+
+
 _SPEC = DatasetSpec(continuous=_X, categorical=KINDS, bounds={"l_quantity": (2, 45), "l_discount": (0.01, 0.09)}, domains={"l_returnflag": ["A", "N"]})
 
 
