@@ -11,8 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import chi2_p, ks_p
+from .domains import kept_table
 from .profile import frequencies, long_numbers, number, skew_unbiased  # noqa: F401
-from .running import in_ranges
+from .running import in_ranges, sums_below
 
 
 def united(real: DataFrame, synth: DataFrame) -> DataFrame:
@@ -146,15 +147,23 @@ def normality(df: DataFrame, cols: list[str], alpha: float = 0.05) -> DataFrame:
     return out.select("col", F.when(~F.isnan("k2"), F.col("k2")).alias("k2")).select("col", "k2", F.exp(-F.col("k2") / 2).alias("p_value"), (F.exp(-F.col("k2") / 2) >= alpha).alias("normal"))
 
 
+#: Bins that values are counted in before a density is estimated.
+KDE_BINS = 8192
+
+
 def kde_modes(df: DataFrame, cols: list[str], grid: int = 500, prominence: float = 0.01) -> DataFrame:
     """Modes of a Gaussian kernel density on a grid; under 10 values or constant: 1.
 
-    Values meet the grid as counts per distinct value; the density is bounded by the grid's size.
+    Values are counted in KDE_BINS bins of equal width first, and a bin stands at the mean of its values, so
+    what meets the grid doesn't grow with the column.
     """
     x = long_numbers(df, cols)
     about = x.groupBy("col").agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.stddev_samp("x").alias("s"))
     about = about.withColumn("h", 1.06 * F.col("s") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
-    counts = x.groupBy("col", "x").agg(F.count("*").alias("m")).join(F.broadcast(about.select("col", "n", "lo", "hi", "h")), "col").where("h > 0 AND n >= 10")
+    # one row for each column
+    placed = x.join(F.broadcast(about.select("col", "n", "lo", "hi", "h")), "col").where("h > 0 AND n >= 10 AND hi > lo")
+    bin_of = F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * KDE_BINS), F.lit(KDE_BINS - 1))
+    counts = placed.groupBy("col", "n", "lo", "hi", "h", bin_of.alias("bin")).agg(F.count("*").alias("m"), F.avg("x").alias("x"))
     step = (F.col("hi") - F.col("lo")) / (grid - 1)
     points = F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i")
     dens = counts.select("col", "x", "m", "lo", "h", step.alias("step"), "n", points)
@@ -199,26 +208,71 @@ def mean_distance(real: DataFrame, synth: DataFrame, continuous: list[str], cate
     return w.unionByName(j).agg(F.coalesce(F.avg("d"), F.lit(1.0)).alias("fidelity_score"))
 
 
+def wasserstein_to(base: DataFrame, rows: DataFrame) -> DataFrame:
+    """(_key, col, w): Wasserstein-1 of each key's values (_key, col, x, ns) from those of ``base`` (col, x, nr).
+
+    Between two neighbouring values of a key its distribution function is a constant g, and the base's, F,
+    rises, so it crosses g once, at F's quantile of g.  On both sides the integral of the difference
+    is told by the integral of F at the ends, I(t) = sum of (t - x) / N over the base's x below t.  So
+    only I at a key's values, and I and the place of the crossings, are looked up, by running sums.
+    """
+    sized = base.withColumn("nx", F.col("nr") * F.col("x"))
+    totals = sized.groupBy("col").agg(F.sum("nr").alias("N"), F.min("x").alias("first"), F.max("x").alias("last"), F.sum("nx").alias("S"))
+    kept = kept_table(sums_below(sized.withColumn("one", F.lit(1)), ["col"], "x", {"nr": "below", "one": "at"}), "base-values")
+    # each key's running share, and the next value of the same key
+    placed = kept_table(sums_below(rows.withColumn("one", F.lit(1)), ["_key", "col"], "x", {"ns": "sb", "one": "k"}), "key-values")
+    sizes = placed.groupBy("_key", "col").agg(F.sum("ns").alias("M"))
+    after = placed.select("_key", "col", (F.col("k") - 1).alias("k"), F.col("x").alias("b"))
+    spans = placed.join(after, ["_key", "col", "k"], "left").join(sizes, ["_key", "col"]).join(F.broadcast(totals), "col")
+    spans = spans.select("_key", "col", F.col("x").alias("a"), "b", ((F.col("sb") + F.col("ns")) / F.col("M")).alias("g"), "N", "first", "last", "S", (F.col("sb") == 0).alias("begins"))
+    spans = kept_table(spans.withColumn("need", F.ceil(F.round(F.col("g") * F.col("N"), 6))), "spans")
+    # the base's value at which F reaches g: the first whose running number, itself included, is need or more
+    levels = kept.select("col", (F.col("below") + F.col("nr")).cast("double").alias("m"), F.lit(1).alias("one"))
+    marks = levels.unionByName(spans.select("col", F.col("need").cast("double").alias("m"), F.lit(0).alias("one"))).groupBy("col", "m").agg(F.sum("one").alias("one"))
+    reached = sums_below(marks, ["col"], "m", {"one": "at"}).select("col", F.col("m").alias("need"), "at")
+    crossing = kept.select("col", "at", F.col("x").alias("c"))
+    met = spans.withColumn("need", F.col("need").cast("double")).join(reached, ["col", "need"]).join(crossing, ["col", "at"], "left")
+    cut = F.least(F.greatest(F.coalesce("c", F.col("last")), F.col("a")), F.col("b"))
+    met = kept_table(met.select("_key", "col", "a", "b", "g", "N", "first", "last", "S", "begins", cut.alias("c")), "crossings")
+    # I at a, b and c
+    asked = met.select("col", F.explode(F.array_distinct(F.array_compact(F.array("a", "b", "c")))).alias("x")).distinct()
+    marks = sized.select("col", "x", "nr", "nx").unionByName(asked.select("col", "x", F.lit(0).cast("long").alias("nr"), F.lit(0.0).alias("nx"))).groupBy("col", "x").agg(F.sum("nr").alias("nr"), F.sum("nx").alias("nx"))
+    told = kept_table(sums_below(marks, ["col"], "x", {"nr": "n", "nx": "s"}).select("col", "x", (F.col("n") * F.col("x") - F.col("s")).alias("i")), "integrals")
+    for name in ("a", "b", "c"):
+        met = met.join(told.select("col", F.col("x").alias(name), F.col("i").alias(f"i{name}")), ["col", name], "left")
+    inside = F.col("g") * (2 * F.col("c") - F.col("a") - F.col("b")) + (F.col("ia") + F.col("ib") - 2 * F.col("ic")) / F.col("N")
+    # before the key's first value g is 0, after its last F has (last - b) left to rise
+    head = F.when(F.col("begins"), F.col("ia") / F.col("N")).otherwise(0.0)
+    tail = F.when(F.col("b").isNull(), F.greatest(F.col("last") - F.col("a"), F.lit(0.0)) - F.when(F.col("last") > F.col("a"), (F.col("N") * F.col("last") - F.col("S") - F.col("ia")) / F.col("N")).otherwise(0.0)).otherwise(0.0)
+    return met.groupBy("_key", "col").agg(F.sum(F.coalesce(inside, F.lit(0.0)) + head + tail).alias("w"))
+
+
 def rank_candidates(real: DataFrame, candidates: DataFrame, key: str, continuous: list[str], categorical: list[str], violated, weight: float = 0.7) -> DataFrame:
     """Candidate tables under ``key`` by weight * distance + (1 - weight) * violation rate, all in one job.
 
-    Each candidate becomes columns' distances by pairing its rows with the real table's summary:
-    distinct values are counted per candidate, so the real table is read once.
+    Candidates meet the real table's running numbers at their own values only: what is summed grows with the
+    real values plus the candidates' values, not with their product.
     """
     rate = candidates.groupBy(key).agg(F.coalesce(F.avg(F.coalesce(violated, F.lit(False)).cast("double")), F.lit(0.0)).alias("violation_rate"))
     rows = long_numbers(candidates.withColumn("_key", F.col(key)), continuous, ["_key"]).groupBy("_key", "col", "x").agg(F.count("*").alias("ns"))
-    base = long_numbers(real, continuous).groupBy("col", "x").agg(F.count("*").alias("nr"))
     keys = rate.select(F.col(key).alias("_key"))
-    grid = keys.join(base).select("_key", "col", "x", "nr", F.lit(0).cast("long").alias("ns")).unionByName(rows.select("_key", "col", "x", F.lit(0).cast("long").alias("nr"), "ns"))
-    both = grid.groupBy("_key", "col", "x").agg(F.sum("nr").alias("nr"), F.sum("ns").alias("ns"))
-    steps = gaps(both, ["_key", "col"])
-    scaled = steps.groupBy("_key", "col").agg((F.sum(F.abs("gap") * (F.col("next") - F.col("x"))) / F.nullif(F.max(F.when(F.col("nr") > 0, F.col("x"))) - F.min(F.when(F.col("nr") > 0, F.col("x"))), F.lit(0.0))).alias("d")).select("_key", "d")
+    base = long_numbers(real, continuous).groupBy("col", "x").agg(F.count("*").alias("nr"))
+    w1 = wasserstein_to(base, rows)
+    about = base.groupBy("col").agg((F.max("x") - F.min("x")).alias("width"))
+    scaled = w1.join(F.broadcast(about), "col").select("_key", (F.col("w") / F.nullif("width", F.lit(0.0))).alias("d"))
     f = frequencies(candidates.withColumn("_key", F.col(key)), categorical, ["_key"]).select("_key", "col", "value", F.lit(0.0).alias("p"), F.col("share").alias("q"))
-    g = keys.join(frequencies(real, categorical)).select("_key", "col", "value", F.col("share").alias("p"), F.lit(0.0).alias("q"))
-    pq = f.unionByName(g).groupBy("_key", "col", "value").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    g = frequencies(real, categorical).select("col", "value", F.col("share").alias("p"))
     m = (F.col("p") + F.col("q")) / 2
+    # categories that only the real table has say p each, so a candidate's sum of them is what its own leave of 1
+    both = f.drop("p").join(g, ["col", "value"], "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
     term = F.when(F.col("p") > 0, F.col("p") * F.log2(F.col("p") / m)).otherwise(0.0) + F.when(F.col("q") > 0, F.col("q") * F.log2(F.col("q") / m)).otherwise(0.0)
-    jsd = pq.groupBy("_key", "col").agg((F.sum(term) / 2).alias("d")).select("_key", "d")
+    own = both.groupBy("_key", "col").agg(F.sum(term).alias("t"), F.sum("p").alias("met"))
+    # rows as many as candidates by columns; a candidate without values of a column has all of it left
+    columns = real.sparkSession.createDataFrame([(c,) for c in categorical], "col string") if categorical else None
+    some = g.groupBy("col").agg(F.lit(True).alias("some"))
+    whole = keys.join(F.broadcast(columns)).join(F.broadcast(some), "col", "left").join(own, ["_key", "col"], "left") if categorical else None
+    left = F.when(F.col("some"), F.greatest(1 - F.coalesce("met", F.lit(0.0)), F.lit(0.0))).otherwise(0.0)
+    jsd = whole.where("some OR t IS NOT NULL").select("_key", ((F.coalesce("t", F.lit(0.0)) + left) / 2).alias("d")) if categorical else scaled.limit(0)
     fidelity = scaled.unionByName(jsd).groupBy(F.col("_key").alias(key)).agg(F.coalesce(F.avg("d"), F.lit(1.0)).alias("fidelity"))
     out = fidelity.join(rate, key).withColumn("objective", weight * F.col("fidelity") + (1 - weight) * F.col("violation_rate"))
     return out.withColumn("rank", F.row_number().over(W.orderBy("objective", key)))

@@ -148,7 +148,10 @@ _R3 = "(SELECT corr(l_quantity, l_extendedprice) AS a, corr(l_quantity, l_discou
 _DET = "(1 + 2 * a * b * c - a * a - b * b - c * c)"
 
 
-@query(f"SELECT 'l_quantity' AS col, (1 - c * c) / {_DET} AS vif FROM {_R3} UNION ALL SELECT 'l_extendedprice', (1 - b * b) / {_DET} FROM {_R3} UNION ALL SELECT 'l_discount', (1 - a * a) / {_DET} FROM {_R3}", "vif")
+VIF_SQL = f"SELECT 'l_quantity' AS col, (1 - c * c) / {_DET} AS vif FROM {_R3} UNION ALL SELECT 'l_extendedprice', (1 - b * b) / {_DET} FROM {_R3} UNION ALL SELECT 'l_discount', (1 - a * a) / {_DET} FROM {_R3}"
+
+
+@query(VIF_SQL, "vif")
 def vif(spark, sf_dir):
     return assoc.vif(table(spark, sf_dir, "lineitem"), _V3)
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dist, profile
+from ..operators import assoc, dist, profile
+from .associations import _V3, VIF_SQL
+from .distances import _K2
 from .registry import KINDS, NUMBERS, long_sql, query, table
 
 _HOLES = "(SELECT CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_quantity END AS l_quantity, CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE l_discount END AS l_discount, CASE WHEN l_orderkey % 7 = 0 OR l_suppkey % 3 = 0 THEN NULL ELSE l_tax END AS l_tax, l_returnflag FROM lineitem)"
@@ -148,13 +150,16 @@ def strategy_advice(spark, sf_dir):
 
 @query(
     f"""SELECT (SELECT count(*) FROM ({_DESCRIBE}) WHERE zero_ratio > 0.05) AS zero_inflated,
+    (SELECT count(*) FROM ({_K2.format(long=long_sql(_V3, "lineitem"))}) WHERE NOT normal) AS not_normal, (SELECT count(*) FROM ({VIF_SQL}) WHERE vif > 5) AS collinear,
     (SELECT count(*) FROM (SELECT col FROM ({freq_sql(KINDS, 'lineitem')}) GROUP BY col HAVING count(*) FILTER (share < 0.01) > 0)) AS with_rare_values"""
 )
 def key_numbers(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     zero = profile.describe_continuous(li, NUMBERS).agg(F.count_if(F.col("zero_ratio") > 0.05).alias("zero_inflated"))
+    odd = dist.normality(li, _V3).agg(F.count_if(~F.col("normal")).alias("not_normal"))
+    tied = assoc.vif(li, _V3).agg(F.count_if(F.col("vif") > 5).alias("collinear"))
     rare = profile.cardinality(li, KINDS).agg(F.count_if(F.col("rare_count") > 0).alias("with_rare_values"))
-    return zero.join(rare)
+    return zero.join(odd).join(tied).join(rare)  # one row each
 
 
 @query("SELECT count(*) AS rows, 6 AS columns, count(*) - count(value) + count(*) - count(props) + count(*) - count(event_type) AS nulls, 'bigint=2;double=1;string=2;timestamp_ntz=1' AS types FROM events")

@@ -349,3 +349,27 @@ def test_names_with_spaces_in_rules():
     assert (r.left, r.op, r.right) == ("total charge", ">=", "monthly charge")
     with pytest.raises(ValueError):
         rules.Rule.parse("total>=3")
+
+
+def test_noisy_tables_feed_draws(spark):
+    """Each pair is released once within the budget, over its whole public domain; with a large budget drawn pairs follow the real ones."""
+    import numpy as np
+
+    t = spark.range(20_000).select(F.when(F.col("id") % 4 == 0, "x").otherwise("y").alias("a"), (F.when(F.col("id") % 4 == 0, 2.0).otherwise(7.0) + F.col("id") % 3).alias("b"), F.when(F.col("id") % 5 == 0, "p").otherwise("q").alias("c"), F.lit("odd").alias("d"))
+    tree = synth.NoisyTree({"a": ["x", "y", "never"], "c": ["p", "q"], "d": ["other"]}, {"b": (0, 10)}, bins=5, epsilon=1.0, seed=3).fit(t)
+    rows = tree.released.collect()
+    assert len(rows) == 3 * 2 + 3 * 1 + 3 * 5 + 2 * 1 + 2 * 5 + 1 * 5
+    assert sum({(r.col_i, r.col_j): r.epsilon for r in rows}.values()) == pytest.approx(1.0)
+    assert sum({(r.col_i, r.col_j): r.delta for r in rows}.values()) == pytest.approx(1e-6)
+    assert min(r.noisy_count for r in rows) >= 0 and {r.sigma for r in rows} == {synth.noise_scale(1 / 6, 1e-6 / 6)}
+    assert ("a", "b") in tree.tree or ("b", "a") in tree.tree  # the pair that tells most of each other
+    assert [c for _, c in tree.tree][0] == "a" and sorted(c for _, c in tree.tree) == ["a", "b", "c", "d"]
+    drawn = tree.sample(spark, 5000)
+    assert drawn.count() == 5000 and drawn.collect() == tree.sample(spark, 5000).collect()
+    far = {(r.col_i, r.col_j): r.distance for r in tree.distances(t, drawn).collect()}
+    assert far["a", "b"] < 0.1 and far["a", "c"] < 0.1
+    assert drawn.agg(F.min("b"), F.max("b")).first()[0] >= 0 and {r.d for r in drawn.select("d").distinct().collect()} == {"other"}
+    tree.tables["a", "c"] = np.zeros((3, 2))
+    assert tree.information("a", "c") == 0.0
+    with pytest.raises(ValueError):
+        synth.NoisyTree({"a": ["x"]}).fit(t)
