@@ -61,16 +61,18 @@ def base_secrets(text: str) -> list[tuple[int, int]]:
 _TOKEN = re.compile(r"[\w+/.\-]+|[^\w\s+/.\-]")
 _WORDS = {"pass", "password", "passwd", "passphrase", "pwd", "secret", "token", "apikey", "key", "auth", "bearer", "credential", "credentials"}
 _VENDOR = re.compile("AKIA|gh[pousr]_|glpat-|xox[abprs]-|sk[-_]|pk_|eyJ|AIza")
+_JOINTS = re.compile("[+/._-]")
+SHORT_PIECE = 13
 _HEXES = re.compile("[0-9a-f]+|[0-9A-F]+")
 
 # Feature numbers: first those of the token itself, then of its surroundings, then of the text.
-_SHAPE = ["len<4", "len<8", "len<16", "len<24", "len<40", "long", "digit", "upper", "lower", "mixed", "hex", "number", "joint", "changes3", "changes6", "many_kinds", "word", "mark"]
-_ROLE = ["keyword", "sign", "quote", "vendor"]
+_SHAPE = ["len<4", "len<8", "len<16", "len<24", "len<40", "long", "digit", "upper", "lower", "mixed", "hex", "number", "joint", "changes3", "changes6", "many_kinds", "word", "mark", "short_pieces"]
+_ROLE = ["keyword", "sign", "quote", "vendor", "at"]
 _N_SHAPE, _N_ROLE = len(_SHAPE), len(_ROLE)
-_BEFORE = ["prev_keyword", "prev2_keyword", "prev3_keyword", "prev_sign", "prev_quote", "next_quote", "next_sign"]
+_BEFORE = ["prev_keyword", "prev2_keyword", "prev3_keyword", "prev_sign", "prev_quote", "next_quote", "next_sign", "prev_at", "next_at"]
 _FILE = ["file_keyword", "file_signs"]
 #: Neighbouring words, whatever they are, count by the bucket that their hash falls into.
-BUCKETS = 12
+BUCKETS = 11
 _N_NEAR = _N_SHAPE + _N_ROLE + len(_BEFORE) + len(_FILE)
 N = _N_NEAR + 2 * BUCKETS + 1
 _WORD_AT = 58  # where a token's own bucket (from 1; 0: no word) is kept until its neighbours have it
@@ -104,6 +106,8 @@ def token_bits(token: str) -> int:
         on.add(16)
     if n == 1 and not token.isalnum():
         on.add(17)
+    if 12 in on and max(map(len, _JOINTS.split(token))) < SHORT_PIECE:
+        on.add(18)  # hosts, paths and versions
     base = _N_SHAPE
     if token.lower() in _WORDS or token.lower().endswith("_key"):
         on.add(base)
@@ -113,6 +117,8 @@ def token_bits(token: str) -> int:
         on.add(base + 2)
     if n >= 8 and _VENDOR.match(token):
         on.add(base + 3)
+    if token == "@":
+        on.add(base + 4)
     return sum(1 << k for k in on) | bucket
 
 
@@ -143,7 +149,7 @@ class Tokens:
 
 def full_bits(own: np.ndarray, doc: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Bit sets with the surroundings and the features of the whole text."""
-    key, sign, quote = ((own >> (_N_SHAPE + k)) & 1 for k in range(3))
+    key, sign, quote, _, ats = ((own >> (_N_SHAPE + k)) & 1 for k in range(5))
 
     def moved(flag: np.ndarray, by: int) -> np.ndarray:
         out = np.zeros_like(flag)
@@ -155,7 +161,7 @@ def full_bits(own: np.ndarray, doc: np.ndarray, counts: np.ndarray) -> np.ndarra
             out[:by] = flag[-by:] * (doc[:by] == doc[-by:])
         return out
 
-    around = [moved(key, 1), moved(key, 2), moved(key, 3), moved(sign, 1), moved(quote, 1), moved(quote, -1), moved(sign, -1)]
+    around = [moved(key, 1), moved(key, 2), moved(key, 3), moved(sign, 1), moved(quote, 1), moved(quote, -1), moved(sign, -1), moved(ats, 1), moved(ats, -1)]
     keys, signs = np.bincount(doc, key, len(counts)), np.bincount(doc, sign, len(counts))
     whole = [(keys > 0).astype(np.int64)[doc], (signs * 20 > counts).astype(np.int64)[doc]] if len(doc) else [own, own]
     out = own & ((1 << _WORD_AT) - 1)
@@ -301,6 +307,13 @@ def seeds(count: int = SEEDS, seed: int = 5, shapes: tuple[int, ...] = (0, 1, 2,
         lambda: pick(string.digits, rng.integers(10, 17)),
         lambda: "https://%s.example.com/%s/%s?page=%s" % (pick(letters, 6), pick(letters, 2), pick(string.digits, 3), pick(string.digits, 1)),
         lambda: "%s@%s.example.com" % (pick(letters + string.digits, 6), pick(letters, 5)),
+        lambda: "%s.%s@%s%s.%s.%s" % (pick(letters, 5), pick(letters, 6), pick(letters, rng.integers(3, 9)), pick(string.digits, rng.integers(0, 3)), pick(letters, rng.integers(4, 11)), rng.choice(["com", "org", "net", "de", "io"])),
+        lambda: "https://%s%s.%s.%s/%s/%s-%s.html" % (pick(letters, 4), pick(string.digits, 2), pick(letters, 8), rng.choice(["com", "org", "fr"]), pick(letters, 5), pick(letters, 7), pick(string.digits, 4)),
+        lambda: "/%s/%s/%s-%s.%s.%s.tar.gz" % (pick(letters, 3), pick(letters, 5), pick(letters, 6), *rng.integers(0, 30, 3)),
+        lambda: "%s-%s.%s.%s.tar.gz" % (pick(letters, 6), *rng.integers(0, 30, 3)),
+        lambda: "https://%s@%s.%s.org:%s/" % (pick(letters, 6), pick(letters, 6), pick(letters, 5), pick(string.digits, 4)),
+        lambda: "v%s.%s.%s-%s%s" % (*rng.integers(0, 30, 3), rng.choice(["rc", "beta", "build"]), rng.integers(0, 99)),
+        lambda: "%s_%s_%s" % (pick(letters, 5), pick(letters, 7), pick(string.digits, 3)),
         lambda: "%s-%s-%s" % (pick(string.digits, 4), pick("01", 2), pick(string.digits, 2)),
         lambda: "%s.%s.%s.%s" % tuple(rng.integers(0, 256, 4)),
         lambda: pick(letters, rng.integers(14, 26)),
@@ -316,8 +329,12 @@ def seeds(count: int = SEEDS, seed: int = 5, shapes: tuple[int, ...] = (0, 1, 2,
             out.append((before + decoy[rng.integers(len(decoy))]() + after, []))
             continue
         value = secret[shapes[rng.integers(len(shapes))]]()
+        if rng.random() < 0.1:  # a password in an address
+            before, after = before + "%s://%s:" % (pick(letters, 5), pick(letters, 6)), "@%s.example.com/" % pick(letters, 3) + after
+            out.append((before + value + after, [(len(before), len(before) + len(value))]))
+            continue
         mark = rng.choice(['"', "'", ""])
-        lead = "" if rng.random() < 0.2 and len(value) >= 24 else rng.choice(words) + rng.choice([" = ", ": ", "=", " "]) + mark
+        lead = "" if rng.random() < 0.2 and len(value) >= 24 else rng.choice(words) + rng.choice([" = ", ": ", "=", " ", " is "]) + mark
         start = len(before + lead)
         out.append((before + lead + value + mark + after, [(start, start + len(value))]))
     return out
