@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import correlation
+from .domains import kept_table
 from .running import exact_quantiles
 
 
@@ -171,9 +172,12 @@ def zscore_bounds(df: DataFrame, cols: list[str], threshold: float = 3.0) -> Dat
 
 def mad_bounds(df: DataFrame, cols: list[str], threshold: float = 3.5, exact: bool = True) -> DataFrame:
     x = long_numbers(df, cols)
-    med = quantiles(x, ["col"], exact, 0.5).select("col", F.col("q")[0].alias("med"))
-    away = x.join(F.broadcast(med), "col").select("col", "med", F.abs(F.col("x") - F.col("med")).alias("x"))
-    mad = quantiles(away, ["col", "med"], exact, 0.5).select("col", "med", F.col("q")[0].alias("mad"))
+    if exact:  # values are counted once; both medians go over the counts
+        x = kept_table(x.groupBy("col", "x").agg(F.count("*").alias("n")), "value-counts")
+    median = lambda rows, by: exact_quantiles(rows, by, (0.5,), weight="n") if exact else quantiles(rows, by, False, 0.5)
+    med = median(x, ["col"]).select("col", F.col("q")[0].alias("med"))
+    away = x.join(F.broadcast(med), "col").select("col", "med", F.abs(F.col("x") - F.col("med")).alias("x"), *(["n"] if exact else []))
+    mad = median(away, ["col", "med"]).select("col", "med", F.col("q")[0].alias("mad"))
     half = F.when(F.col("mad") != 0, threshold * F.col("mad") / 0.6745)
     return mad.select("col", (F.col("med") - half).alias("lower"), (F.col("med") + half).alias("upper"))
 

@@ -56,9 +56,9 @@ def sums_below(counts: DataFrame, by: list[str], value: str, sums: dict[str, str
     return met.select(*counts.columns, *[(F.col(f"_{out}") + F.sum(c).over(inner) - F.col(c)).alias(out) for c, out in sums.items()])
 
 
-def exact_quantiles(rows: DataFrame, by: list[str], q: tuple[float, ...], x: str = "x") -> DataFrame:
-    """(by..., q): the interpolated quantiles of each group's values, in the order of ``q``."""
-    counts = rows.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("_n"))
+def exact_quantiles(rows: DataFrame, by: list[str], q: tuple[float, ...], x: str = "x", weight: str | None = None) -> DataFrame:
+    """(by..., q): the interpolated quantiles of each group's values, in the order of ``q``; a row counts once, or ``weight`` times."""
+    counts = rows.where(F.col(x).isNotNull()).groupBy(*by, x).agg((F.sum(weight) if weight else F.count("*")).alias("_n"))
     placed = in_ranges(counts, by, x, "_part")
     parts = placed.groupBy(*by, "_part").agg(F.sum("_n").alias("_size"))
     group = W.partitionBy(*by, F.lit(0))  # RANGES + 2 rows each

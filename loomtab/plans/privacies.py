@@ -37,10 +37,22 @@ def sample_exact(spark, sf_dir):
     return split.sample_exact(table(spark, sf_dir, "orders"), _KEY, 1000).agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("keys"))
 
 
-@query()
+@query(
+    """SELECT 'o_orderstatus' AS col, o_orderstatus AS value, true AS even, (SELECT count(*) FROM orders) AS drawn, 0 AS strangers FROM orders GROUP BY o_orderstatus
+    UNION ALL SELECT 'o_orderpriority', o_orderpriority, true, (SELECT count(*) FROM orders), 0 FROM orders GROUP BY o_orderpriority"""
+)
 def balanced_resample(spark, sf_dir):
+    """Draws per category: as many as an even draw gives, within five standard errors; and drawn rows that don't hold their category."""
     o = table(spark, sf_dir, "orders")
-    return split.balanced_resample(o, _KEY, ["o_orderstatus", "o_orderpriority"], o.count()).groupBy("col", "value").agg(F.count("*").alias("n"))
+    cols = ["o_orderstatus", "o_orderpriority"]
+    n = o.count()
+    drawn = split.balanced_resample(o, _KEY, cols, n).join(o.select(*_KEY, *cols), _KEY)
+    own = F.when(F.col("col") == cols[0], F.col(cols[0])).otherwise(F.col(cols[1]))
+    each = drawn.groupBy("col", "value").agg(F.count("*").alias("n"), F.count_if(own != F.col("value")).cast("int").alias("strangers"))
+    sizes = o.agg(*[F.count_distinct(c).alias(c) for c in cols])
+    met = each.join(F.broadcast(sizes)).join(F.broadcast(each.agg(F.sum("n").alias("drawn"))))
+    even = n / (2 * F.when(F.col("col") == cols[0], F.col(cols[0])).otherwise(F.col(cols[1])))
+    return met.select("col", "value", (F.abs(F.col("n") - even) < 5 * F.sqrt(even)).alias("even"), "drawn", "strangers")
 
 
 # vectors: accounts scaled by fixed numbers; customers by key % 5 are the real, held-out and synthetic rows

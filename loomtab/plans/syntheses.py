@@ -6,7 +6,8 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from ..operators import audit, dist, rules, synth
+from ..operators import assoc, audit, dist, profile, rules, synth
+from ..operators.domains import kept_table
 from ..sources.spec import DatasetSpec
 from .registry import KINDS, query, table
 
@@ -19,6 +20,27 @@ def synthesize(spark, sf_dir):
     return synth.synthesize(li, li.count(), _X, KINDS)
 
 
+@query(
+    f"""SELECT 'l_returnflag=' || l_returnflag AS part, (SELECT count(*) FROM lineitem) AS rows, true AS inside, true AS near FROM lineitem GROUP BY l_returnflag
+    UNION ALL SELECT 'l_linestatus=' || l_linestatus, (SELECT count(*) FROM lineitem), true, true FROM lineitem GROUP BY l_linestatus
+    UNION ALL SELECT c, (SELECT count(*) FROM lineitem), true, true FROM (VALUES ('l_quantity'), ('l_extendedprice'), ('l_discount'), ('l_quantity~l_extendedprice'), ('l_quantity~l_discount'), ('l_extendedprice~l_discount')) AS v(c)"""
+)
+def synthesize_close(spark, sf_dir):
+    """Drawn rows against real ones: each category's share within 0.02, each number inside the real range with a distance under 0.03, each correlation within 0.05."""
+    li = table(spark, sf_dir, "lineitem")
+    n = li.count()
+    drawn = kept_table(synth.synthesize(li, n, _X, KINDS), "drawn")
+    shares = lambda d, name: profile.frequencies(d, KINDS).select(F.concat_ws("=", "col", "value").alias("part"), F.col("share").alias(name))
+    kinds = shares(li, "p").join(shares(drawn, "q"), "part", "full").select("part", (F.col("p").isNotNull() & F.col("q").isNotNull()).alias("inside"), (F.abs(F.col("p") - F.col("q")) < 0.02).alias("near"))
+    ends = lambda d, a, b: d.select(*_X).unpivot([], _X, "part", "x").groupBy("part").agg(F.min("x").alias(a), F.max("x").alias(b))
+    spans = ends(li, "a", "b").join(ends(drawn, "c", "d"), "part").select("part", ((F.col("c") >= F.col("a")) & (F.col("d") <= F.col("b"))).alias("inside"))
+    numbers = spans.join(dist.wasserstein(li, drawn, _X).withColumnRenamed("col", "part"), "part").select("part", "inside", (F.col("wasserstein") < 0.03).alias("near"))
+    pairs = assoc.all_pairs(_X)
+    both = assoc.pearson(li, pairs).join(assoc.pearson(drawn, pairs).withColumnRenamed("corr", "other"), ["col_i", "col_j"])
+    tied = both.select(F.concat_ws("~", "col_i", "col_j").alias("part"), F.lit(True).alias("inside"), (F.abs(F.col("corr") - F.col("other")) < 0.05).alias("near"))
+    return kinds.unionByName(numbers).unionByName(tied).select("part", F.lit(n).alias("rows"), "inside", "near")
+
+
 @query("SELECT 'A' AS l_returnflag, count(*) AS n FROM lineitem")
 def synthesize_conditional(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
