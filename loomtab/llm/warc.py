@@ -32,8 +32,8 @@ MIN_REVISIT = 1000
 #: Up to this many repeated payloads their table is broadcast; beyond, it is shuffled.
 BROADCAST_ROWS = 250_000
 READ_CHARS = 8_000_000
-#: Members that one read fetches.
-RUN = 128
+#: Members of a run, and bytes that one read of it fetches at most, unless a member is longer.
+RUN, FETCH = 128, 8 << 20
 #: Bytes of a sidecar's line.
 ENTRY = 32
 #: Tasks that read, per file on average, at most.
@@ -174,10 +174,25 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
     return written(archives.select("file").repartitionByRange(files, "file").mapInArrow(run, "file string, sidecar string, records long"), "members")
 
 
+def fetched(uri: str, entries: list[tuple[int, int]]) -> Iterator[memoryview]:
+    """The members of neighbouring entries (offset, size), cut by their sizes out of reads of FETCH bytes (or one member)."""
+    first = 0
+    while first < len(entries):
+        last, size = first + 1, entries[first][1]
+        while last < len(entries) and size + entries[last][1] <= FETCH:
+            size += entries[last][1]
+            last += 1
+        begin = entries[first][0]
+        raw = memoryview(open_at(uri, begin, size))
+        for at, n in entries[first:last]:
+            yield raw[at - begin : at - begin + n]
+        first = last
+
+
 def read_archives(members: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest (hex), record_type, refers_to, url of every record.
 
-    Each read looks up a run of neighbouring members in the sidecar index and fetches them at once,
+    Each read looks up a run of neighbouring members in the sidecar index and fetches them in few reads,
     whatever the file they lie in; the digests of responses are computed anew.
     """
     counted = members.agg(F.count("*").alias("files"), F.sum(F.ceil(F.col("records") / RUN)).alias("runs")).first()
@@ -190,13 +205,9 @@ def read_archives(members: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 lines = open_at(row["sidecar"], row["start"] * ENTRY, row["n"] * ENTRY).splitlines()
-                at, last = int(lines[0].split()[0]), [int(x) for x in lines[-1].split()]
-                raw = open_at(row["file"], at, sum(last) - at)
                 out: list[tuple] = []
-                while raw:
-                    z = zlib.decompressobj(31)
-                    head, block = parse(z.decompress(raw))
-                    raw = z.unused_data
+                for member in fetched(row["file"], [tuple(map(int, line.split())) for line in lines]):
+                    head, block = parse(zlib.decompress(member, 31))
                     told = base64.b32decode(head["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
                     kind = head["WARC-Type"]
                     if kind == "response" and hashlib.sha1(block).hexdigest() != told:

@@ -632,6 +632,19 @@ def test_nearest_recall_in_the_real_dimension(n):
     assert hits / 500 > 0.92
 
 
+@pytest.mark.parametrize("fetch", [1, 300, 1 << 20])
+def test_members_are_cut_by_their_offsets(tmp_path, monkeypatch, fetch):
+    """Whatever a read fetches, each member comes alone and once, members longer than a read too."""
+    monkeypatch.setattr(warc, "FETCH", fetch)
+    parts = [bytes([i]) * n for i, n in enumerate([5, 0, 200, 999, 1, 300, 299])]
+    (tmp_path / "members").write_bytes(b"before" + b"".join(parts))
+    entries, at = [], 6
+    for part in parts:
+        entries.append((at, len(part)))
+        at += len(part)
+    assert [bytes(m) for m in warc.fetched(f"file://{tmp_path}/members", entries)] == parts
+
+
 def test_archives(spark):
     big, small = "é" * 600, "tiny"
     rows = [(1, "http://a/ b\r\nX: y", big), (2, None, big), (3, "u", big), (4, "u", small), (5, "u", small), (6, "u", None), (None, "u", big), (3, "u", big), (7, "u", ""), (8, "u", "z" * 200_000)]
