@@ -81,18 +81,42 @@ query("SELECT o_orderkey, (ln(1 + o_totalprice) - lo) / (hi - lo) * 2 - 1 AS o_t
 query("SELECT o_orderkey, (o_totalprice - m) / s AS o_totalprice FROM orders, (SELECT avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s FROM orders)", "o_totalprice")(_scaled("standard"))
 
 
-@query(
-    f"""SELECT o_orderkey, (price - lo) / (hi - lo) AS price, price_is_missing, priority_is_missing,
+_ENCODED = f"""SELECT o_orderkey, (price - lo) / (hi - lo) AS price, price_is_missing, priority_is_missing,
     {', '.join(f"CASE WHEN status = '{s}' THEN 1.0 ELSE 0.0 END AS status_{s}" for s in 'FOP')}, i / 5.0 AS priority
     FROM {_IMPUTED} JOIN (SELECT DISTINCT priority, dense_rank() OVER (ORDER BY priority) - 1 AS i FROM {_IMPUTED}) USING (priority),
-         (SELECT min(price) AS lo, max(price) AS hi FROM {_IMPUTED})""",
-    "price price_is_missing priority_is_missing status_F status_O status_P priority",
-)
+         (SELECT min(price) AS lo, max(price) AS hi FROM {_IMPUTED})"""
+_ENCODED_DOUBLES = "price price_is_missing priority_is_missing status_F status_O status_P priority"
+
+
+@query(_ENCODED, _ENCODED_DOUBLES)
 def pipeline_encode(spark, sf_dir):
     o, p = _fitted(spark, sf_dir, encoding_by={"priority": "label"})
     return p.transform(o)
 
 
+@query(_ENCODED, _ENCODED_DOUBLES)
+def pipeline_encode_large(spark, sf_dir):
+    """The same with the labels' categories kept in a table, numbered there and met by a join."""
+    o, p = _fitted(spark, sf_dir, encoding_by={"priority": "label"}, large=3)
+    return p.transform(o)
+
+
+@query(f"SELECT * FROM {_T}", "price:3")
+def pipeline_roundtrip_large(spark, sf_dir):
+    """There and back through a parameter table whose categories stay in it."""
+    o, p = _fitted(spark, sf_dir, encoding_by={"priority": "label"}, large=3)
+    again = prep.Preprocessor(p.continuous, p.categorical, encoding_by=p.encoding_by, large=3).load(p.params_table(spark))
+    return again.inverse(again.transform(o), order=["o_orderkey", "price", "priority", "status"])
+
+
+@query(_ENCODED, _ENCODED_DOUBLES)
+def vector_roundtrip(spark, sf_dir):
+    """Encoded columns put into a vector and taken out of it again."""
+    o, p = _fitted(spark, sf_dir, encoding_by={"priority": "label"})
+    vectors = p.vector(p.transform(o)).select("o_orderkey", "features")
+    return p.from_vector(vectors)
+
+
 @query(f"SELECT * FROM {_T}", "price:3")
 def pipeline_roundtrip(spark, sf_dir):
     o, p = _fitted(spark, sf_dir, encoding_by={"priority": "label"})

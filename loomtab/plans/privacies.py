@@ -55,6 +55,28 @@ def balanced_resample(spark, sf_dir):
     return met.select("col", "value", (F.abs(F.col("n") - even) < 5 * F.sqrt(even)).alias("even"), "drawn", "strangers")
 
 
+@query("SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY o_orderkey) <= floor(0.8 * count(*) OVER ()) THEN 'train' ELSE 'test' END AS split FROM orders")
+def split_by_key(spark, sf_dir):
+    """Which rows the training part holds, in the order of a key."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    return split.split_share(o, _KEY, order=[F.col("o_orderkey")]).select("o_orderkey", "split")
+
+
+@query(
+    """SELECT 'o_orderstatus' AS col, o_orderstatus AS value, true AS by_log, (SELECT count(*) FROM orders) AS drawn FROM orders GROUP BY o_orderstatus"""
+)
+def log_frequency_resample(spark, sf_dir):
+    """Draws per category by the logarithm of its frequency, within five standard errors."""
+    o = table(spark, sf_dir, "orders")
+    n = o.count()
+    each = split.balanced_resample(o, _KEY, ["o_orderstatus"], n, log_frequency=True).groupBy("col", "value").agg(F.count("*").alias("n"))
+    sizes = o.groupBy(F.col("o_orderstatus").alias("value")).agg(F.log1p(F.count("*")).alias("w"))
+    whole = sizes.agg(F.sum("w").alias("all")).join(F.broadcast(each.agg(F.sum("n").alias("drawn"))))
+    met = each.join(F.broadcast(sizes), "value").join(F.broadcast(whole))
+    want = n * F.col("w") / F.col("all")
+    return met.select("col", "value", (F.abs(F.col("n") - want) < 5 * F.sqrt(want)).alias("by_log"), "drawn")
+
+
 # vectors: accounts scaled by fixed numbers; customers by key % 5 are the real, held-out and synthetic rows
 def _accounts(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
@@ -172,6 +194,48 @@ def regression_scores(spark, sf_dir):
     return utility.regression_scores(table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 1500).alias("prediction")))
 
 
+@query(
+    """SELECT col, kind OR n <= 10 AS classification FROM (
+    SELECT 'l_returnflag' AS col, true AS kind, count(DISTINCT l_returnflag) AS n FROM lineitem UNION ALL SELECT 'l_quantity', false, count(DISTINCT l_quantity) FROM lineitem
+    UNION ALL SELECT 'l_linenumber', false, count(DISTINCT l_linenumber) FROM lineitem UNION ALL SELECT 'l_suppkey', true, count(*) FROM lineitem)"""
+)
+def task_detection(spark, sf_dir):
+    """Whether a target is a class: a string, declared so, or of few distinct values."""
+    li = table(spark, sf_dir, "lineitem")
+    found = [(c, utility.is_classification(li, c, ["l_suppkey"])) for c in ("l_returnflag", "l_quantity", "l_linenumber", "l_suppkey")]
+    return spark.createDataFrame(found, "col string, classification boolean")
+
+
+_XY = "(SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS c_acctbal, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey % 3 <> 0 THEN CAST(c_nationkey AS DOUBLE) END AS c_nationkey FROM customer)"
+
+
+@query(
+    f"""SELECT coalesce(c_acctbal, 0) AS c_acctbal, coalesce(c_mktsegment, 'missing') AS c_mktsegment, coalesce(c_nationkey, (SELECT quantile_cont(c_nationkey, 0.5) FROM {_XY})) AS y FROM {_XY}""",
+    "c_acctbal y",
+)
+def learning_table(spark, sf_dir):
+    """Features and target as models get them: numbers without nulls, missing categories named, the target filled."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    holed = c.select("c_custkey", F.when(k % 7 != 0, F.col("c_acctbal")).alias("c_acctbal"), F.when(k % 5 != 0, F.col("c_mktsegment")).alias("c_mktsegment"), F.when(k % 3 != 0, F.col("c_nationkey").cast("double")).alias("c_nationkey"))
+    return utility.prepared(holed, ["c_acctbal", "c_nationkey"], ["c_mktsegment"], "c_nationkey", False)
+
+
+_OLS = """(SELECT regr_slope(l_extendedprice, l_quantity) AS a, regr_intercept(l_extendedprice, l_quantity) AS b FROM lineitem WHERE l_orderkey % 4 {0})"""
+_R2 = "(SELECT 1 - avg(pow(l_extendedprice - a * l_quantity - b, 2)) / var_pop(l_extendedprice) FROM lineitem, {0} WHERE l_orderkey % 4 = 2)"
+
+
+@query(
+    f"SELECT 'linear' AS model, 'TRTR' AS regime, 'r2' AS metric, {_R2.format(_OLS.format('< 2'))} AS value, 'ok' AS status UNION ALL SELECT 'linear', 'TSTR', 'r2', {_R2.format(_OLS.format('= 3'))}, 'ok'",
+    "value:3",
+)
+def linear_scores(spark, sf_dir):
+    """The linear model against least squares; an identifier that tells too much is left out by name."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice", F.col("l_extendedprice").cast("double").alias("leak"))
+    part = lambda *k: li.where((F.col("l_orderkey") % 4).isin(*k))
+    s = utility.evaluate_utility(part(0, 1), part(2), part(3), "l_extendedprice", ["l_quantity", "leak"], [], exclude=["leak"], models=("linear",))
+    return s.where("metric = 'r2'")
+
+
 def _learning(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment", (F.col("c_acctbal") > 4000).cast("string").alias("rich"))
     return c.where("c_custkey % 4 < 2"), c.where("c_custkey % 4 = 2"), c.where("c_custkey % 4 = 3")
