@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import digamma, normal_quantile
 from .assoc import Pairs, information
-from .neighbours import BLOCK, _written, best_of_blocks, in_blocks
+from .domains import kept_table
+from .neighbours import BLOCK, best_of_blocks, in_blocks
 from .profile import number
 from .running import sums_below
 
@@ -116,7 +117,7 @@ def _reached(points: DataFrame, first: list[float], second: list[list[float]]) -
 
 def _blocks(rows: DataFrame) -> DataFrame:
     """Rows of a rectangle, in blocks of bounded size."""
-    sizes = _written(rows.groupBy(F.col("cell").alias("c")).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "large-cells")
+    sizes = kept_table(rows.groupBy(F.col("cell").alias("c")).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "large-cells")
     cut = rows.join(sizes, F.col("cell") == F.col("c"), "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)))
     return in_blocks(cut, ["cell"], F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
 
@@ -124,15 +125,15 @@ def _blocks(rows: DataFrame) -> DataFrame:
 def pair_gaps(rows: DataFrame, k: int) -> DataFrame:
     """(x, y, copies, r) of distinct points: the distance, as the larger difference of both axes, to the k-th other row."""
     points = rows.groupBy("x", "y").agg(F.count("*").alias("copies")).select(F.monotonically_increasing_id().alias("id"), F.array("x", "y").alias("v"), "copies")
-    points = _written(points, "points")
+    points = kept_table(points, "points")
     first, second = _rectangles(points, points.count())
-    placed = _written(_in_rectangles(points, first, second), "placed")
-    blocks = _written(_blocks(placed), "point-blocks")
-    own = _written(best_of_blocks(blocks, blocks, ["cell"], k + 1, "chebyshev"), "own-cells")
+    placed = kept_table(_in_rectangles(points, first, second), "placed")
+    blocks = kept_table(_blocks(placed), "point-blocks")
+    own = kept_table(best_of_blocks(blocks, blocks, ["cell"], k + 1, "chebyshev"), "own-cells")
     listed = lambda near: near.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("d", "hit", "copies"))).alias("h"))
     # a point is its own first hit, so the k-th other row is the one after
     reach = listed(own).select("id", F.when(F.aggregate("h", F.lit(0).cast("long"), lambda a, h: a + h["copies"]) > k, _kth(F.col("h"), F.lit(k + 1))).alias("r"))
-    away = _written(_reached(placed.join(reach, "id"), first, second), "reached")
+    away = kept_table(_reached(placed.join(reach, "id"), first, second), "reached")
     near = own.unionByName(best_of_blocks(_blocks(away), blocks, ["cell"], k + 1, "chebyshev"))
     found = listed(near).select("id", _kth(F.col("h"), F.lit(k + 1)).alias("r"))
     return points.join(found, "id").select(F.col("v")[0].alias("x"), F.col("v")[1].alias("y"), "copies", "r")
@@ -140,8 +141,8 @@ def pair_gaps(rows: DataFrame, k: int) -> DataFrame:
 
 def class_gaps(rows: DataFrame, k: int) -> DataFrame:
     """(g, x, copies, kk, size, r) of a category's distinct values: the distance to the k-th (kk-th, in small categories) other row of it."""
-    counts = _written(rows.groupBy("g", "x").agg(F.count("*").alias("copies"), F.lit(1).alias("one")), "class-values")
-    placed = _written(sums_below(counts, ["g"], "x", {"one": "at"}), "ranked-values")
+    counts = kept_table(rows.groupBy("g", "x").agg(F.count("*").alias("copies"), F.lit(1).alias("one")), "class-values")
+    placed = kept_table(sums_below(counts, ["g"], "x", {"one": "at"}), "ranked-values")
     offsets = F.explode(F.array(*[F.lit(i) for i in range(-k, k + 1)]))
     asked = placed.select("g", "x", "at", offsets.alias("o")).withColumn("to", F.col("at") + F.col("o"))
     there = placed.select(F.col("g").alias("g2"), F.col("at").alias("to2"), F.col("x").alias("x2"), "copies")
@@ -157,10 +158,10 @@ def class_gaps(rows: DataFrame, k: int) -> DataFrame:
 def counted_around(rows: DataFrame, centres: DataFrame, value: str, name: str) -> DataFrame:
     """``centres`` with the number of ``rows`` whose ``value`` lies nearer than r to theirs; those with an equal value always count."""
     short = F.col("r") - SHORT * (F.abs(value) + F.col("r"))
-    asked = _written(centres.withColumn("_lo", F.col(value) - short).withColumn("_hi", F.col(value) + short), "centres")
+    asked = kept_table(centres.withColumn("_lo", F.col(value) - short).withColumn("_hi", F.col(value) + short), "centres")
     held = rows.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
     marks = held.unionByName(asked.select(F.explode(F.array("_lo", "_hi")).alias("v"), F.lit(0).cast("long").alias("n"))).groupBy("v").agg(F.sum("n").alias("n"))
-    below = _written(sums_below(marks, [], "v", {"n": "below"}), "below")
+    below = kept_table(sums_below(marks, [], "v", {"n": "below"}), "below")
     at = lambda c: below.select(F.col("v").alias(f"{c}v"), F.col("below").alias(f"{c}n"), F.col("n").alias(f"{c}c"))
     lo, hi, own = at("l"), at("h"), at("o")
     met = asked.join(lo, F.col("_lo") == F.col("lv")).join(hi, F.col("_hi") == F.col("hv")).join(own, F.col(value) == F.col("ov"))
@@ -172,7 +173,7 @@ def counted_around(rows: DataFrame, centres: DataFrame, value: str, name: str) -
 
 def two_numbers(rows: DataFrame, k: int = 3) -> DataFrame:
     """One row, mi in bits, from rows (x, y)."""
-    rows = _written(rows, "pairs")
+    rows = kept_table(rows, "pairs")
     gaps = counted_around(rows, counted_around(rows, pair_gaps(rows, k), "x", "cx"), "y", "cy")
     mean = lambda c: F.sum(F.col("copies") * digamma(F.col(c))) / F.sum("copies")
     n = F.sum("copies")
@@ -182,8 +183,8 @@ def two_numbers(rows: DataFrame, k: int = 3) -> DataFrame:
 
 def number_and_category(rows: DataFrame, k: int = 3) -> DataFrame:
     """One row, mi in bits, from rows (g, x); categories of one row are left out."""
-    rows = _written(rows, "classed")
-    several = _written(rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "several")
+    rows = kept_table(rows, "classed")
+    several = kept_table(rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "several")
     rows = rows.join(several, "g", "left_semi")
     gaps = counted_around(rows, class_gaps(rows, k), "x", "m")
     mean = lambda c: F.sum(F.col("copies") * digamma(F.col(c))) / F.sum("copies")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.io import scratch_folder
+from .domains import kept_table
 
 BLOCK = 2048
 #: Pivots at most, rows they are fitted on, rounds of the fit.
@@ -39,12 +39,6 @@ MEASURED, FILLED = 64, 4096
 SLACK = 1e-7
 
 
-def _written(df: DataFrame, label: str) -> DataFrame:
-    path = scratch_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _clean(df: DataFrame, row_id: str, vector: str) -> DataFrame:
     v = F.col(vector).cast("array<double>")
     ok = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -113,7 +107,7 @@ def two_of(near: DataFrame) -> DataFrame:
 
 def per_row(found: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
     """(id, d1, d2) of all query rows, from those of distinct vectors."""
-    named = _written(found.join(reps.select("id", "v"), "id").select("v", "d1", "d2"), "near")
+    named = kept_table(found.join(reps.select("id", "v"), "id").select("v", "d1", "d2"), "near")
     return rows.join(named, "v").select(F.col("own").alias("id"), "d1", "d2")
 
 
@@ -197,16 +191,16 @@ def pruned(queries: DataFrame, base: DataFrame, keep: int = 2, most: int = PIVOT
     if not rows:
         return base.sparkSession.createDataFrame([], "id long, hit long, d double, copies long"), None
     pivots = pivots_of(base, rows, most)
-    b = _written(in_cells(base, pivots), "base-cells")
-    q = _written(in_cells(queries, pivots), "query-cells")
+    b = kept_table(in_cells(base, pivots), "base-cells")
+    q = kept_table(in_cells(queries, pivots), "query-cells")
     # as many rows as there are pivots
     cells = {r["cell"]: (r["n"], r["lo"], r["hi"], r["rows"]) for r in b.groupBy("cell").agg(F.sum("copies").alias("n"), F.min("far").alias("lo"), F.max("far").alias("hi"), F.count("*").alias("rows")).collect()}
-    blocks = _written(in_blocks(b, ["cell"], _chunk({c: s[3] for c, s in cells.items()}, len(pivots), block)), "base-blocks")
+    blocks = kept_table(in_blocks(b, ["cell"], _chunk({c: s[3] for c, s in cells.items()}, len(pivots), block)), "base-blocks")
     homes = {r["cell"]: r["count"] for r in q.groupBy("cell").count().collect()}
-    first = _written(best_of_blocks(in_blocks(q, ["cell"], _chunk(homes, len(pivots), block)), blocks, ["cell"], keep), "own-cells")
+    first = kept_table(best_of_blocks(in_blocks(q, ["cell"], _chunk(homes, len(pivots), block)), blocks, ["cell"], keep), "own-cells")
     bound = two_of(first).select("id", (F.col("d1") if keep == 1 else F.col("d2")).alias("bound"))
     asked = q.join(bound, "id", "left").withColumnRenamed("cell", "home")
-    away = _written(visits(asked, pivots, cells, keep), "visits")
+    away = kept_table(visits(asked, pivots, cells, keep), "visits")
     sizes = {r["cell"]: r["count"] for r in away.groupBy("cell").count().collect()}
     second = best_of_blocks(in_blocks(away, ["cell"], _chunk(sizes, len(pivots), block)), blocks, ["cell"], keep)
     return first.unionByName(second), away.select("id", "cell")
@@ -215,15 +209,15 @@ def pruned(queries: DataFrame, base: DataFrame, keep: int = 2, most: int = PIVOT
 def nearest_pruned(queries: DataFrame, base: DataFrame, query_id: str = "id", base_id: str = "id", vector: str = "features", keep: int = 2, **how) -> DataFrame:
     """(id, d1, d2): each query's distances to its nearest ``base`` rows, exact."""
     rows = _clean(queries, query_id, vector)
-    reps = _written(distinct_vectors(rows), "queries")
-    near, _ = pruned(reps, _written(distinct_vectors(_clean(base, base_id, vector)), "base"), keep, **how)
+    reps = kept_table(distinct_vectors(rows), "queries")
+    near, _ = pruned(reps, kept_table(distinct_vectors(_clean(base, base_id, vector)), "base"), keep, **how)
     return per_row(two_of(near), reps, rows)
 
 
 def meetings(queries: DataFrame, base: DataFrame, query_id: str = "id", base_id: str = "id", vector: str = "features", **how) -> DataFrame:
     """One row: queries and base rows (distinct vectors), cells visited beyond the own one, and the share of all pairs of vectors that met."""
-    q = _written(distinct_vectors(_clean(queries, query_id, vector)), "queries")
-    b = _written(distinct_vectors(_clean(base, base_id, vector)), "base")
+    q = kept_table(distinct_vectors(_clean(queries, query_id, vector)), "queries")
+    b = kept_table(distinct_vectors(_clean(base, base_id, vector)), "base")
     pivots = pivots_of(b, b.count(), how.get("most", PIVOTS))
     _, away = pruned(q, b, **how)
     held = in_cells(b, pivots).groupBy("cell").agg(F.count("*").alias("rows"))
@@ -286,7 +280,7 @@ def in_buckets(rows: DataFrame, planes: np.ndarray, shifts: np.ndarray, width: f
 
 def _spread(rows: DataFrame, block: int) -> DataFrame:
     """Blocks of rows of one key; only keys with more than a block's rows are cut, by hash."""
-    many = _written(rows.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n")).where(F.col("n") > block), "large-buckets")
+    many = kept_table(rows.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n")).where(F.col("n") > block), "large-buckets")
     cut = rows.join(many, F.col("key") == F.col("k"), "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / block), F.lit(1)))
     return in_blocks(cut, ["key"], F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
 
@@ -317,14 +311,14 @@ def fitted(queries: DataFrame, base: DataFrame, tables: int, seed: int) -> tuple
 def nearest_approximate(queries: DataFrame, base: DataFrame, query_id: str = "id", base_id: str = "id", vector: str = "features", keep: int = 2, tables: int = TABLES, probes: int | None = None, seed: int = 42, block: int = BLOCK) -> DataFrame:
     """(id, d1, d2): distances to the nearest rows of the buckets that a query looks into; ``probes`` neighbours of each bucket (default two a projection)."""
     rows = _clean(queries, query_id, vector)
-    reps = _written(distinct_vectors(rows), "queries")
-    own = _written(distinct_vectors(_clean(base, base_id, vector)), "base")
+    reps = kept_table(distinct_vectors(rows), "queries")
+    own = kept_table(distinct_vectors(_clean(base, base_id, vector)), "base")
     if own.isEmpty() or reps.isEmpty():
         return rows.select(F.col("own").alias("id"), F.lit(None).cast("double").alias("d1"), F.lit(None).cast("double").alias("d2")).limit(0)
     planes, shifts, width = fitted(reps, own, tables, seed)
-    looked = _written(in_buckets(reps, planes, shifts, width, 2 * planes.shape[1] if probes is None else probes), "looked")
-    held = _written(in_buckets(own, planes, shifts, width, 0), "held")
-    found = _written(two_of(best_of_blocks(_spread(looked, block), _spread(held, block), ["key"], keep)), "found")
-    short = _written(reps.join(found.where(F.col("found") >= keep), "id", "left_anti"), "short")
+    looked = kept_table(in_buckets(reps, planes, shifts, width, 2 * planes.shape[1] if probes is None else probes), "looked")
+    held = kept_table(in_buckets(own, planes, shifts, width, 0), "held")
+    found = kept_table(two_of(best_of_blocks(_spread(looked, block), _spread(held, block), ["key"], keep)), "found")
+    short = kept_table(reps.join(found.where(F.col("found") >= keep), "id", "left_anti"), "short")
     late = two_of(pruned(short, own, keep)[0])
     return per_row(found.join(late.select("id"), "id", "left_anti").unionByName(late), reps, rows)
