@@ -19,8 +19,8 @@ language's only source has no pairs; an empty table gives no rows; extra columns
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .collocation import Container
 from .common import give_back, pieces, written
 from .jaccard import checked_broadcast
 
 CHUNK_CHARS = 500_000
 SMOOTH, WHOLE = 5, 1_000_000_000
 GROUPS, TERMS = 64, 4096
-#: Terms that a task's counts hold before they are given on.
-HELD = 400_000
+#: Counts, terms or groups that a task holds before it gives its counts on, in batches of so many.
+HELD, BATCH = 1_500_000, 20_000
 
 _LETTERS = bytearray(b" " * 65 + bytes(range(97, 123)) + b" " * 6 + bytes(range(97, 123)) + b" " * 5 + bytes(range(128, 256)))
 
@@ -45,27 +46,50 @@ def terms_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(bytes(_LETTERS)).split()
 
 
+class _Numbers(dict):
+    """Numbers of things in the order they are met, from 1."""
+
+    def __missing__(self, thing) -> int:
+        self[thing] = i = len(self) + 1
+        return i
+
+
 def counted_terms(docs: DataFrame) -> DataFrame:
     """Partial counts: lang, source, term, count; and for a null source the number of the language's rows with the term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, Counter] = {}
+        terms, groups, held = _Numbers(), _Numbers(), Container()
 
         def given() -> Iterator[pa.RecordBatch]:
-            for (lang, source), counts in held.items():
-                n = len(counts)
-                columns = [pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "count"])
+            keys, counts = held.items()
+            names = [pa.array([None, *(g[i] for g in groups)], pa.string()) for i in (0, 1)]
+            text = pa.array([None, *terms], pa.binary()).cast(pa.string())
+            for i in range(0, len(keys), BATCH):
+                group, term = pa.array(keys[i : i + BATCH] >> 32), pa.array(keys[i : i + BATCH] & 0xFFFFFFFF)
+                yield pa.RecordBatch.from_arrays([names[0].take(group), names[1].take(group), text.take(term), pa.array(counts[i : i + BATCH])], ["lang", "source", "term", "count"])
 
         for batch, texts in pieces(batches, "text", CHUNK_CHARS):
-            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts):
-                own = Counter(terms_of(text))
-                held.setdefault((lang, source), Counter()).update(own)
-                held.setdefault((lang, None), Counter()).update(own.keys())
-            if sum(map(len, held.values())) > HELD:
+            found = [terms_of(t) for t in texts]
+            n = np.fromiter(map(len, found), np.int64, len(found))
+            ids = np.fromiter(map(terms.__getitem__, chain.from_iterable(found)), np.int64, int(n.sum()))
+            # each document's terms once, with their counts
+            each, counts = np.unique(np.repeat(np.arange(len(n)), n) << 32 | ids, return_counts=True)
+            row, term = each >> 32, each & 0xFFFFFFFF
+            langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            of_group = np.array([groups[g] for g in zip(langs, sources)], np.int64)
+            of_lang = np.array([groups[g, None] for g in langs], np.int64)
+            keys = np.concatenate([of_group[row] << 32 | term, of_lang[row] << 32 | term])
+            if len(keys):
+                counts = np.concatenate([counts, np.ones(len(row), np.int64)])
+                order = np.argsort(keys, kind="stable")
+                keys, counts = keys[order], counts[order]
+                first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                held.add(keys[first], np.add.reduceat(counts, first))
+            if max(held.used, len(terms), len(groups)) > HELD:
                 yield from given()
-                held.clear()
+                terms, groups, held = _Numbers(), _Numbers(), Container()
         yield from given()
+        terms, groups, held = _Numbers(), _Numbers(), Container()
         give_back()
 
     empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
