@@ -295,10 +295,26 @@ def remainders(met: DataFrame, before: DataFrame | None, pct: int) -> DataFrame:
     return best.select(F.col("x").alias("node"), F.col("nx").alias("n"), "rest", F.least("cut", hi).alias("cut"), F.slice("rest", F.lit(1), count.cast("int")).alias("probes"), lo.alias("lo"), hi.alias("hi"))
 
 
+def by_leader(own: DataFrame) -> DataFrame:
+    """Entries of long lists, with the lists whose leaders are connected put together where that makes fewer pairs.
+
+    Such lists mostly hold the same nodes, as those of a group of copies do; paired list by list, two nodes
+    would meet once for each list that they share.  All pairs of a list are pairs of the lists together.
+    """
+    pairs = F.col("goals") * F.col("all")
+    counted = lambda d, by: d.groupBy(*by).agg(F.count_if("goal").alias("goals"), F.count("*").alias("all"))
+    apart_ = counted(own, ["ry", "h"]).groupBy("ry").agg(F.sum(pairs).alias("apart"))
+    together = counted(own.groupBy("ry", "node").agg(F.first("goal").alias("goal")), ["ry"]).select("ry", pairs.alias("together"))
+    joint = written(apart_.join(together, "ry").where("together < apart").select(F.col("ry").alias("z")), "joint-leaders")
+    met = own.join(joint, F.col("ry") == F.col("z"), "left")
+    return met.withColumn("h", F.when(F.col("z").isNotNull(), F.xxhash64("z", F.lit(1))).otherwise(F.col("h"))).drop("ry", "z").dropDuplicates(["h", "node"])
+
+
 def staying(led: DataFrame, left: DataFrame, pct: int) -> DataFrame:
     """Of long lists, the nodes of ``left`` that look for partners up to their cut, and all that small."""
-    own = led.where("node <> y").select("h", "node", "n", "s", "root").join(left.select("node", "cut"), "node", "left")
-    own = written(own.withColumn("goal", F.coalesce(F.col("cut") >= _least(F.col("n"), pct), F.lit(False))), "staying")
+    own = led.where("node <> y").select("h", "ry", "node", "n", "s", "root").join(left.select("node", "cut"), "node", "left")
+    own = written(own.withColumn("goal", F.coalesce(F.col("cut") >= _least(F.col("n"), pct), F.lit(False))), "staying-lists")
+    own = written(by_leader(own), "staying")
     most = written(own.where("goal").groupBy(F.col("h").alias("g")).agg(F.max("cut").alias("most")), "caps")
     kept = own.join(most, F.col("h") == F.col("g")).where("goal or n <= most")
     return kept.select("h", "node", "n", "s", F.lit(1).alias("k"), "goal", _least(F.col("n"), pct).alias("lo"), F.col("cut").alias("hi"), "root")
