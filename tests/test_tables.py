@@ -373,3 +373,11 @@ def test_noisy_tables_feed_draws(spark):
     assert tree.information("a", "c") == 0.0
     with pytest.raises(ValueError):
         synth.NoisyTree({"a": ["x"]}).fit(t)
+
+
+def test_level_densities_have_one_mode(spark):
+    """Evenly spread values: rounding errors of the sums make no modes; two far heaps, each level between two points, are two."""
+    rows = spark.range(60_000).select(*[((F.col("id") % 1000) * (1 + k / 7) + 900).alias(f"c{k}") for k in range(8)])
+    assert {r.modes for r in dist.kde_modes(rows, rows.columns, 100).collect()} == {1}
+    heaps = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.col("id") % 500).otherwise(3000 + F.col("id") % 500).cast("double").alias("x"))
+    assert [r.modes for r in dist.kde_modes(heaps, ["x"], 100).collect()] == [2]
