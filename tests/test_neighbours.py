@@ -76,3 +76,36 @@ def test_modes_of_the_audit(spark):
     assert some.count() == 50 and some.where(F.col("dcr") < 0).count() == 0
     with pytest.raises(ValueError):
         privacy.nearest_two(q, b, mode="guess")
+
+
+def test_pairs_of_a_query_do_not_grow(spark, monkeypatch):
+    """Plane vectors: a query meets the same few hundred rows in a table of any size; by default no blocks meet pairwise."""
+    monkeypatch.setattr(privacy, "_blocked", None)
+    few = table(spark, np.array([[0.0, 1.0], [2.0, 1.0], [9.0, 9.0]]))
+    assert {(r.id, r.d1, r.d2) for r in privacy.nearest_two(few.where("id = 0"), few.where("id > 0")).collect()} == {(0, 2.0, 145**0.5)}
+    at = lambda seed: F.array(*[F.pmod(F.xxhash64("id", F.lit(seed + j)), F.lit(10**6)) / 1000 for j in (0, 1)])
+    q = spark.range(1000).select("id", at(1).alias("features"))
+    for n in (40_000, 400_000):
+        r = neighbours.meetings(q, spark.range(n).select("id", at(3).alias("features"))).first()
+        assert r.met * r.base < 1000
+
+
+def test_far_from_the_origin(spark):
+    """Distances far smaller than the vectors: products of whole vectors would lose them."""
+    rng = np.random.default_rng(3)
+    q, b = 1e8 + rng.integers(0, 4000, (200, 2)) / 64, 1e8 + rng.integers(0, 4000, (900, 2)) / 64
+    got = {r.id: (r.d1, r.d2) for r in privacy.nearest_two(table(spark, q), table(spark, b)).collect()}
+    want = brute(q, b)
+    assert all(got[i] == pytest.approx(tuple(w), abs=1e-9) for i, w in enumerate(want))
+
+
+def test_crowded_cells(spark, monkeypatch):
+    """Queries that all look into one cell are dealt to several tasks; a cell without rows, one id of two vectors, one kept row."""
+    monkeypatch.setattr(neighbours, "QUERIES", 50)
+    b = np.array([[float(i % 3), float(i)] for i in range(300)])
+    q = np.concatenate([np.full((1, 2), -50.0) - np.arange(400)[:, None] / 7, [[1.0, 150.5]]])
+    near = spark.createDataFrame([(7 if i == 400 else i, r) for i, r in enumerate(q.tolist())], SCHEMA)
+    got = neighbours.nearest_pruned(near, table(spark, b), block=20).collect()
+    assert np.allclose(sorted((r.d1, r.d2) for r in got), sorted(brute(q, b).tolist()), rtol=0, atol=1e-9)
+    one = {r.id: r.d1 for r in privacy.nearest_two(near.where("id > 7"), table(spark, b), keep=1).collect()}
+    assert all(one[i] == pytest.approx(brute(q, b)[i][0], abs=1e-9) for i in range(8, 400))
