@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomtab.operators import neighbours, privacy
+from loomtab.operators import audit, neighbours, privacy
 
 SCHEMA = "id long, features array<double>"
 
@@ -109,3 +109,15 @@ def test_crowded_cells(spark, monkeypatch):
     assert np.allclose(sorted((r.d1, r.d2) for r in got), sorted(brute(q, b).tolist()), rtol=0, atol=1e-9)
     one = {r.id: r.d1 for r in privacy.nearest_two(near.where("id > 7"), table(spark, b), keep=1).collect()}
     assert all(one[i] == pytest.approx(brute(q, b)[i][0], abs=1e-9) for i in range(8, 400))
+
+
+def test_audit_meets_the_same_rows_once(spark, monkeypatch):
+    """Distances of synthetic to training rows serve the summary and the leakage."""
+    asked = []
+    real = privacy.nearest_two
+    monkeypatch.setattr(privacy, "nearest_two", lambda q, b, *a, **how: asked.append((q, b)) or real(q, b, *a, **how))
+    rows = [spark.range(k, 240, 3).select("id", (F.col("id") * 7 % 31).cast("double").alias("x"), (F.col("id") % 2).cast("string").alias("c")) for k in range(3)]
+    train, test, synth = rows
+    vectors = lambda d: d.select("id", F.array("x", F.col("id") / 100).alias("features"))
+    lines = {r["metric"] for r in audit.run_audit(train, synth, train, test, ["x"], ["c"], vectorizer=vectors).collect()}
+    assert {"dcr_mean", "leakage_pct", "mia_auc"} <= lines and len(asked) == 4
