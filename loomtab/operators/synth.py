@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import math
 import warnings
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import correlation, empirical_position, normal_distribution, normal_quantile
+from ..functions.stats import normal_distributions, normal_quantiles
 from ..sources.spec import DatasetSpec
 from .domains import dictionary, drawn, kept_table, looked_up
 from .profile import frequencies, long_numbers, number
@@ -18,6 +21,12 @@ from .rules import Rule, audit_and_correct, clamp_correction
 from .running import exact_quantiles
 
 KNOTS = 201
+_MOMENTS = ("n", "a", "b", "aa", "bb", "ab")
+
+
+def _floats(x: pa.Array) -> np.ndarray:
+    """Numbers as doubles, NaN for null."""
+    return x.cast(pa.float64()).to_numpy(zero_copy_only=False)
 
 
 def _uniform(salt: int, seed: int, key: str = "row_id") -> Column:
@@ -52,7 +61,9 @@ class Copula:
         got = df.agg(F.count("*"), *[F.avg(self.absent(c).cast("double")) for c in cols]).first()[1:]
         self.missing = {c: v or 0.0 for c, v in zip(cols, got)}
         if self.exact:
-            q = exact_quantiles(long_numbers(df, self.continuous), ["col"], tuple(i / (KNOTS - 1) for i in range(KNOTS))) if self.continuous else None
+            # counted once, as the quantiles need the counts several times
+            counts = kept_table(long_numbers(df, self.continuous).groupBy("col", "x").agg(F.count("*").alias("n")), "counts") if self.continuous else None
+            q = exact_quantiles(counts, ["col"], tuple(i / (KNOTS - 1) for i in range(KNOTS)), weight="n") if counts is not None else None
             found = {r["col"]: r["q"] for r in q.collect()} if q else {}  # KNOTS numbers for each column
         else:
             found = dict(zip(self.continuous, df.agg(F.count("*"), *[F.percentile_approx(number(c), probs, 100_000) for c in self.continuous]).first()[1:]))
@@ -69,20 +80,19 @@ class Copula:
         self.factor = self._correlation(df)
         return self
 
-    def score(self, c: str) -> Column:
-        """Normal score of a value: by its place among the quantiles, or its category's middle."""
+    def scored(self, c: str, batch: pa.RecordBatch) -> np.ndarray:
+        """Normal scores of a column: by places among the quantiles, or of the categories' middles; NaN where it has no value."""
         if c in self.quantiles:
-            u = empirical_position(number(c), self.quantiles[c])
-            return normal_quantile(F.least(F.greatest(u, F.lit(0.5 / KNOTS)), F.lit(1 - 0.5 / KNOTS)))
+            x, knots = _floats(batch.column(c)), np.array(self.quantiles[c])
+            u = (np.searchsorted(knots, x, "left") + np.searchsorted(knots, x, "right")) / (2.0 * len(knots))
+            return np.where(np.isnan(x), np.nan, normal_quantiles(np.clip(u, 0.5 / KNOTS, 1 - 0.5 / KNOTS)))
         if c in self.big:
-            middle = F.col(f"`_{c}_middle`")
-            return F.when(middle.isNotNull(), normal_quantile(F.least(F.greatest(middle, F.lit(1e-6)), F.lit(1 - 1e-6))))
-        low, out = 0.0, F.lit(None).cast("double")
-        for value, share in self.shares[c]:
-            middle = min(max(low + share / 2, 1e-6), 1 - 1e-6)
-            out = F.when(F.col(c).cast("string") == value, normal_quantile(F.lit(middle))).otherwise(out)
-            low += share
-        return out
+            return normal_quantiles(np.clip(_floats(batch.column(c)), 1e-6, 1 - 1e-6))
+        shares = np.array([share for _, share in self.shares[c]] or [0.0])
+        middles = normal_quantiles(np.clip(np.cumsum(shares) - shares / 2, 1e-6, 1 - 1e-6))
+        at = pc.index_in(batch.column(c), pa.array([v for v, _ in self.shares[c]], pa.string()))
+        found = middles[at.fill_null(0).to_numpy(zero_copy_only=False)]
+        return np.where(np.isnan(_floats(at)), np.nan, found)
 
     def absent(self, c: str) -> Column:
         return number(c).isNull() if c in self.continuous else F.col(c).isNull()
@@ -92,18 +102,39 @@ class Copula:
         return [c for c in [*self.continuous, *self.categorical] if self.missing[c] > 0]
 
     def _correlation(self, df: DataFrame) -> np.ndarray:
-        cols = [*self.continuous, *self.categorical, *self.holed()]
-        k = len(self.continuous) + len(self.categorical)
-        gone = lambda c: F.when(self.absent(c), normal_quantile(F.lit(min(max(self.missing[c] / 2, 1e-6), 1 - 1e-6)))).otherwise(normal_quantile(F.lit(min(max((1 + self.missing[c]) / 2, 1e-6), 1 - 1e-6))))
+        kept, holed = [*self.continuous, *self.categorical], self.holed()
+        k = len(kept) + len(holed)
         for c in self.big:
             middles = self.entries.where(F.col("col") == c).withColumn("middle", (F.col("low") + F.col("n") / 2) / F.col("all"))
             df = looked_up(df.withColumn(c, F.col(c).cast("string")), middles, c, "value", "middle", f"_{c}_middle")
-        scores = df.select(*[(self.score(c) if i < k else gone(c)).alias(f"z{i}") for i, c in enumerate(cols)])
-        pairs = [(i, j) for i in range(len(cols)) for j in range(i)]
-        m = np.eye(len(cols))
-        if pairs:
-            for (i, j), v in zip(pairs, scores.agg(F.count("*"), *[correlation(F.col(f"z{i}"), F.col(f"z{j}")) for i, j in pairs]).first()[1:]):
-                m[i, j] = m[j, i] = 0.0 if v is None or np.isnan(v) else v
+        own = [(number(c) if c in self.continuous else F.col(f"`_{c}_middle`") if c in self.big else F.col(c).cast("string")).alias(c) for c in kept]
+        model = replace(self, entries=None)  # what tasks need, without the table
+
+        def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Per pair of variables: rows that have both, and sums of the scores, their squares and products over these."""
+            sums = np.zeros((6, k, k))
+            for batch in batches:
+                scores = [model.scored(c, batch) for c in kept]
+                for c in holed:
+                    m = model.missing[c]
+                    gone, here = normal_quantiles(np.clip(np.array([m / 2, (1 + m) / 2]), 1e-6, 1 - 1e-6))
+                    scores.append(np.where(batch.column(c).is_null().to_numpy(zero_copy_only=False), gone, here))
+                z = np.column_stack(scores)
+                had = (~np.isnan(z)).astype(float)
+                z = np.nan_to_num(z)
+                sums += np.stack([had.T @ had, z.T @ had, had.T @ z, (z * z).T @ had, had.T @ (z * z), z.T @ z])
+            i, j = np.tril_indices(k, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), *[pa.array(s[i, j]) for s in sums]], names=["i", "j", *_MOMENTS])
+
+        m = np.eye(k)
+        if k > 1:
+            parts = df.select(*own).mapInArrow(moments, "i long, j long, " + ", ".join(f"{s} double" for s in _MOMENTS))
+            for r in parts.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in _MOMENTS]).collect():  # one row for each pair
+                if r["n"]:
+                    a, b, aa, bb, ab = (r[s] / r["n"] for s in _MOMENTS[1:])
+                    va, vb = aa - a * a, bb - b * b
+                    # scores are about 1 in size; below this a variance is what rounding leaves of a constant
+                    m[r["i"], r["j"]] = m[r["j"], r["i"]] = (ab - a * b) / math.sqrt(va * vb) if va > 1e-12 * aa and vb > 1e-12 * bb else 0.0
         values, vectors = np.linalg.eigh(m)
         fixed = (vectors * np.maximum(values, 1e-6)) @ vectors.T
         scale = np.sqrt(np.diag(fixed))
@@ -113,39 +144,45 @@ class Copula:
         """n rows, each from its own id: the same rows however they are partitioned."""
         cols, holed = [*self.continuous, *self.categorical], self.holed()
         k = len(cols) + len(holed)
-        # each step its own projection, so that no step's expressions are repeated in the next
+        model = replace(self, entries=None)  # what tasks need, without the table
+        kinds = {c: "double" if c in self.big else "string" if c in self.categorical else "bigint" if c in self.integers else "double" for c in cols}
+
+        def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                scores = [normal_quantiles(batch.column(i + 1).to_numpy()) for i in range(k)]
+                shares = [normal_distributions(sum((scores[j] * model.factor[i, j] for j in range(i + 1)), np.zeros(batch.num_rows))) for i in range(k)]
+                gone = {c: pa.array(shares[i] < model.missing[c]) for i, c in enumerate(holed, len(cols))}
+                out = [pa.array(shares[i]) if c in model.big else model.valued(c, shares[i]) for i, c in enumerate(cols)]
+                out = [pc.if_else(gone[c], pa.scalar(None, v.type), v) if c in gone and c not in model.big else v for c, v in zip(cols, out)]
+                flags = [gone[c] for c in holed if c in model.big]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *out, *flags], names=names)
+
+        flags = [f"_{c}_gone" for c in holed if c in self.big]
+        names = ["row_id", *[f"_{c}_share" if c in self.big else c for c in cols], *flags]
+        kind = ["bigint", *[kinds[c] for c in cols], *["boolean"] * len(flags)]
         base = spark.range(n).select(F.col("id").alias("row_id"), *[_uniform(i, seed, "id").alias(f"v{i}") for i in range(k)])
-        base = base.select("row_id", *[normal_quantile(F.col(f"v{i}")).alias(f"e{i}") for i in range(k)])
-        base = base.select("row_id", *[sum((F.col(f"e{j}") * float(self.factor[i, j]) for j in range(i + 1)), F.lit(0.0)).alias(f"z{i}") for i in range(k)])
-        base = base.select("row_id", *[normal_distribution(F.col(f"z{i}")).alias(f"u{i}") for i in range(k)])
-        out = {}
-        for i, c in enumerate(cols):
-            if c in self.big:
-                base = drawn(base, self.entries.where(F.col("col") == c), f"u{i}", f"_{c}_drawn")
-        for i, c in enumerate(cols):
-            u = F.col(f"u{i}")
+        base = base.mapInArrow(draw, ", ".join(f"`{a}` {t}" for a, t in zip(names, kind)))
+        for c in cols:
             if c in self.big:
-                out[c] = F.col(f"`_{c}_drawn`")
-            elif c in self.quantiles:
-                knots = F.array(*[F.lit(v) for v in self.quantiles[c]])
-                last = len(self.quantiles[c]) - 1
-                at = u * last
-                below = F.least(F.floor(at), F.lit(max(last - 1, 0))).cast("int")
-                lo, hi = F.get(knots, below), F.coalesce(F.get(knots, below + 1), F.get(knots, below))
-                x = lo + (hi - lo) * (at - below)
-                out[c] = F.bround(x, 0).cast("long") if c in self.integers else x
-            else:
-                low, x = 0.0, F.lit(self.shares[c][-1][0] if self.shares[c] else None)
-                ends = []
-                for value, share in self.shares[c]:
-                    low += share
-                    ends.append((low, value))
-                for end, value in reversed(ends):
-                    x = F.when(u < end, value).otherwise(x)
-                out[c] = x
-        for i, c in enumerate(holed, len(cols)):
-            out[c] = F.when(F.col(f"u{i}") >= self.missing[c], out[c])
-        return base.select("row_id", *[v.alias(c) for c, v in out.items()])
+                base = drawn(base, self.entries.where(F.col("col") == c), f"_{c}_share", f"_{c}_drawn")
+        value = lambda c: F.col(f"`{c}`") if c not in self.big else F.when(~F.col(f"`_{c}_gone`"), F.col(f"`_{c}_drawn`")) if c in holed else F.col(f"`_{c}_drawn`")
+        return base.select("row_id", *[value(c).alias(c) for c in cols])
+
+    def valued(self, c: str, u: np.ndarray) -> pa.Array:
+        """The column's values at places ``u``, from 0 to 1, of its margin."""
+        if c in self.quantiles:
+            knots = np.array(self.quantiles[c])
+            last = len(knots) - 1
+            at = u * last
+            below = np.minimum(np.floor(at), max(last - 1, 0)).astype(int)
+            lo, hi = knots[below], knots[np.minimum(below + 1, last)]
+            x = lo + (hi - lo) * (at - below)
+            return pa.array(np.rint(x).astype(np.int64) if c in self.integers else x)
+        if not self.shares[c]:
+            return pa.nulls(len(u), pa.string())
+        ends = np.cumsum([share for _, share in self.shares[c]])
+        at = np.minimum(np.searchsorted(ends, u, "right"), len(ends) - 1)
+        return pa.array([v for v, _ in self.shares[c]], pa.string()).take(pa.array(at))
 
 
 def synthesize(df: DataFrame, n: int, continuous: list[str], categorical: list[str], seed: int = 42, condition: tuple[str, str] | None = None, exact: bool = True) -> DataFrame:

@@ -69,3 +69,14 @@ def test_copula_with_many_categories(spark, monkeypatch, broadcast):
     assert both.where(~F.col("name").eqNullSafe(F.col("other"))).count() <= 3  # shares differ by rounding at most
     hot = b.where("name = 'hot'").count() / 3000
     assert abs(hot - t.where("name = 'hot'").count() / 4000) < 0.03
+
+
+def test_draws_are_compiled_and_nulls_take_no_part(spark):
+    """The JVM compiles no method above 8,000 bytes; scores of missing numbers don't tell of other columns."""
+    t = spark.range(4000).select(F.when(F.col("id") % 4 > 0, F.col("id") % 1000).cast("double").alias("x"), (F.col("id") % 1000).cast("double").alias("y"), (F.col("id") % 4 > 0).cast("string").alias("c"))
+    model = synth.Copula(["x", "y"], ["c"]).fit(t)
+    assert model.factor[1, 0] > 0.99  # y is x where x is known
+    drawn = model.sample(spark, 1000)
+    code = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$").codegenStringSeq(drawn._jdf.queryExecution().executedPlan())
+    assert all(code.apply(i)._3().maxMethodCodeSize() <= 8000 for i in range(code.size()))
+    assert 150 < drawn.where("x IS NULL").count() < 350
