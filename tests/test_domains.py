@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loomtab.operators import domains, prep, running, synth
+from loomtab.operators import dist, domains, prep, running, synth
 
 
 def people(spark, n, categories):
@@ -80,3 +80,24 @@ def test_draws_are_compiled_and_nulls_take_no_part(spark):
     code = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$").codegenStringSeq(drawn._jdf.queryExecution().executedPlan())
     assert all(code.apply(i)._3().maxMethodCodeSize() <= 8000 for i in range(code.size()))
     assert 150 < drawn.where("x IS NULL").count() < 350
+
+
+def test_ranges_are_those_of_the_edges(spark):
+    values = spark.range(3000).select(F.when(F.col("id") % 50 > 0, F.pmod(F.xxhash64("id"), F.lit(700)) / 7.0).alias("x"), (F.col("id") % 2).alias("g"))
+    got = running.in_ranges(values.unionByName(spark.createDataFrame([(float("nan"), 0), (5.0, 7), (None, 8)], "x double, g long")), ["g"], "x").collect()
+    edges = {r.g: r.e for r in values.groupBy("g").agg(F.percentile_approx("x", [i / 64 for i in range(1, 64)], 1000).alias("e")).collect()}
+    for r in got:
+        assert r.part == (-1 if r.x is None else 64 if r.x != r.x else sum(e < r.x for e in edges.get(r.g, [])))
+
+
+def test_distances_make_their_tables_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    t = spark.range(500).select(F.col("id").cast("double").alias("x"))
+    far = dist.wasserstein(t.mapInArrow(counted, "x double"), t.select((F.col("x") + 5).alias("x")), ["x"]).collect()
+    assert abs(far[0].wasserstein - 5 / 499) < 1e-12 and made.value == 500
