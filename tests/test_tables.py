@@ -381,3 +381,15 @@ def test_level_densities_have_one_mode(spark):
     assert {r.modes for r in dist.kde_modes(rows, rows.columns, 100).collect()} == {1}
     heaps = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.col("id") % 500).otherwise(3000 + F.col("id") % 500).cast("double").alias("x"))
     assert [r.modes for r in dist.kde_modes(heaps, ["x"], 100).collect()] == [2]
+
+
+def test_infer_spec_counts_in_bounded_tasks(spark, monkeypatch):
+    """Distinct values as count(DISTINCT) has them, in as many partitions as the rows ask for."""
+    k = F.col("id")
+    t = spark.range(2000).select("id", F.when(k % 3 > 0, F.when(k % 5 == 0, -0.0).when(k % 5 == 1, 0.0).when(k % 5 == 2, float("nan")).otherwise(k / 7)).alias("x"), F.when(k % 2 == 0, "often").otherwise(k.cast("string")).alias("s"), F.lit(None).cast("string").alias("none"), (k % 4 == 0).alias("b"))
+    monkeypatch.setattr(audit, "DISTINCT_ROWS", 500)
+    done = audit.infer_spec(t)
+    want = t.agg(*[F.count_distinct(F.col(c)).alias(c) for c in t.columns]).first().asDict()
+    assert {r.col: r.distinct for r in done.collect()} == want
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert ", 20), REPARTITION_BY_NUM" in plan and "count(distinct" not in plan
