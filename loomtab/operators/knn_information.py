@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import digamma, normal_quantile
 from .assoc import Pairs, information
 from .domains import kept_table
-from .neighbours import BLOCK, best_of_blocks, in_blocks
+from .neighbours import best_in_groups
 from .profile import number
 from .running import sums_below
 
@@ -115,26 +115,18 @@ def _reached(points: DataFrame, first: list[float], second: list[list[float]]) -
     return points.select("id", "v", "copies", "cell", "r").mapInArrow(run, "id long, v array<double>, copies long, cell long")
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """Rows of a rectangle, in blocks of bounded size."""
-    sizes = kept_table(rows.groupBy(F.col("cell").alias("c")).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "large-cells")
-    cut = rows.join(sizes, F.col("cell") == F.col("c"), "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)))
-    return in_blocks(cut, ["cell"], F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-
-
 def pair_gaps(rows: DataFrame, k: int) -> DataFrame:
     """(x, y, copies, r) of distinct points: the distance, as the larger difference of both axes, to the k-th other row."""
     points = rows.groupBy("x", "y").agg(F.count("*").alias("copies")).select(F.monotonically_increasing_id().alias("id"), F.array("x", "y").alias("v"), "copies")
     points = kept_table(points, "points")
     first, second = _rectangles(points, points.count())
     placed = kept_table(_in_rectangles(points, first, second), "placed")
-    blocks = kept_table(_blocks(placed), "point-blocks")
-    own = kept_table(best_of_blocks(blocks, blocks, ["cell"], k + 1, "chebyshev"), "own-cells")
+    own = kept_table(best_in_groups(placed, placed, "cell", k + 1, "chebyshev"), "own-cells")
     listed = lambda near: near.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("d", "hit", "copies"))).alias("h"))
     # a point is its own first hit, so the k-th other row is the one after
     reach = listed(own).select("id", F.when(F.aggregate("h", F.lit(0).cast("long"), lambda a, h: a + h["copies"]) > k, _kth(F.col("h"), F.lit(k + 1))).alias("r"))
     away = kept_table(_reached(placed.join(reach, "id"), first, second), "reached")
-    near = own.unionByName(best_of_blocks(_blocks(away), blocks, ["cell"], k + 1, "chebyshev"))
+    near = own.unionByName(best_in_groups(away, placed, "cell", k + 1, "chebyshev"))
     found = listed(near).select("id", _kth(F.col("h"), F.lit(k + 1)).alias("r"))
     return points.join(found, "id").select(F.col("v")[0].alias("x"), F.col("v")[1].alias("y"), "copies", "r")
 

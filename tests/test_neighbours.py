@@ -121,3 +121,29 @@ def test_audit_meets_the_same_rows_once(spark, monkeypatch):
     vectors = lambda d: d.select("id", F.array("x", F.col("id") / 100).alias("features"))
     lines = {r["metric"] for r in audit.run_audit(train, synth, train, test, ["x"], ["c"], vectorizer=vectors).collect()}
     assert {"dcr_mean", "leakage_pct", "mia_auc"} <= lines and len(asked) == 4
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "chebyshev"])
+def test_groups_are_streamed_row_by_row(spark, monkeypatch, metric):
+    """Workers get rows, not blocks of them, and partitions follow the rows; groups of any size on either side have all their nearest."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    monkeypatch.setattr(neighbours, "QUERIES", 30)
+    monkeypatch.setattr(neighbours, "DEALT", 100)
+    seen, real = [], DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, *a, **how: seen.append(self) or real(self, *a, **how))
+    rng = np.random.default_rng(11)
+    side = lambda n, key: [(int(k), i, r, 1) for i, (k, r) in enumerate(zip(key, rng.normal(0, 1, (n, 3)).tolist()))]
+    q, b = side(200, np.where(np.arange(200) < 120, 0, 1 + np.arange(200) % 5)), side(300, np.where(np.arange(300) < 170, 0, 2 + np.arange(300) % 5))
+    schema = "key long, id long, v array<double>, copies long"
+    got = {}
+    for r in neighbours.best_in_groups(spark.createDataFrame(q, schema), spark.createDataFrame(b, schema), "key", 3, metric, block=40).collect():
+        got.setdefault(r.id, []).append((r.d, r.hit))
+    far = lambda u, v: (np.linalg.norm if metric == "euclidean" else lambda x: np.abs(x).max())(np.subtract(u, v))
+    for key, i, u, _ in q:
+        want = sorted((far(u, v), j) for k, j, v, _ in b if k == key)[:3]
+        assert [(round(d, 9), j) for d, j in sorted(got.get(i, []))[:3]] == [(round(d, 9), j) for d, j in want]
+    assert seen[0].rdd.getNumPartitions() >= 5
+    seen.clear()
+    neighbours.nearest_approximate(table(spark, clustered(1, 50)), table(spark, clustered(2, 400))).collect()
+    assert seen and all(not t.startswith("array") or c == "v" for d in seen for c, t in d.dtypes)
