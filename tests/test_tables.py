@@ -237,6 +237,24 @@ def test_a_failing_fit_is_a_row(spark):
     assert {r.status for r in lines if r.metric == "drop/f1_macro"} == {"Good"}
 
 
+def test_models_rows_are_dealt(spark, monkeypatch):
+    """What a model is fitted on comes in partitions of bounded size, whatever those of the table are."""
+    from pyspark.ml.regression import LinearRegression
+
+    monkeypatch.setattr(utility, "TASK_ROWS", 100)
+    sizes = []
+
+    class Seen(LinearRegression):
+        def fit(self, dataset, params=None):
+            sizes.extend(r["n"] for r in dataset.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect())
+            return super().fit(dataset, params)
+
+    t = spark.range(1000).coalesce(1).select(F.col("id").cast("double").alias("x"), (F.col("id") % 50 * 2.0).alias("y"))
+    s = utility.evaluate_utility(t, t, None, "y", ["x"], [], estimators=lambda *_: {"linear": Seen(labelCol="y")})
+    assert {r.status for r in s.collect()} == {"ok"}
+    assert sum(sizes) == 1000 and max(sizes) <= 110
+
+
 @pytest.mark.parametrize("name, trees, models", [("tstr_trtr", 100, 3), ("utility_drop", 100, 3), ("aia", 50, 1), ("cv_probe", 50, 1)])
 def test_registered_models_are_whole(spark, sf, monkeypatch, name, trees, models):
     class Asked(Exception):
