@@ -255,6 +255,25 @@ def test_models_rows_are_dealt(spark, monkeypatch):
     assert sum(sizes) == 1000 and max(sizes) <= 110
 
 
+def test_least_squares_go_over_rows_as_they_are(spark, monkeypatch):
+    """A whole target needs no median, and a fit of one pass no copy of its rows; a target with holes is filled as before."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    asked, real = [], utility.exact_quantiles
+    monkeypatch.setattr(utility, "exact_quantiles", lambda *a: asked.append(a) or real(*a))
+    monkeypatch.setattr(DataFrame, "cache", lambda self: pytest.fail("a copy of the rows"))
+    t = spark.range(200).select(F.col("id").cast("double").alias("x"), (F.col("id") * 2.0 + 1).alias("y"), F.when(F.col("id") != 7, F.col("id") * 1.0).alias("z"))
+    r2 = lambda target: {r.value for r in utility.evaluate_utility(t, t, t, target, ["x"], [], models=("linear",)).where("metric = 'r2'").collect()}
+    assert all(v > 0.99 for v in r2("y")) and not asked
+    assert all(0.9 < v < 1 for v in r2("z")) and len(asked) == 3
+    assert utility.prepared(t, ["x"], [], "z", False).where("x = 7").first()["y"] == 100.0
+
+
+def test_few_values_first_and_more_later(spark):
+    t = spark.range(5000).select(F.when(F.col("id") < 4000, F.col("id") % 3).otherwise(F.col("id")).alias("late"), (F.col("id") % 10).alias("ten"), F.when(F.col("id") % 11 > 0, F.col("id") % 11).alias("holed"))
+    assert [utility.is_classification(t.coalesce(1), c, []) for c in t.columns] == [False, True, False]
+
+
 @pytest.mark.parametrize("name, trees, models", [("tstr_trtr", 100, 3), ("utility_drop", 100, 3), ("aia", 50, 1), ("cv_probe", 50, 1)])
 def test_registered_models_are_whole(spark, sf, monkeypatch, name, trees, models):
     class Asked(Exception):
