@@ -269,6 +269,25 @@ def test_least_squares_go_over_rows_as_they_are(spark, monkeypatch):
     assert utility.prepared(t, ["x"], [], "z", False).where("x = 7").first()["y"] == 100.0
 
 
+def test_pairs_are_counted_in_as_many_tasks_as_they_ask_for(spark, monkeypatch):
+    """Zeros of both signs are one value, incomplete pairs don't count, and the ranks' correlation is that of SQL."""
+    import duckdb
+
+    monkeypatch.setattr(assoc, "PAIR_ROWS", 500)
+    x = F.when(F.col("id") % 17 > 0, (F.col("id") * 37 % 101 - 50).cast("double") * 0.5)
+    t = spark.range(2000).select("id", F.when(F.col("id") % 5 == 0, -0.0 * F.col("id")).otherwise(x).alias("x"), F.when(F.col("id") % 3 == 0, float("nan")).otherwise(F.col("id") * 11 % 29 - 14.0).alias("y"))
+    counts = assoc.pair_counts(t, [("x", "y"), ("id", "x")])
+    assert counts.rdd.getNumPartitions() == 8
+    assert counts.groupBy("pair", "x", "y").count().where("count > 1").isEmpty()
+    local = t.toPandas()  # noqa: F841
+    rank = lambda c: f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2"
+    for r in assoc.spearman(t, [("x", "y"), ("id", "x")]).collect():
+        a, b = r.col_i, r.col_j
+        rows = f"(SELECT {a} + 0.0 AS a, {b} + 0.0 AS b FROM local WHERE NOT isnan({a}::DOUBLE) AND NOT isnan({b}::DOUBLE) AND {a} IS NOT NULL AND {b} IS NOT NULL)"
+        want = duckdb.sql(f"SELECT corr(ra, rb) FROM (SELECT {rank('a')} AS ra, {rank('b')} AS rb FROM {rows})").fetchall()[0][0]
+        assert r.spearman == pytest.approx(want, abs=1e-9)
+
+
 def test_few_values_first_and_more_later(spark):
     t = spark.range(5000).select(F.when(F.col("id") < 4000, F.col("id") % 3).otherwise(F.col("id")).alias("late"), (F.col("id") % 10).alias("ten"), F.when(F.col("id") % 11 > 0, F.col("id") % 11).alias("holed"))
     assert [utility.is_classification(t.coalesce(1), c, []) for c in t.columns] == [False, True, False]
